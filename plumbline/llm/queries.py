@@ -1,13 +1,22 @@
 """The queries of this package, and SQL for the ones that SQL can express."""
 
-from . import chat, media, mixing, packing, quality_rules, url_filter
+import corpus_pipeline
+
+from . import byte_cnn, chat, media, mixing, near_dedup, packing, pii, quality_rules, token_counts, url_filter
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
+    "op2_pii": pii.op2_pii,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_quality_classifier": byte_cnn.op4_quality_classifier,
     "op5_packing": packing.op5_packing,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_media_columns": media.op9_media_columns,
     "op10_mixing": mixing.op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {"op3_chat_format": chat.SQL, "op7_url_filter": url_filter.SQL, "op10_mixing": mixing.SQL}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
