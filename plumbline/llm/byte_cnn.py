@@ -23,7 +23,8 @@ from .common import fold, labelled
 #: Labelled rows to train on at most, and chunks of one of them to train on at most (drawn by a seed; scoring uses all).
 SAMPLE_ROWS, SAMPLE_CHUNKS = 2400, 24
 CHUNK, STEP, WIDTH, FILTERS, HIDDEN = 256, 192, 4, 16, 24
-EPOCHS, BATCH, RATE, SEED = 14, 48, 0.01, 7
+#: Epochs over the sample, or more so that a small sample also gets STEPS steps.
+EPOCHS, STEPS, BATCH, RATE, SEED = 14, 700, 48, 0.01, 7
 KEEP = 0.3
 #: Chunks convolved at a time, so that the responses stay in the CPU's cache.
 TILE = 96
@@ -92,6 +93,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     net, r = Network.new(seed), np.random.default_rng(seed)
     if not len(texts):
         return net
+    epochs = max(epochs, -(-STEPS // -(-len(texts) // BATCH)))
     docs = []
     for t in texts:
         c, _ = cut([t])

@@ -41,8 +41,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     everything, order = W.partitionBy(), W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     rest = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     rows = rows.withColumn("level", rest / F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing)))
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
-    # from the first source that isn't full on, the level stays the same
+    # levels only fall from the first source that isn't full on, and that source's level holds for all
+    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
     return rows.withColumn("level", level).select("source", "source_size", "kind", F.round(F.least("cap", F.col("level") * F.col("weight")), 6).alias("target"))
 
 
@@ -117,7 +117,7 @@ WITH d AS (
              - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
             / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM k
 ), t AS (
-  SELECT source, source_size, round(least(cap, min(CASE WHEN level * weight <= cap THEN level END) OVER () * weight), 6) AS target FROM l
+  SELECT source, source_size, round(least(cap, max(CASE WHEN level * weight <= cap THEN level END) OVER () * weight), 6) AS target FROM l
 ), p AS (
   SELECT d.*, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS passes,
