@@ -10,10 +10,11 @@ two sketches concentrates around the sets' similarity.
 1. Documents with equal sets become one class, named by its smallest doc_id.
 2. Bands of coordinates deal the classes into buckets. Every bucket has one hub, chosen by
    a hash; a member is checked against its most similar hubs on the full sets.
-3. The links found make components. For every bucket that still holds several components,
-   all pairs across components are compared by sketch, in blocks of bounded size, and the
-   pairs that may reach the threshold are checked on the full sets. Pairs inside a
-   component can't change the result, so a large group of copies costs no square of it.
+3. The links found make components. Buckets that share members make regions. In a region
+   that still holds several components, the rows outside the largest one are compared to
+   all others by sketch, in blocks of bounded size, and pairs that may reach the threshold
+   are checked on the full sets, which the block holds; only links leave it. Pairs inside
+   a component can't change the result, so a large group of copies costs no square of it.
 
 Links are decided on full sets alone. What sketches decide is which pairs to check: at the
 threshold itself a pair shares no band with probability (1 - 0.85^5)^24 < 1e-6.
@@ -38,8 +39,8 @@ from .common import Written
 BINS, BANDS, ROWS = 256, 24, 5
 #: Pairs whose sketches agree in fewer coordinates are not checked: 0.70 of them, where the threshold is 0.85.
 AGREE = int(0.70 * BINS)
-#: Hubs that a member is checked against at first, and rows of a block of a bucket.
-HUBS, BLOCK = 2, 2048
+#: Hubs that a member is checked against at first, and rows of a block of a region.
+HUBS, BLOCK = 2, 512
 #: At most so many ids are sent to every executor; more are joined by a shuffle.
 MAX_SENT = 2_000_000
 #: Word hashes that a Python worker remembers.
@@ -164,18 +165,19 @@ def agreeing(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint, member bigint, agree bigint")
 
 
+def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    at = np.searchsorted(x, y)
+    common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return 100 * common >= threshold * (len(x) + len(y) - common)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(a, b, linked) by the full sets."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
 
     def run(batches):
         for batch in batches:
-            linked = []
-            for xa, xb in zip(batch.column("xa"), batch.column("xb"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (xa, xb))
-                at = np.searchsorted(x, y)
-                common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                linked.append(100 * common >= threshold * (len(x) + len(y) - common))
+            linked = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), threshold) for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     return both.select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint, linked boolean")
@@ -205,39 +207,59 @@ def components(edges: DataFrame, out: Written) -> DataFrame:
 
 
 def across(rows: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) that may reach the threshold, from blocks of rows (key, home, probe, is_probe, id, component, n, sketch)."""
+    """Links (a, b) between components, from blocks of rows (key, home, probe, is_probe, id, component, n, sketch, shingles).
+
+    A block compares its probes to its other rows by sketch and decides on the full sets;
+    what it has linked once needs no second link.
+    """
     low = threshold / 100
+    columns = ["key", "home", "probe"]
 
-    def pairs(t: pa.Table, own: np.ndarray) -> np.ndarray:
+    def links(t: pa.Table, own: np.ndarray) -> list[tuple[int, int]]:
         ids, comps, n, probes = (t.column(c).to_numpy() for c in ("id", "component", "n", "is_probe"))
         sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        sets = [np.frombuffer(v, np.uint64) for v in t.column("shingles").to_pylist()]
         found = []
         edges = np.flatnonzero(np.append(True, (own[1:] != own[:-1]).any(1)))
         for a, b in zip(edges, np.append(edges[1:], len(own)), strict=True):
-            p, h = a + np.flatnonzero(probes[a:b]), a + np.flatnonzero(~probes[a:b])
-            for i in p:
+            roots: dict[int, int] = {}
+
+            def root(x: int, roots: dict[int, int] = roots) -> int:
+                while x in roots:
+                    x = roots[x]
+                return x
+
+            h = a + np.flatnonzero(~probes[a:b])
+            for i in a + np.flatnonzero(probes[a:b]):
                 c = h[(comps[h] != comps[i]) & (np.minimum(n[h], n[i]) >= low * np.maximum(n[h], n[i]) - 1e-9)]
-                c = c[(sk[c] == sk[i]).sum(1) >= AGREE] if len(c) else c
-                if len(c):
-                    found.append(np.stack([np.minimum(ids[c], ids[i]), np.maximum(ids[c], ids[i])], 1))
-        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+                if not len(c):
+                    continue
+                agree = (sk[c] == sk[i]).sum(1)
+                for k in c[np.argsort(-agree, kind="stable")][: int((agree >= AGREE).sum())]:
+                    x, y = root(int(comps[i])), root(int(comps[k]))
+                    if x != y and similar(sets[i], sets[k], threshold):
+                        roots[max(x, y)] = min(x, y)
+                        found.append((int(ids[i]), int(ids[k])))
+        return found
+
+    def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches):
         held: pa.Table | None = None
         for b in batches:
             t = pa.Table.from_batches([b])
             t = t if held is None else pa.concat_tables([held, t])
-            own = np.stack([t.column(c).to_numpy() for c in ("key", "home", "probe")], 1)
-            last = int(np.flatnonzero((own != own[-1]).any(1))[-1]) + 1 if (own != own[-1]).any() else 0
-            held = t.slice(last).combine_chunks()
+            own = np.stack([t.column(c).to_numpy() for c in columns], 1)
+            changed = np.flatnonzero((own != own[-1]).any(1)) if len(own) else own
+            last = int(changed[-1]) + 1 if len(changed) else 0
+            held = t.slice(last)
             if last:
-                got = pairs(t.slice(0, last), own[:last])
-                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+                yield batch(links(t.slice(0, last), own[:last]))
         if held is not None and held.num_rows:
-            got = pairs(held, np.stack([held.column(c).to_numpy() for c in ("key", "home", "probe")], 1))
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+            yield batch(links(held, np.stack([held.column(c).to_numpy() for c in columns], 1)))
 
-    return rows.repartition("key", "home", "probe").sortWithinPartitions("key", "home", "probe").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition(*columns).sortWithinPartitions(*columns).mapInArrow(run, "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
@@ -269,18 +291,19 @@ def groups(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     links, _ = out.put(links)
     part = components(links, out)
 
-    label = members.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    regions = components(members.select(F.col("id").alias("a"), F.col("hub").alias("b")), out)
+    label = regions.select("id", F.col("component").alias("key")).join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    label, _ = out.put(label)
     counts = label.groupBy("key", "component").agg(F.count("*").alias("c"))
     mixed = counts.groupBy("key").agg(F.count("*").alias("k"), F.max_by("component", "c").alias("most"), F.sum("c").alias("size"), F.max("c").alias("top")).where("k > 1")
     mixed = mixed.select("key", "most", F.ceil(F.col("size") / BLOCK).cast("long").alias("homes"), F.ceil((F.col("size") - F.col("top")) / BLOCK).cast("long").alias("probes"))
-    near = label.select("key", "id", "component").join(mixed, "key").join(known, "id")
+    near = label.join(mixed, "key").join(known, "id").join(sets, "id")
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    cols = ["id", "component", "n", "sketch"]
-    home = near.select("key", place("homes").alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("probes") - 1)).alias("probe"), F.lit(False).alias("is_probe"), *cols)
-    probe = near.where("component <> most").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("homes") - 1)).alias("home"), place("probes").alias("probe"), F.lit(True).alias("is_probe"), *cols)
-    rest = across(home.unionAll(probe), threshold).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    rest, _ = out.put(rest)
-    more, _ = out.put(verified(rest, sets, threshold).where("linked").select("a", "b"))
+    cols = ["id", "component", "n", "sketch", "shingles"]
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    home = near.select("key", place("homes").alias("home"), every("probes").alias("probe"), F.lit(False).alias("is_probe"), *cols)
+    probe = near.where("component <> most").select("key", every("homes").alias("home"), place("probes").alias("probe"), F.lit(True).alias("is_probe"), *cols)
+    more, _ = out.put(across(home.unionAll(probe), threshold))
     part, _ = out.put(components(links.unionAll(more), out))
 
     found = rows.select("doc_id", "n", "digest").join(classes.select("digest", "id").join(part, "id", "left").select("digest", F.coalesce("component", "id").alias("class")), "digest", "left")
