@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..core import Written, delete, file_system, fresh_path, shared_dir  # noqa: F401
+
 #: ASCII white space, as every word rule of this package reads it.
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,60 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Where that is unset, a local master gets a temporary folder of its own; on any
-    other master that would be a folder per machine, so it is an error there.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    import atexit
-    import shutil
-    import tempfile
-
-    made = getattr(shared_dir, "made", None)
-    if made is None:
-        made = shared_dir.made = tempfile.mkdtemp(prefix="plumbline-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-    return f"file://{made}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-class Written:
-    """Tables written to the shared folder to cut lineage; drop() removes the ones no longer read."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, fresh_path(spark, name), 0
-
-    def put(self, df: DataFrame) -> tuple[DataFrame, str]:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
-
-    def drop(self, *paths: str) -> None:
-        for p in paths:
-            delete(self.spark, p)
-
-
-def file_system(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    fs, p = file_system(spark, path)
-    fs.delete(p, True)
-
-
 def n_words(text: Column) -> Column:
     """The number of words of a text, 0 for null: starts of runs that are not white space."""
     text = F.coalesce(text, F.lit(""))
