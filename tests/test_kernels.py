@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import struct
 import tarfile
 import zlib
@@ -136,6 +137,7 @@ def test_guard_batch_equals_stream(spark, tmp_path):
     assert any(w[1] == "rollback" for w in want)
     for k, part in enumerate((rows[:3], rows[3:])):
         (tmp_path / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("run", "step", "loss"), r))) for r in part))
+        os.utime(tmp_path / f"{k}.json", (1000 + k, 1000 + k))  # files are taken by age
     stream = guard.guard_stream(guard.read_log(spark, str(tmp_path), True).select("run", "step", "loss"))
     q = stream.writeStream.format("memory").queryName("guarded").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
