@@ -34,7 +34,7 @@ PHONE = (
     r"|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
 )
 IBAN = r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
+CARD = r"(?<![\w-])(?:\d{13,19}|\d{4}(?<sep>[ -])\d{4}\k<sep>\d{4}\k<sep>\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"
 HEX = r"(?<!\w)(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)"
 FOUND = "|".join((MAIL, IP, DAY, SSN, PHONE, IBAN, CARD, HEX))
 #: Texts without any of these hold no candidate, and the pattern isn't tried on them.

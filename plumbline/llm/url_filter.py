@@ -142,7 +142,7 @@ def filter_urls(df: DataFrame, rules: Iterable[tuple[str, str]] = RULES, key: st
 def judge_by_join(df: DataFrame, rules: DataFrame, key: str, url: str, default: str) -> DataFrame:
     """The same for rule sets too large to send: candidates are joined to the rules by their string."""
     u = F.coalesce(F.col(url).cast("string"), F.lit(""))
-    rest = F.when(F.instr(u, "://") == 0, "").otherwise(F.expr("substring(u, instr(u, '://') + 3)"))
+    rest = F.expr("CASE WHEN instr(u, '://') = 0 THEN '' ELSE substring(u, instr(u, '://') + 3) END")
     rows = (
         df.select(F.col(key).alias("k"), u.alias("u")).select("k", rest.alias("rest"))
         .select("k", F.translate(F.regexp_extract("rest", "^[^/?#]*", 0), UPPER, LOWER).alias("host"), F.regexp_extract("rest", "^[^/?#]*([^?#]*)", 1).alias("path"))
