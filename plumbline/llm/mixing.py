@@ -24,11 +24,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import n_words
+from .common import Written, n_words
 
 WEIGHTS, MOST = (5, 2, 1), 3
 #: A schedule is (time, weight) knots from time 0 to 1, linear in between; one for each weight above.
 SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 2.0)), ((0.0, 2.0), (0.5, 1.0), (1.0, 0.25)))
+#: A table of at most so many rows (of under 100 bytes) is sent to every executor; a larger one is joined by a shuffle.
+MAX_SENT = 200_000
 #: Hex digits of the hash that make a bucket: 4096 buckets a source.
 BUCKET_DIGITS = 3
 
@@ -66,18 +68,25 @@ def position(kind: Column, share: Column, schedules: Sequence = SCHEDULES) -> Co
     return out
 
 
+def sent(df: DataFrame, out: Written) -> DataFrame:
+    """df, written and counted, and marked to be sent if its size allows; so the texts beside it needn't be shuffled."""
+    df, _ = out.put(df)
+    return F.broadcast(df) if df.count() <= MAX_SENT else df
+
+
 def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, schedules: Sequence = SCHEDULES, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken, positions) of each row, and the columns named in keep."""
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), h.alias("h"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+    out = Written(docs.sparkSession, "mixing")
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).withColumnRenamed("source", "s")
-    rows = rows.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = rows.join(sent(goal, out), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     small = (F.col("size") * 100 <= F.col("source_size")).cast("int")
     rows = rows.withColumn("bucket", F.when(small == 0, "").otherwise(F.substring("h", 1, BUCKET_DIGITS)))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), before.alias("before"))
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
+    rows = rows.join(sent(sums, out), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
     inside = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
