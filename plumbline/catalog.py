@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .functions import parsing
 from .functions.columns import NAN, ratio, shown, valid_depth
-from .operators import geometry as G, metrics as M, raster as R, shape as S
-from .plans import ledger as L, queue as Q
-from .sources import readers
+from .operators import corruption as C, geometry as G, metrics as M, raster as R, shape as S
+from .plans import canary, ledger as L, queue as Q
+from .sources import readers, sinks
 from .streaming import guard
 
 QUERIES, SQL = {}, {}
@@ -172,6 +172,35 @@ def w5_gradient(spark, sf):
     return R.gradient(px(spark, sf)).select("frame_id", "v", "u", *r6("gu", "gv"))
 
 
+DRAW = """md5('7|' || frame_id || '|' || v || '|' || u)"""
+NORMAL = """sqrt(-2 * ln((CAST('0x' || substr(d, 11, 11) AS BIGINT) + 1) / 17592186044416.0::DOUBLE)) * cos(2 * pi() * ((CAST('0x' || substr(d, 22, 11) AS BIGINT) + 1) / 17592186044416.0::DOUBLE))"""
+EDGES = PX + """, g AS (SELECT *, lag(depth) OVER (PARTITION BY frame_id, v ORDER BY u) AS a, lead(depth) OVER (PARTITION BY frame_id, v ORDER BY u) AS b,
+  lag(depth) OVER (PARTITION BY frame_id, u ORDER BY v) AS c, lead(depth) OVER (PARTITION BY frame_id, u ORDER BY v) AS e FROM px),
+s AS (SELECT frame_id, v, u, depth, coalesce(greatest(abs(CASE WHEN a IS NULL THEN b - depth WHEN b IS NULL THEN depth - a ELSE (b - a) / 2 END),
+  abs(CASE WHEN c IS NULL THEN e - depth WHEN e IS NULL THEN depth - c ELSE (e - c) / 2 END)) > 0.05, false) AS step FROM g),
+edges AS (SELECT frame_id, v, u, depth, max(step) OVER (PARTITION BY frame_id, u ORDER BY v RANGE BETWEEN 1 PRECEDING AND 0 FOLLOWING) AS edge
+  FROM (SELECT frame_id, v, u, depth, max(step) OVER (PARTITION BY frame_id, v ORDER BY u RANGE BETWEEN 1 PRECEDING AND 0 FOLLOWING) AS step FROM s))"""
+
+
+@query(f"WITH {EDGES} SELECT frame_id, v, u, edge FROM edges")
+def p22_edge_voids(spark, sf):
+    return C.edge_voids(px(spark, sf), 2).select("frame_id", "v", "u", "edge")
+
+
+@query(f"""WITH {EDGES}, q AS (SELECT *, {DRAW} AS d, floor(count(*) OVER (PARTITION BY frame_id) * 0.9::DOUBLE) - sum(CAST(edge AS INTEGER)) OVER (PARTITION BY frame_id) AS budget FROM edges),
+r AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY d, v, u) AS r FROM q)
+SELECT frame_id, v, u, round(CASE WHEN edge OR r <= budget THEN 0.0 WHEN depth > 0 THEN greatest(0.0, depth + 0.015::DOUBLE * depth * depth * {NORMAL}) ELSE greatest(0.0, depth) END, 6) AS corrupted FROM r""")
+def p22_corrupted(spark, sf):
+    return C.corrupted(px(spark, sf), 0.9, 0.015, 2, 7).select("frame_id", "v", "u", *r6("corrupted"))
+
+
+@query(f"""WITH {PX}, q AS (SELECT *, {DRAW} AS d, floor(count(*) FILTER (WHERE depth > 0) OVER (PARTITION BY frame_id) * 0.4::DOUBLE) AS n FROM px),
+r AS (SELECT *, row_number() OVER (PARTITION BY frame_id, depth > 0 ORDER BY d, v, u) AS r FROM q)
+SELECT frame_id, v, u, round(CASE WHEN NOT depth > 0 THEN depth WHEN r <= n THEN 0.0 ELSE greatest(0.0, depth + 0.1::DOUBLE * {NORMAL}) END, 6) AS injected FROM r""")
+def p21_injected(spark, sf):
+    return C.injected(px(spark, sf), 0.4, 0.1, 7).select("frame_id", "v", "u", *r6("injected"))
+
+
 def boxes(spark, sf):
     """A box for each part of the first frame, over the 100 x 100 image, some of them beyond it."""
     k = F.col("p_partkey")
@@ -254,6 +283,21 @@ def a11_eval_report(spark, sf):
     return M.evaluation_report(evalrows(spark, sf)).select("key", "detector", "source", "lifter", "threshold", "n", *r6("acc", "median_iou_2d", "median_z_err_cm", "median_iou_3d"))
 
 
+#: The medians of the report, moved off halves of the last place.
+MOVED = "acc median_iou_2d median_z_err_cm median_iou_3d".split()
+CELLS = ", ".join(f"CASE WHEN isnan({c}) THEN 'nan' ELSE printf('%.{2 if 'cm' in c else 3}f', {c} + {SHIFT}::DOUBLE) END" for c in MOVED)
+
+
+@query(f"WITH {REPORT} SELECT key, '| ' || concat_ws(' | ', detector, source, lifter, printf('%.1f', threshold), {CELLS}, CAST(n AS VARCHAR)) || ' |' AS line FROM report")
+def k5_report_lines(spark, sf):
+    return sinks.report_lines(M.evaluation_report(evalrows(spark, sf)).withColumns({c: F.col(c) + SHIFT for c in MOVED}))
+
+
+@query(f"WITH {EVAL} SELECT detector, round(coalesce(median(iou_3d) FILTER (WHERE success), 0.0), 6) AS median_iou FROM evalrows GROUP BY detector")
+def a30_canary_iou(spark, sf):
+    return evalrows(spark, sf).groupBy("detector").agg(F.round(canary.median_iou(F.col("iou_3d"), F.col("success")), 6).alias("median_iou"))
+
+
 @query(f"WITH {REPORT} SELECT key || '__acc' AS k, round(acc, 6) AS v FROM report UNION ALL SELECT key || '__n', CAST(n AS DOUBLE) FROM report UNION ALL SELECT key || '__median_iou_2d', round(median_iou_2d, 6) FROM report")
 def a31_flat_metrics(spark, sf):
     return M.flattened(M.evaluation_report(evalrows(spark, sf)), ["acc", "n", "median_iou_2d"]).select("k", F.round("v", 6).alias("v"))
@@ -399,6 +443,11 @@ def e1_point_encoder(spark, sf):
 
 # parsing
 
+@query()
+def e4_feature_colours(spark, sf):
+    return S.feature_colours(t(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding").select("vec_id", *"rgb")
+
+
 def responses(spark, sf):
     o, k = t(spark, sf, "orders"), F.col("o_orderkey")
     a, b = (k % 200).cast("int"), (k % 150).cast("int")

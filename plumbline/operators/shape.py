@@ -128,3 +128,22 @@ def encode_clouds(clouds: DataFrame, weights: list[tuple[np.ndarray, np.ndarray]
             yield pdf[["cloud_id"]].assign(embedding=out)
 
     return clouds.select("cloud_id", "points").mapInPandas(run, "cloud_id long, embedding array<float>")
+
+
+def feature_colours(features: DataFrame, column: str = "features") -> DataFrame:
+    """`r`, `g`, `b` from 0 to 1: the first three principal components of an array column, each stretched over its range (0 where it has none).
+
+    A component's sign is the one that makes its largest loading positive. Only the
+    covariance of the columns, whose number the encoder fixes, reaches the driver.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    rows = features.withColumn("__v", array_to_vector(F.col(column).cast("array<double>")))
+    axes = PCA(k=3, inputCol="__v", outputCol="__p").fit(rows).pc.toArray()
+    axes = axes * np.where(axes[np.abs(axes).argmax(0), range(3)] < 0, -1.0, 1.0)
+    dot = lambda k: F.aggregate(F.zip_with(F.col(column).cast("array<double>"), F.array(*map(F.lit, axes[:, k].tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    rows = features.withColumns({c: dot(k) for k, c in enumerate("rgb")})
+    ends = rows.agg(*(f(c).alias(f"{c}_{n}") for c in "rgb" for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    span = lambda c: F.when(F.col(f"{c}_hi") > F.col(f"{c}_lo"), F.col(f"{c}_hi") - F.col(f"{c}_lo")).otherwise(1.0)
+    return rows.join(F.broadcast(ends)).withColumns({c: (F.col(c) - F.col(f"{c}_lo")) / span(c) for c in "rgb"}).drop(*ends.columns)  # ends is one row
