@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .functions import parsing
 from .functions.columns import NAN, ratio, shown, valid_depth
-from .operators import corruption as C, geometry as G, metrics as M, raster as R, shape as S
-from .plans import canary, ledger as L, queue as Q
+from .operators import corruption as C, geometry as G, metrics as M, raster as R, scene, shape as S
+from .plans import canary, ledger as L, queue as Q, runner
 from .sources import readers, sinks
 from .streaming import guard
 
@@ -443,6 +443,28 @@ def e1_point_encoder(spark, sf):
 
 # parsing
 
+VIEW = scene.Camera(24, 32, eye=(2.0, 3.0, -9.0), target=(2.0, 1.0, 0.0))
+MOVES = [" + ".join(f"({c} - {e!r}::DOUBLE) * {float(a)!r}::DOUBLE" for c, e, a in zip("xyz", VIEW.eye, axis, strict=True)) for axis in VIEW.axes]
+MOVES = ", ".join(f"round({f}({m}) + {SHIFT}::DOUBLE, 6) AS {c}_{n}" for m, c in zip(MOVES, "xyz", strict=True) for f, n in (("min", "lo"), ("max", "hi")))
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS mesh_id, CAST(1 + p_size % 7 AS DOUBLE) AS a, CAST(1 + p_partkey % 3 AS DOUBLE) AS b FROM part),
+v AS (SELECT mesh_id, vid % 2 * a AS x, vid // 2 % 2 * b AS y, CAST(vid // 4 AS DOUBLE) AS z FROM p, range(8) r(vid)) SELECT mesh_id, {MOVES} FROM v GROUP BY mesh_id""")
+def p30_camera_boxes(spark, sf):
+    return scene.camera_boxes(meshes(spark, sf)[0], VIEW).select("mesh_id", *s6(*(f"{c}_{n}" for c in "xyz" for n in ("lo", "hi"))))
+
+
+@query()
+def p31_rendered(spark, sf):
+    """A scene for each four parts: (frame_id, pixels hit, objects seen, mean depth of hits)."""
+    v, f = meshes(spark, sf)
+    k = F.col("p_partkey")
+    objects = t(spark, sf, "part").select(F.floor(k / 4).alias("frame_id"), k.alias("mesh_id"), (k % 4).cast("int").alias("place"), F.array((k % 4 + 1) / 4.0, F.lit(0.5), F.lit(0.25)).alias("colour"))
+    r, hit = scene.render(scene.scenes(objects, v, f), VIEW), F.filter("depth", lambda d: d > 0)
+    mean = F.aggregate(hit, F.lit(0.0), lambda s, d: s + d) / F.greatest(F.size(hit), F.lit(1))
+    return r.select("frame_id", F.size(hit).alias("n_hit"), F.size(F.array_remove(F.array_distinct("instance"), 0)).alias("n_seen"), F.round(mean, 5).alias("mean_depth"))
+
+
 @query()
 def e4_feature_colours(spark, sf):
     return S.feature_colours(t(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding").select("vec_id", *"rgb")
@@ -516,6 +538,13 @@ def c6_is_drained(spark, sf):
     return Q.is_drained(queue(spark, sf))
 
 
+@query("""SELECT c_custkey AS name, c_acctbal AS started, max(o_totalprice % 10000) AS newest, coalesce(max(o_totalprice % 10000) < c_acctbal - 60, true) AS stale
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_acctbal""")
+def c12_session_progress(spark, sf):
+    sessions = t(spark, sf, "customer").select(F.col("c_custkey").alias("name"), F.col("c_acctbal").alias("started"))
+    return runner.session_progress(sessions, t(spark, sf, "orders").select(F.col("o_custkey").alias("name"), (F.col("o_totalprice") % 10000).alias("written")))
+
+
 def results(spark, sf):
     return t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("hypothesis"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("score"), F.col("o_orderdate").alias("created_at"), F.sha1((F.col("o_custkey") % 50).cast("string")).alias("config_hash"))
 
