@@ -16,11 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import fold, labelled
 
-#: Labelled rows to train on at most, and chunks of one of them to train on at most (drawn by a seed; scoring uses all).
+#: Labelled rows to train on at most, and chunks of one of them to train on at most (drawn by the text's hash; scoring uses all).
 SAMPLE_ROWS, SAMPLE_CHUNKS = 2400, 24
 CHUNK, STEP, WIDTH, FILTERS, HIDDEN = 256, 192, 4, 16, 24
 #: Epochs over the sample, or more so that a small sample also gets STEPS steps.
@@ -88,16 +89,20 @@ def cut(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts[:-1]
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Adam on the logistic loss; of each filter and chunk only the place of the largest response learns."""
+def drawn(text: str) -> tuple[bytes, np.ndarray]:
+    """The text's digest and the chunks of it to train on."""
+    digest, (chunks, _) = xxhash.xxh3_128_digest(text.encode()), cut([text])
+    if len(chunks) > SAMPLE_CHUNKS:
+        chunks = chunks[np.sort(np.random.default_rng(list(digest)).choice(len(chunks), SAMPLE_CHUNKS, replace=False))]
+    return digest, chunks
+
+
+def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
+    """Adam on the logistic loss, from each document's chunks; of each filter and chunk only the place of the largest response learns."""
     net, r = Network.new(seed), np.random.default_rng(seed)
-    if not len(texts):
+    if not len(docs):
         return net
-    epochs = max(epochs, -(-STEPS // -(-len(texts) // BATCH)))
-    docs = []
-    for t in texts:
-        c, _ = cut([t])
-        docs.append(c if len(c) <= SAMPLE_CHUNKS else c[np.sort(r.choice(len(c), SAMPLE_CHUNKS, replace=False))])
+    epochs = max(epochs, -(-STEPS // -(-len(docs) // BATCH)))
     m, v, step = [np.zeros_like(p) for p in net.params()], [np.zeros_like(p) for p in net.params()], 0
     total = epochs * -(-len(docs) // BATCH)
     for _ in range(epochs):
@@ -138,11 +143,27 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
 
 
 def fit_network(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
-    """Trained on at most `rows` labelled documents outside the held-out fold."""
-    sample = labelled(docs, labels, "quality", rows)
+    """Trained on at most `rows` labelled documents outside the held-out fold.
+
+    Executors cut the texts, so the driver gets at most SAMPLE_CHUNKS chunks of each, however
+    long the texts are. A repeated doc_id counts once, by the text of the smallest digest.
+    """
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                got = [drawn(t) for t in part.column(2).cast(pa.string()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())], names=["doc_id", "label", "digest", "chunks"])
+
+    sample = labelled(docs, labels, "quality", rows).select(F.col("doc_id").cast("string").alias("doc_id"), "label", F.col("text").cast("string").alias("text"))
+    sample = sample.mapInArrow(run, "doc_id string, label int, digest binary, chunks binary").groupBy("doc_id", "label").agg(F.min(F.struct("digest", "chunks")).alias("x"))
     # equal texts teach once, so a large group of copies doesn't outweigh the rest
-    found = sorted({r.text: (str(r.doc_id), r.label) for r in sorted(sample.collect(), key=lambda r: str(r.doc_id))}.items(), key=lambda x: x[1])
-    return train([t for t, _ in found], np.array([y for _, (_, y) in found], np.float32))
+    found: dict[bytes, tuple[str, int, bytes]] = {}
+    for r in sorted(sample.collect(), key=lambda r: r.doc_id):
+        found[bytes(r.x.digest)] = (r.doc_id, r.label, bytes(r.x.chunks))
+    chosen = sorted(found.values())
+    return train([np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for _, _, c in chosen], np.array([y for _, y, _ in chosen], np.float32))
 
 
 def classify(docs: DataFrame, net: Network, keep: float = KEEP) -> DataFrame:

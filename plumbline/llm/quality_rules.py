@@ -85,7 +85,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Tr
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(got, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
     sample = labelled(docs, labels, "quality", rows).select("text", F.col("doc_id").cast("string").alias("doc_id"), "label")
-    found = sorted((r.doc_id, tuple(r.x), r.label) for r in sample.mapInArrow(run, "doc_id string, label int, x array<double>").collect())
+    # a repeated doc_id counts once, by its smallest statistics
+    sample = sample.mapInArrow(run, "doc_id string, label int, x array<double>").groupBy("doc_id", "label").agg(F.min("x").alias("x"))
+    found = sorted((r.doc_id, tuple(r.x), r.label) for r in sample.collect())
     x = np.array([f[1] for f in found], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([f[2] for f in found], float), np.array(list(FEATURES.values())))
 

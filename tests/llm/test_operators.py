@@ -146,7 +146,7 @@ def test_chat_layouts(spark):
 def test_classifier(spark, odd, none):
     rows = QUERIES["op4_quality_classifier"](spark, SF).collect()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
-    net = byte_cnn.train(["good text here " * 5] * 20 + ["### $$$ %%% " * 5] * 20, np.array([1.0] * 20 + [0.0] * 20), 4)
+    net = byte_cnn.train([byte_cnn.drawn(t)[1] for t in ["good text here " * 5] * 20 + ["### $$$ %%% " * 5] * 20], np.array([1.0] * 20 + [0.0] * 20), 4)
     assert net.score(["good text here " * 9])[0] > 0.5 > net.score(["### $$$ %%% " * 9])[0]
     got = byte_cnn.classify(odd, net)
     scores = defaultdict(set)
