@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fold, labelled
+from .common import fold, labelled, slices
 
 #: Labelled rows to train on at most, and chunks of one of them to train on at most (drawn by the text's hash; scoring uses all).
 SAMPLE_ROWS, SAMPLE_CHUNKS = 2400, 24
@@ -151,8 +151,7 @@ def fit_network(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in slices(b, "text"):
                 got = [drawn(t) for t in part.column(2).cast(pa.string()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())], names=["doc_id", "label", "digest", "chunks"])
 
@@ -172,8 +171,7 @@ def classify(docs: DataFrame, net: Network, keep: float = KEEP) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i in range(0, max(b.num_rows, 1), 256):
-                part = b.slice(i, 256)
+            for part in slices(b, "text"):
                 s = net.score(part.column("text").cast(pa.string()).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= keep).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import Written
+from .common import Written, slices
 
 BINS, BANDS, ROWS = 256, 24, 5
 #: Pairs whose sketches agree in fewer coordinates are not checked: 0.70 of them, where the threshold is 0.85.
@@ -120,8 +120,7 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         shingles = Shingles(words)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in slices(b, "text"):
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
                 full = np.array([len(s) > 0 for s in sets])
                 values = sketch(sets)
@@ -147,8 +146,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     def run(batches):
         shingles = Shingles(words)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in slices(b, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
 
     return rows.mapInArrow(run, "id bigint, shingles binary")

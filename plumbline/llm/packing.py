@@ -21,11 +21,13 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import slices
+
 MAX_LENGTH, END_ID = 2048, 1
 #: Parts of words whose ids a Python worker remembers; a full store keeps the ones it learnt first.
-REMEMBERED, KEPT = 500_000, 100_000
-#: Documents tokenised at a time, and parts encoded in one call.
-GROUP, CALL = 128, 256
+REMEMBERED, KEPT = 200_000, 60_000
+#: Documents tokenised at a time, the characters of a longer text that are (up to the next space), and parts encoded in one call.
+GROUP, PIECE, CALL = 128, 1 << 18, 256
 #: How the vocabulary's own rule splits lower-case Latin-1 text: contractions, letters, single numbers, other runs.
 LETTERS, NUMBERS, SPACES = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\x09-\\x0d\\x20\x85\xa0"
 PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+").findall
@@ -78,23 +80,56 @@ class Tokens:
             else:
                 store.update(zip(g, self.ids(g), strict=True))
 
+    def group(self, texts: list[str]) -> list[bytes]:
+        for name in ("parts", "words"):
+            if len(store := getattr(self, name)) >= REMEMBERED:
+                setattr(self, name, dict(islice(store.items(), KEPT)))
+        found, new = [], (set(), set())
+        for t in texts:
+            store, strings = self.split(t)
+            ids = [*map(store.get, strings)]
+            if None in ids:
+                new[store is self.words].update([s for s, k in zip(strings, ids, strict=True) if k is None])
+                ids = None
+            found.append((store, strings, ids))
+        self.learn(self.parts, list(new[0]))
+        self.learn(self.words, list(new[1]))
+        return [b"".join(ids if ids is not None else map(store.__getitem__, strings)) for store, strings, ids in found]
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for i in range(0, len(texts), GROUP):
-            for name in ("parts", "words"):
-                if len(store := getattr(self, name)) >= REMEMBERED:
-                    setattr(self, name, dict(islice(store.items(), KEPT)))
-            found, new = [], (set(), set())
-            for t in texts[i : i + GROUP]:
-                store, strings = self.split(t)
-                ids = [*map(store.get, strings)]
-                if None in ids:
-                    new[store is self.words].update([s for s, k in zip(strings, ids, strict=True) if k is None])
-                    ids = None
-                found.append((store, strings, ids))
-            self.learn(self.parts, list(new[0]))
-            self.learn(self.words, list(new[1]))
-            for store, strings, ids in found:
-                yield b"".join(ids if ids is not None else map(store.__getitem__, strings))
+        """Each text's ids. However long the texts are, the strings of a few pieces are held at a time."""
+        at, held = 0, []
+        for group in grouped(texts):
+            for (k, _), raw in zip(group, self.group([p for _, p in group]), strict=True):
+                if k > at:
+                    yield b"".join(held)
+                    at, held = k, []
+                held.append(raw)
+        if texts:
+            yield b"".join(held)
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A text, cut before spaces so that no token is: tokens end at spaces in any case."""
+    at = 0
+    while len(text) - at > PIECE and (end := text.find(" ", at + PIECE)) > 0:
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def grouped(texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
+    """Pieces with their text's number, so many that they hold PIECE characters or are GROUP pieces."""
+    group, size = [], 0
+    for k, t in enumerate(texts):
+        for p in pieces(t or ""):
+            group.append((k, p))
+            size += len(p)
+            if size >= PIECE or len(group) == GROUP:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
 
 
 _loaded: dict[str, Tokens] = {}
@@ -127,8 +162,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, mo
     def run(batches):
         t = tokens(path)
         for b in batches:
-            for i in range(0, b.num_rows, GROUP):
-                part = b.slice(i, GROUP)
+            for part in slices(b, "text", GROUP, 4 * PIECE):
                 owner, starts, sizes, ids, totals = [], [], [], [], []
                 for k, raw in enumerate(t.encode(part.column(1).to_pylist())):
                     raw += end
