@@ -215,21 +215,21 @@ def p23_box_clamp(spark, sf):
     return G.clamped(boxes(spark, sf), 100, 100).drop("frame_id")
 
 
-@query(f"""WITH {PX}, {BOXES}, f AS (SELECT v, u, depth FROM px WHERE frame_id = 0 AND v < 60)
+@query(f"""WITH {PX}, {BOXES}
 SELECT b.box_id, count(*) AS n_pixels, round(avg(CASE WHEN depth > 0 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS inlier_ratio, round(median(depth) FILTER (WHERE depth > 0), 6) AS z_est
-FROM boxes b JOIN f ON u >= x_min AND u < x_max AND v >= y_min AND v < y_max GROUP BY b.box_id""")
+FROM boxes b JOIN px f ON f.frame_id = b.frame_id AND u >= x_min AND u < x_max AND v >= y_min AND v < y_max GROUP BY b.box_id""")
 def j1_box_crops(spark, sf):
-    c = G.crop(px(spark, sf).where("frame_id = 0 AND v < 60"), boxes(spark, sf))
+    c = G.crop(px(spark, sf), boxes(spark, sf))
     ok = valid_depth(F.col("depth"))
     return c.groupBy("box_id").agg(F.count("*").alias("n_pixels"), F.round(F.avg(ok.cast("double")), 6).alias("inlier_ratio"), F.round(F.median(F.when(ok, F.col("depth"))), 6).alias("z_est"))
 
 
-@query(f"""WITH {PX}, {BOXES}, b AS (SELECT *, greatest(x_max - x_min, y_max - y_min) // 2 AS pad FROM boxes WHERE box_id % 10 = 3), h AS (
+@query(f"""WITH {PX}, {BOXES}, b AS (SELECT *, greatest(x_max - x_min, y_max - y_min) // 2 AS pad FROM boxes), h AS (
   SELECT b.box_id, median(depth) AS z FROM b JOIN px ON px.frame_id = b.frame_id AND u >= x_min - pad AND u < x_max + pad AND v >= y_min - pad AND v < y_max + pad
   AND NOT (u >= x_min AND u < x_max AND v >= y_min AND v < y_max) AND depth > 0 GROUP BY b.box_id)
 SELECT b.box_id, round(h.z, 6) AS z FROM b LEFT JOIN h USING (box_id)""")
 def p15_ring_z(spark, sf):
-    return R.ring_z(px(spark, sf), boxes(spark, sf).where("box_id % 10 = 3")).select("box_id", *r6("z"))
+    return R.ring_z(px(spark, sf), boxes(spark, sf)).select("box_id", *r6("z"))
 
 
 @query(f"""WITH {PX}, {BOXES}, h AS (SELECT b.*, z_est, z_min, z_max FROM boxes b LEFT JOIN (
@@ -244,10 +244,9 @@ def p27_naive_lift(spark, sf):
 
 @query()
 def p25_robust_lift(spark, sf):
-    b = G.clamped(boxes(spark, sf).where("box_id % 10 = 3"), 100, 100).where("inside")
-    height = px(spark, sf).where("frame_id = 0").agg((F.max("v") + 1).alias("rows"))
-    b = b.join(F.broadcast(height)).where("y_min < rows").drop("rows", "inside")  # one row
-    got = G.lift(R.to_frames(px(spark, sf).where("frame_id = 0")), b, K)
+    b, heights = G.clamped(boxes(spark, sf), 100, 100).where("inside"), px(spark, sf).groupBy("frame_id").agg((F.max("v") + 1).alias("rows"))
+    b = b.join(heights, "frame_id").where("y_min < rows").drop("rows", "inside")
+    got = G.lift(R.to_frames(px(spark, sf)), b, K)
     return got.select("box_id", *r6("z_est", "z_min", "z_max", "inlier_ratio"))
 
 
@@ -369,12 +368,12 @@ def m2_voxels(spark, sf):
     return S.voxels(points(spark, sf), 0.5).select("cloud_id", "cell_x", "cell_y", "cell_z", "n", *r6("x", "y", "z"))
 
 
-@query(f"""WITH {PTS}, a AS (SELECT * FROM pts WHERE cloud_id = 0), b AS (SELECT * FROM pts WHERE cloud_id = 1),
+@query(f"""WITH {PTS}, a AS (SELECT * FROM pts WHERE cloud_id = 0), b AS (SELECT * FROM pts WHERE cloud_id <> 0),
 d AS (SELECT a.pt_id AS i, b.pt_id AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM a, b), n1 AS (SELECT i, min(d) AS d FROM d GROUP BY i), n2 AS (SELECT j, min(d) AS d FROM d GROUP BY j)
 SELECT round(((SELECT avg(d) FROM n1) + (SELECT avg(d) FROM n2)) / 2, 6) AS chamfer, round(greatest((SELECT max(d) FROM n1), (SELECT max(d) FROM n2)), 6) AS hausdorff, round((SELECT avg(CASE WHEN d <= 0.5 THEN 1.0::DOUBLE ELSE 0.0 END) FROM n2), 6) AS coverage""")
 def a7_cloud_distances(spark, sf):
     p = points(spark, sf).withColumn("id", F.col("pt_id"))
-    return M.cloud_distances(p.where("cloud_id = 0"), p.where("cloud_id = 1"), 0.5).select(*r6("chamfer", "hausdorff", "coverage"))
+    return M.cloud_distances(p.where("cloud_id = 0"), p.where("cloud_id <> 0"), 0.5).select(*r6("chamfer", "hausdorff", "coverage"))
 
 
 @query(f"""WITH {PTS}, a AS (SELECT * FROM pts WHERE cloud_id = 0), b AS (SELECT * FROM pts WHERE cloud_id <> 0),
@@ -432,7 +431,7 @@ def m10_shape_descriptors(spark, sf):
 @query()
 def m9_surface_samples(spark, sf):
     v, f = meshes(spark, sf)
-    return S.surface_sample(v.where("mesh_id % 10 = 1"), f.where("mesh_id % 10 = 1"), 16).select("mesh_id", "s", *r6("x", "y", "z"))
+    return S.surface_sample(v, f, 16).select("mesh_id", "s", *r6("x", "y", "z"))
 
 
 @query()
@@ -570,10 +569,10 @@ def a25_ledger_count(spark, sf):
     return results(spark, sf).groupBy("hypothesis").agg(F.count("*").alias("n"))
 
 
-@query("SELECT min(p_partkey) AS pos, sha1(p_brand || p_type) AS config_hash FROM part WHERE sha1(p_brand || p_type) NOT IN (SELECT sha1(p_brand || p_type) FROM part WHERE p_partkey < 20) GROUP BY 2")
+@query("SELECT min(p_partkey) AS pos, sha1(p_brand || p_type) AS config_hash FROM part WHERE sha1(p_brand || p_type) NOT IN (SELECT sha1(p_brand || p_type) FROM part WHERE p_size < 10) GROUP BY 2")
 def j7_novel(spark, sf):
-    p = t(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.sha1(F.concat("p_brand", "p_type")).alias("config_hash"))
-    return L.novel(p, p.where("pos < 20"))
+    p = t(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.sha1(F.concat("p_brand", "p_type")).alias("config_hash"), "p_size")
+    return L.novel(p.drop("p_size"), p.where("p_size < 10").drop("p_size"))
 
 
 @query("""WITH c AS (SELECT p_name AS category, row_number() OVER (ORDER BY sha1(p_name)) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT p_name FROM part)) SELECT category, CASE WHEN r <= greatest(1, round_even(n * 0.2, 0)) THEN 'holdout' ELSE 'train' END AS split FROM c""")
@@ -581,11 +580,11 @@ def o5_holdout_split(spark, sf):
     return L.held_out(t(spark, sf, "part").select(F.col("p_name").alias("category")), 0.2)
 
 
-@query("""SELECT 'base-r' || r || '-cur=' || c.n_name || '-v=' || v.r_name AS name, row_number() OVER (ORDER BY r, c.n_nationkey, v.r_regionkey) - 1 AS pos FROM (VALUES (8), (16), (32)) a(r), (SELECT * FROM nation WHERE n_nationkey < 2) c, (SELECT * FROM region WHERE r_regionkey < 2) v""")
+@query("""SELECT 'base-r' || r || '-cur=' || c.n_name || '-v=' || v.r_name AS name, row_number() OVER (ORDER BY r, c.n_nationkey, v.r_regionkey) - 1 AS pos FROM (VALUES (8), (16), (32)) a(r), nation c, region v""")
 def j10_sweep(spark, sf):
     a = spark.createDataFrame([(0, 8), (1, 16), (2, 32)], "i int, r int")
-    n = t(spark, sf, "nation").where("n_nationkey < 2").select(F.col("n_nationkey").alias("j"), "n_name")
-    v = t(spark, sf, "region").where("r_regionkey < 2").select(F.col("r_regionkey").alias("k"), "r_name")
+    n = t(spark, sf, "nation").select(F.col("n_nationkey").alias("j"), "n_name")
+    v = t(spark, sf, "region").select(F.col("r_regionkey").alias("k"), "r_name")
     name = F.concat_ws("-", F.lit("base"), L.coordinate("r", F.col("r"), True), L.coordinate("cur", F.col("n_name"), False), L.coordinate("v", F.col("r_name"), False))
     return L.sweep([a, n, v]).select(name.alias("name"), (F.row_number().over(W.orderBy("r", "j", "k")) - 1).cast("long").alias("pos"))
 

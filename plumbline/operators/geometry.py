@@ -65,8 +65,9 @@ def clamped(df: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def crop(px: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Pixels inside each box of their frame; half-open extents."""
-    return boxes.join(px, "frame_id").where((F.col("u") >= F.col("x_min")) & (F.col("u") < F.col("x_max")) & (F.col("v") >= F.col("y_min")) & (F.col("v") < F.col("y_max")))
+    """Pixels inside each box of their frame; half-open extents. A box meets its own lines only, by an equi-join."""
+    lines = boxes.where("y_max > y_min").withColumn("v", F.explode(F.sequence(F.col("y_min"), F.col("y_max") - 1)))
+    return lines.join(px, ["frame_id", "v"]).where((F.col("u") >= F.col("x_min")) & (F.col("u") < F.col("x_max")))
 
 
 def frustum_box(x_min: Column, y_min: Column, x_max: Column, y_max: Column, z_min: Column, z_max: Column, k: Intrinsics) -> dict[str, Column]:

@@ -184,10 +184,12 @@ def robust_z(px: DataFrame, cfg: FilterConfig = DEFAULT, minimum_side: int = 9)
 def ring_z(px: DataFrame, boxes: DataFrame) -> DataFrame:
     """(box_id, z): the median of valid pixels in the ring around each box, padded by half its longer side; null if none."""
     pad = F.floor(F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min")) / 2)
-    b = boxes.withColumn("pad", pad)
-    near = (F.col("u") >= F.col("x_min") - F.col("pad")) & (F.col("u") < F.col("x_max") + F.col("pad")) & (F.col("v") >= F.col("y_min") - F.col("pad")) & (F.col("v") < F.col("y_max") + F.col("pad"))
+    # a box meets the lines of its ring only, by an equi-join
+    b = boxes.where("x_max > x_min AND y_max > y_min").withColumn("pad", pad.cast("int"))
+    b = b.withColumn("v", F.explode(F.sequence(F.col("y_min") - F.col("pad"), F.col("y_max") + F.col("pad") - 1)))
+    near = (F.col("u") >= F.col("x_min") - F.col("pad")) & (F.col("u") < F.col("x_max") + F.col("pad"))
     inside = (F.col("u") >= F.col("x_min")) & (F.col("u") < F.col("x_max")) & (F.col("v") >= F.col("y_min")) & (F.col("v") < F.col("y_max"))
-    hit = b.join(px, "frame_id").where(near & ~inside & valid_depth(F.col("depth"))).groupBy("box_id").agg(F.median("depth").alias("z"))
+    hit = b.join(px, ["frame_id", "v"]).where(near & ~inside & valid_depth(F.col("depth"))).groupBy("box_id").agg(F.median("depth").alias("z"))
     return boxes.select("box_id").join(hit, "box_id", "left")
 
 
