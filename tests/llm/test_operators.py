@@ -211,6 +211,27 @@ def brute_groups(rows, k, threshold):
     return {i: (len(s), root(i)) for i, s in sets}
 
 
+def test_pieces_of_long_texts(monkeypatch):
+    import pyarrow as pa
+    from plumbline.llm.common import slices
+
+    monkeypatch.setattr(packing, "PIECE", 40)
+    texts = [None, "", " ", BASE * 3, "x" * 500, "é " + "日本 " * 60 + "<|endoftext|>", "don't\n" * 50, "a  b" * 40]
+    t = packing.Tokens(packing.public_tokenizers.path("word_bpe_49k.json"))
+    assert all("".join(packing.pieces(x or "")) == (x or "") for x in texts) and list(t.encode([])) == []
+    assert [*t.encode(texts)] == [np.array(t.tokenizer.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    batch = pa.RecordBatch.from_pydict({"text": ["aa", None, "", "b" * 9, "c", "d", "e"]})
+    assert [b.num_rows for b in slices(batch, "text", 3, 4)] == [3, 1, 3] and [*slices(batch.slice(7), "text")] == []
+
+
+def test_samples_count_a_repeated_id_once(spark):
+    rows = [(1, "good words here " * 9), (1, "other words there " * 9), (2, "## $$ " * 9), (3, None), (None, "x")]
+    docs, labels = spark.createDataFrame(rows * 2, "doc_id long, text string"), spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1)], "doc_id long, quality int")
+    once = spark.createDataFrame([r for r in rows if r[0] == 2 or r[1] == min((x for i, x in rows if i == 1), key=lambda x: byte_cnn.drawn(x)[0])], "doc_id long, text string")
+    a, b = (byte_cnn.fit_network(d, labels).score(["good words", None]) for d in (docs, once))
+    assert np.array_equal(a, b) and quality_rules.fit_rules(docs, labels).score(np.zeros((1, len(quality_rules.FEATURES)))).shape == (1,)
+
+
 def test_near_dedup(spark, docs, odd, none):
     want = brute_groups([(r.doc_id, r.text) for r in docs.collect()], 3, 85)
     rows = QUERIES["op6_near_dedup"](spark, SF).collect()
