@@ -3,8 +3,8 @@
 Candidates are found by one pattern, validated, and permuted within their format by a
 keyed Feistel network: card numbers keep their length, separators and Luhn check; account
 numbers (IBAN) their country and mod-97 check; social security numbers their valid ranges;
-IPv4 addresses and dates stay addresses and dates; phone numbers keep their country code
-and layout; mail addresses keep the shape of the part before the @ and of the domain's
+IPv4 addresses and dates stay addresses and dates; phone numbers (of up to 15 digits) keep
+their country code and layout; mail addresses keep the shape of the part before the @ and of the domain's
 names, up to the last; long hexadecimal secrets keep length and case. Equal values get
 equal pseudonyms in every document, and different values of one format different ones.
 What fails its validation (a number without a Luhn check, the 31st of June) is left as it
@@ -30,15 +30,15 @@ IP = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"
 DAY = r"(?<![\w.-])(?:\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\w-]|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])"
 PHONE = (
-    r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\) ?|\d{1,4}[ .-])?\d{2,4}(?<gap>[ .-]?)\d{2,4}(?:\k<gap>\d{2,4})?(?!\w)"
+    r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\) ?|\d{1,4}[ .-])?(?:\d{2,4}(?<gap>[ .-])\d{2,4}(?:\k<gap>\d{2,4}){0,5}|\d{4,12})(?<!" + r"\d[ .()-]{0,2}" * 15 + r"\d)(?!\w)"
     r"|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
 )
 IBAN = r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 CARD = r"(?<![\w-])(?:\d{13,19}|\d{4}(?<sep>[ -])\d{4}\k<sep>\d{4}\k<sep>\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"
 HEX = r"(?<!\w)(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)"
 FOUND = "|".join((MAIL, IP, DAY, SSN, PHONE, IBAN, CARD, HEX))
-#: Texts without any of these hold no candidate, and the pattern isn't tried on them.
-HINT = r"\d\d|@"
+#: Texts without any of these hold no candidate, and the pattern isn't tried on them: addresses may have single digits only, and secrets no two in a row.
+HINT = r"\d\.?\d|@|[0-9a-fA-F]{32}"
 #: The days of the years 1900 to 2099 make a grid of 17 by 4297.
 DAY_0, DAY_GRID = -25567, (17, 4297)
 

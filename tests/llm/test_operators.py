@@ -108,6 +108,18 @@ def test_pii(spark, odd, none):
     assert one != {r.text for r in pii.pseudonymise(many, "k2").collect()}
 
 
+def test_pii_alone_in_a_text(spark):
+    """No other digits help the candidate to be tried, and groups of a number don't stay behind."""
+    said = ["8.8.8.8", "at 1.1.1.1, said", "a1b2c3d4" * 4, "key " + "A1B2C3D4" * 4 + "\n", "+33 1 23 45 67 89", "+49 89 12 34 56 78", "+49.89.12.34.56.78.90", "+1 202 555 0143 2021 1999"]
+    rows = pii.pseudonymise(spark.createDataFrame([*enumerate(said), (99, "8.8.8.8 and 42")], "i int, text string"), "k", count="n").collect()
+    got = {r.i: r.text for r in rows}
+    shape = lambda s: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "0", s)))
+    assert all(r.n == 1 for r in rows) and got[99] == got[0] + " and 42" and got[7].endswith(" 1999")
+    assert all(shape(got[i]) == shape(said[i]) and not {*said[i].split()[-2:]} & {*got[i].split()} for i in (4, 5, 6))
+    plain = ["1. 2", "v1.2", "x 7", "abcdef" * 9, "1.2.3", None, ""]
+    assert [(r.text, r.n) for r in pii.pseudonymise(spark.createDataFrame([(x,) for x in plain], "text string").coalesce(1), "k", count="n").collect()] == [(x, 0) for x in plain]
+
+
 def test_pii_query_leaves_clean_texts(spark, docs):
     got = {r.doc_id: (r.text, r.n_replaced) for r in QUERIES["op2_pii"](spark, SF).collect()}
     valid = [re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+"), re.compile(r"\+1 \(\d{3}\) 555-\d{4}"), re.compile(r"(?<!\w)[0-9a-f]{40}(?!\w)"), re.compile(r"(?<![\w.])\d+\.\d+\.\d+\.\d+(?!\w)")]
