@@ -7,7 +7,8 @@ it. Bins still empty after as many rounds as there are bins are filled one by on
 second set of rounds, so every coordinate is filled, and the share of equal coordinates of
 two sketches concentrates around the sets' similarity.
 
-1. Documents with equal sets become one class, named by its smallest doc_id.
+1. Documents with equal sets become one class, numbered apart from all ids, as two classes
+   may have a doc_id in common. A component is named by its smallest doc_id at the end.
 2. Bands of coordinates deal the classes into buckets. Every bucket has one hub, chosen by
    a hash; a member is checked against its most similar hubs on the full sets.
 3. The links found make components. Buckets that share members make regions. In a region
@@ -136,10 +137,13 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n bigint, digest binary, bands array<bigint>, sketch binary")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the documents in ids, a column named id; texts are scanned again rather than sets kept of all."""
-    n = ids.count()
-    wanted = ids.withColumnRenamed("id", "doc_id")
+def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of classes (id, first, digest); texts of the first doc_ids are scanned again rather than sets kept of all.
+
+    A doc_id may have several texts, so a set is known by its digest.
+    """
+    n = classes.count()
+    wanted = classes.select(F.col("first").alias("doc_id"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(wanted) if n <= MAX_SENT else wanted, "doc_id", "left_semi")
 
@@ -147,9 +151,12 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         shingles = Shingles(words)
         for b in batches:
             for part in slices(b, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
+                sets = [shingles(t).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
 
-    return rows.mapInArrow(run, "id bigint, shingles binary")
+    sets = rows.mapInArrow(run, "digest binary, shingles binary").dropDuplicates(["digest"])
+    known = classes.select("id", "digest")
+    return sets.join(F.broadcast(known) if n <= MAX_SENT else known, "digest").select("id", "shingles")
 
 
 def agreeing(pairs: DataFrame) -> DataFrame:
@@ -265,15 +272,16 @@ def groups(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     spark = docs.sparkSession
     out = Written(spark, "near-dedup")
     rows, _ = out.put(sketched(docs, words))
-    classes = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "bands", "sketch")))
-    classes, _ = out.put(classes)
+    classes = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("n", "bands", "sketch")))
+    classes, _ = out.put(classes.withColumn("id", F.monotonically_increasing_id()))
     keys = classes.select(F.explode("bands").alias("key"), "id")
     hubs = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("key", "id"), "id")).getField("id").alias("hub")).where("size > 1")
     members, _ = out.put(keys.join(hubs, "key"))
-    facts = classes.select("id", "n", "sketch")
+    facts = classes.select("id", "first", "digest", "n", "sketch")
     known = facts.join(members.select("id").distinct(), "id", "left_semi")
     known, _ = out.put(known)
-    sets, _ = out.put(full_sets(docs, known.select("id"), words).dropDuplicates(["id"]))
+    sets, _ = out.put(full_sets(docs, known, words))
+    known = known.drop("first", "digest")
 
     tested = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), F.col("id").alias("member")).distinct()
     one, two = (known.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
@@ -282,9 +290,11 @@ def groups(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     nearest = W.partitionBy("member").orderBy(F.desc("agree"), "a", "b")
     tested = tested.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= HUBS).select("a", "b").distinct()
     tested, _ = out.put(verified(tested, sets, threshold))
-    same_id = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "digest").distinct().join(classes.select("digest", "id"), "digest").where("doc_id <> id")
     # a repeated doc_id with several texts links their classes
-    twice = same_id.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.collect_set("id").alias("ids")).where("a <> b").select("a", F.explode("ids").alias("b"))
+    owned = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "digest").distinct()
+    several = owned.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    owned, _ = out.put(owned.join(several, "doc_id").join(classes.select("digest", "id"), "digest").select("doc_id", "id"))
+    twice = owned.join(owned.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).distinct()
     links = tested.where("linked").select("a", "b").unionAll(twice.where("a <> b"))
     links, _ = out.put(links)
     part = components(links, out)
@@ -304,20 +314,23 @@ def groups(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     more, _ = out.put(across(home.unionAll(probe), threshold))
     part, _ = out.put(components(links.unionAll(more), out))
 
-    found = rows.select("doc_id", "n", "digest").join(classes.select("digest", "id").join(part, "id", "left").select("digest", F.coalesce("component", "id").alias("class")), "digest", "left")
+    names = part.join(classes.select("id", "first"), "id").groupBy("component").agg(F.min("first").alias("name"))
+    named = classes.select("digest", "id", "first").join(part.join(names, "component").select("id", "name"), "id", "left")
+    found = rows.select("doc_id", "n", "digest").join(named.select("digest", F.coalesce("name", "first").alias("class")), "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("class", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def dedup(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of docs of which one of each group stays: the smallest doc_id. Of rows with one doc_id one stays."""
+    """The rows of docs of which one of each group stays: the smallest doc_id. Of rows with one doc_id one stays, that of the first text in order."""
     found, _ = Written(docs.sparkSession, "near-dedup-result").put(groups(docs, words, threshold))
     gone = found.where("NOT kept").select("doc_id").distinct()
     left = docs.join(F.broadcast(gone) if gone.count() <= MAX_SENT else gone, "doc_id", "left_anti")
     twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return left
-    again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    settled = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+    again = left.join(twice, "doc_id", "left_semi").withColumn("__place", F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), settled))).where("__place = 1")
     return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
 
 

@@ -265,6 +265,20 @@ def test_near_dedup_chain(spark):
     assert got == {i: c for i, (_, c) in brute_groups(rows, 3, 85).items()}
 
 
+def test_near_dedup_of_ids_with_several_texts(spark):
+    """Two classes may have one smallest id; whichever text of it comes first, no link of the others is lost."""
+    text = lambda name, cut=0: " ".join(f"{name}{i}" for i in range(200 - cut))
+    rows = [(5, text("a")), (5, text("b")), (7, text("b")), (9, text("b", 4)), (12, text("a", 4))]
+    rows += [(20, text("c")), (21, text("c")), (21, text("d")), (22, text("d", 3)), (23, text("e")), (2**63 - 1, text("f")), (-4, text("f", 2))]
+    rows += [(30, text(f"g{k}")) for k in range(3)] + [(31 + k, text(f"g{k}", 5)) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: c for i, (_, c) in brute_groups(rows, 5, 80).items()}
+    assert want[9] == want[12] == 5 and want[22] == 20 and want[33] == 30
+    assert [(r.doc_id, r.component_id) for r in near_dedup.groups(df).orderBy("doc_id").collect()] == sorted((i, want[i]) for i, _ in rows)
+    kept = {(r.doc_id, r.text) for n in (1, 5) for r in near_dedup.dedup(df.repartition(n)).collect()}
+    assert kept == {(i, min(t for j, t in rows if j == i)) for i, c in want.items() if i == c}
+
+
 def test_sketch():
     r = np.random.default_rng(0)
     for n in (1, 2, 3, 40, 5000):
