@@ -74,11 +74,14 @@ class Param:
 
 
 def propose(ledger: DataFrame, space: list[Param], kind: str, hypothesis: str, rungs: tuple[int, ...], metric: str, budget: int, eta: int = 3, largest: bool = False, seed: int = 0, most: int | None = None) -> list[dict]:
-    """Successive halving: promotions first, in the order of rungs, then fresh draws, none of them known; [] without budget. The ledger has config_json, config_hash, rung and the metric."""
-    if budget <= 0 or (most is not None and ledger.count() >= most):
+    """Successive halving: promotions first, in the order of rungs, then fresh draws, none of them known; [] without budget. A ledger of `most` rows gets no fresh draws. The ledger has config_json, config_hash, rung and the metric."""
+    if budget <= 0:
         return []
     up = dict(zip(rungs, rungs[1:], strict=False))
-    best = promoted(ledger.where(F.col("rung").isin(list(up))), "rung", metric, eta, largest).orderBy("rung", "place").select("rung", "config_json").limit(budget * eta + budget)
+    raised = lambda config, rung: {**json.loads(config), "max_steps": up[rung]}
+    best = promoted(ledger.where(F.col("rung").isin(list(up))), "rung", metric, eta, largest).select("rung", "place", "config_json")
+    best = best.withColumn("config_hash", F.udf(lambda config, rung: config_hash(raised(config, rung)), "string")("config_json", "rung"))
+    best = best.groupBy("config_hash").agg(F.min(F.struct("rung", "place", "config_json")).alias("b")).join(ledger.select("config_hash").distinct(), "config_hash", "left_anti").select("b.*").orderBy("rung", "place").limit(budget)
     made, known = [], lambda h: not ledger.where(F.col("config_hash") == h).isEmpty()
     r, seen = random.Random(seed), set()
 
@@ -90,7 +93,9 @@ def propose(ledger: DataFrame, space: list[Param], kind: str, hypothesis: str, r
 
     for row in best.toLocalIterator():
         if len(made) < budget:
-            add({**json.loads(row.config_json), "max_steps": up[row.rung]})
+            add(raised(row.config_json, row.rung))
+    if most is not None and ledger.count() >= most:
+        return made
     for _ in range(max(20 * budget, 50)):
         if len(made) >= budget:
             break

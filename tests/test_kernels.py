@@ -131,6 +131,18 @@ def test_ledger(spark):
         L.Param("x", (1,), 0.0, 1.0)
 
 
+def test_promotions_behind_known_ones(spark):
+    """20 promotions of the first rung are in the ledger already; those of the second are proposed, also in a full ledger."""
+    config = lambda i, steps: {"rank": i, "max_steps": steps}
+    rows = [(json.dumps(config(i, s)), L.config_hash(config(i, s)), s, i / 100, float(i)) for s, n in ((10, 60), (40, 20)) for i in range(n)]
+    led = spark.createDataFrame(rows, "config_json string, config_hash string, rung int, loss double, created_at double")
+    space = [L.Param("rank", (1000, 1001))]
+    want = [config(i, 160) for i in range(4)]
+    assert [g["config"] for g in L.propose(led, space, "lora", "H1", (10, 40, 160), "loss", 4)] == want
+    got = [g["config"] for g in L.propose(led, space, "lora", "H1", (10, 40, 160), "loss", 8, most=80)]
+    assert got == [config(i, 160) for i in range(6)]
+
+
 def test_guard_batch_equals_stream(spark, tmp_path):
     rows = [("r", i, v) for i, v in enumerate([1.0, 1.4, 1.6, 1.8, 1.9, 2.0, 0.5])]
     want = [(r.step, r.event, r.ema_loss) for r in guard.guard_batch(spark.createDataFrame(rows, guard.LOG)).orderBy("step").collect()]
