@@ -42,8 +42,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's rows as sequences, each of a power of two."""
-    return packing.digests(packing.pack(docs))
+    """The mix's rows as sequences, each of a power of two, numbered in training order."""
+    docs, place = packing.placed(docs)
+    return packing.digests(packing.pack(docs, place=place))
 
 
 STAGES = [("quality classifier", quality), ("MinHash near-dedup", dedup), ("PII", private), ("mixing", mixed), ("packing", packed)]

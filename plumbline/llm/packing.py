@@ -19,11 +19,14 @@ from itertools import islice
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .common import slices
 
 MAX_LENGTH, END_ID = 2048, 1
+#: Sequence ids leave room for so many pieces of a text: one of 2 GB has an eighth of them at MAX_LENGTH.
+PIECES = 1 << 24
 #: Parts of words whose ids a Python worker remembers; a full store keeps the ones it learnt first.
 REMEMBERED, KEPT = 200_000, 60_000
 #: Documents tokenised at a time, the characters of a longer text that are (up to the next space), and parts encoded in one call.
@@ -147,35 +150,56 @@ def lengths(n: int, most: int = MAX_LENGTH) -> list[int]:
     return [most] * (n // most) + [1 << k for k in range(most.bit_length() - 2, -1, -1) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, most: int = MAX_LENGTH) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, most: int = MAX_LENGTH, place: Column | None = None) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, bucket, sequence_id, offset) of each piece; ids as little-endian 32-bit bytes.
 
     `most` must be a power of two. docs is only scanned: nothing is shuffled or gathered.
+    With place, the rows' number from 0, sequence_id follows it, and else the order of the scan.
     """
     if most < 1 or most & most - 1:
         raise ValueError("the longest sequence must be a power of two")
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    names = ["doc_id", "start", "length", "ids", "doc_tokens"]
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), (F.lit(None) if place is None else place).cast("long").alias("place"))
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "place", "piece"]
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
         t = tokens(path)
         for b in batches:
             for part in slices(b, "text", GROUP, 4 * PIECE):
-                owner, starts, sizes, ids, totals = [], [], [], [], []
+                owner, starts, sizes, ids, totals, numbers = [], [], [], [], [], []
                 for k, raw in enumerate(t.encode(part.column(1).to_pylist())):
                     raw += end
                     n, at = len(raw) // 4, 0
-                    for size in lengths(n, most):
-                        owner.append(k), starts.append(at), sizes.append(size), ids.append(raw[4 * at : 4 * (at + size)]), totals.append(n)
+                    for number, size in enumerate(lengths(n, most)):
+                        numbers.append(number), owner.append(k), starts.append(at), sizes.append(size), ids.append(raw[4 * at : 4 * (at + size)]), totals.append(n)
                         at += size
                 i64 = pa.int64()
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, i64)), pa.array(starts, i64), pa.array(sizes, i64), pa.array(ids, pa.binary()), pa.array(totals, i64)], names=names)
+                owner = pa.array(owner, i64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), pa.array(starts, i64), pa.array(sizes, i64), pa.array(ids, pa.binary()), pa.array(totals, i64), part.column(2).take(owner), pa.array(numbers, i64)], names=names)
 
-    pieces = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, ids binary, doc_tokens bigint")
+    pieces = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, ids binary, doc_tokens bigint, place bigint, piece bigint")
     bucket = F.round(F.log2("length")).cast("int")
-    return pieces.select("*", bucket.alias("bucket"), (F.monotonically_increasing_id() * 16 + bucket).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    number = F.monotonically_increasing_id() if place is None else F.col("place") * PIECES + F.col("piece")
+    return pieces.select(*names[:5], bucket.alias("bucket"), (number * 16 + bucket).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, Column | None]:
+    """docs and the number of each row in the order in which they were written; None where docs aren't Parquet files.
+
+    Scans take files by size. Writers number them by partition, and a row's index in its
+    file and the rows of the files before give its number without a shuffle of the texts.
+    """
+    meta = F.col("_metadata")
+    try:
+        rows = docs.select("*", meta["file_path"].alias("__path"), meta["row_index"].alias("__row"))
+    except AnalysisException:
+        return docs, None
+    name = F.regexp_extract("__path", r"[^/]*$", 0)
+    files = rows.groupBy("__path").agg(F.count("*").alias("n")).withColumn("part", F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long")).withColumn("name", name)
+    order = W.orderBy("part", "name", "__path").rowsBetween(W.unboundedPreceding, -1)  # a row per file
+    files = files.select(F.col("__path").alias("__at"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("__before"))
+    return rows.join(F.broadcast(files), F.col("__path") == F.col("__at")), F.col("__before") + F.col("__row")
 
 
 def write_buckets(packed: DataFrame, path: str, files: int = 8) -> None:

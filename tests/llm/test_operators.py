@@ -415,6 +415,17 @@ def test_schedule_inversion(spark):
         assert all(abs(r.p - np.interp(r.s * total[-1], total, grid)) < 1e-4 for r in df.collect())
 
 
+def test_pipeline_packs_in_the_order_of_the_mix(spark, tmp_path):
+    """Later files are larger, and scans take large ones first; a text of many pieces keeps their order."""
+    rows = [(i, "w x y " * (i * i + 1)) for i in range(60)]
+    path = f"file://{tmp_path}/mix"
+    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    got = corpus_pipeline.packed(spark, spark.read.parquet(path), SF).orderBy("sequence_id").collect()
+    at = [(r.doc_id, r.start) for r in got]
+    assert at == sorted(at) and {i for i, _ in at} == set(range(60)) and len({r.sequence_id for r in got}) == len(got)
+    check_pieces(got, rows)
+
+
 def test_pipeline(spark, docs, odd, none, tmp_path):
     for df in (docs, none, odd.select("doc_id", "text", "lang", "source", "n_chars", "score", "h")):
         at = df
