@@ -34,7 +34,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 class Written:
-    """Tables written to the shared folder to cut lineage; drop() removes the ones no longer read."""
+    """Tables written to the shared folder to cut lineage; drop() removes the given ones, or all."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, fresh_path(spark, name), 0
@@ -46,7 +46,7 @@ class Written:
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, *paths: str) -> None:
-        for p in paths:
+        for p in paths or (self.root,):
             delete(self.spark, p)
 
 
