@@ -31,6 +31,14 @@ def slices(batch: pa.RecordBatch, column: str, rows: int = 256, size: int = 1 <<
         yield batch.slice(start)
 
 
+def spare(columns: list[str], name: str) -> str:
+    """name, or name with underscores before it until no column has it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def n_words(text: Column) -> Column:
     """The number of words of a text, 0 for null: starts of runs that are not white space."""
     text = F.coalesce(text, F.lit(""))

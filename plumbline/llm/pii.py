@@ -17,10 +17,14 @@ The key is part of the plan, as literals are; give it by a redacted configuratio
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import spare
+
+log = logging.getLogger(__name__)
 #: For tests and demonstrations; a deployment sets spark.plumbline.pii.key.
 DEFAULT_KEY = "a key for demonstration only"
 ROUNDS = 8
@@ -41,6 +45,8 @@ FOUND = "|".join((MAIL, IP, DAY, SSN, PHONE, IBAN, CARD, HEX))
 HINT = r"\d\.?\d|@|[0-9a-fA-F]{32}"
 #: The days of the years 1900 to 2099 make a grid of 17 by 4297.
 DAY_0, DAY_GRID = -25567, (17, 4297)
+#: Steps of a walk that ends on a day after the 12th, as three of five days are: it goes on with probability under 1e-24.
+WALK = 64
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -151,12 +157,21 @@ def address(m: Column, key: str) -> Column:
 
 
 def day(m: Column, key: str) -> Column:
-    form = F.when(m.rlike("^\\d{4}-"), "yyyy-MM-dd").when(m.contains("."), "dd.MM.yyyy").otherwise("MM/dd/yyyy")
+    """A day of 1900 to 2099. With slashes the month comes first, unless only the other reading is a day: then the
+    permutation is applied until it gives another one that has no reading but that, so pseudonyms stay apart."""
     iso = F.when(m.rlike("^\\d{4}-"), m).when(m.contains("."), F.regexp_replace(m, r"(..)\.(..)\.(....)", "$3-$2-$1")).otherwise(F.regexp_replace(m, r"(..)/(..)/(....)", "$3-$1-$2"))
-    number = F.datediff(F.to_date(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd"))), F.lit("1970-01-01").cast("date"))
-    new = let(on_grid(number - DAY_0, DAY_GRID, key, "day"), lambda n: F.date_add(F.lit("1970-01-01").cast("date"), (n + DAY_0).cast("int")))
-    shown = let(new, lambda d: F.when(form == "yyyy-MM-dd", F.date_format(d, "yyyy-MM-dd")).when(form == "dd.MM.yyyy", F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")))
-    return F.when((number >= DAY_0) & (number < DAY_0 + DAY_GRID[0] * DAY_GRID[1]), shown).otherwise(m)
+    swapped = F.when(m.contains("/"), F.regexp_replace(m, r"(..)/(..)/(....)", "$3-$2-$1"))
+    number = lambda s: F.datediff(F.to_date(F.try_to_timestamp(s, F.lit("yyyy-MM-dd"))), F.lit("1970-01-01").cast("date")) - DAY_0
+    inside = lambda n: (n >= 0) & (n < DAY_GRID[0] * DAY_GRID[1])
+    date = lambda n: F.date_add(F.lit("1970-01-01").cast("date"), (n + DAY_0).cast("int"))
+    late = lambda n: F.dayofmonth(date(n)) > 12
+    walked = lambda n: F.aggregate(F.sequence(F.lit(0), F.lit(WALK - 1)), n.cast("long"), lambda x, i: F.when((i > 0) & late(x), x).otherwise(on_grid(x, DAY_GRID, key, "day")))
+    form = F.when(m.rlike("^\\d{4}-"), "yyyy-MM-dd").when(m.contains("."), "dd.MM.yyyy").otherwise("MM/dd/yyyy")
+    shown = lambda d: F.when(form == "yyyy-MM-dd", F.date_format(d, "yyyy-MM-dd")).when(form == "dd.MM.yyyy", F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy"))
+    return (
+        F.when(inside(number(iso)), let(on_grid(number(iso), DAY_GRID, key, "day"), lambda n: shown(date(n))))
+        .when(number(iso).isNull() & inside(number(swapped)), let(walked(number(swapped)), lambda n: F.date_format(date(n), "dd/MM/yyyy"))).otherwise(m)
+    )
 
 
 def phone(m: Column, key: str) -> Column:
@@ -187,18 +202,23 @@ def pseudonym(m: Column, key: str) -> Column:
 
 def pseudonymise(df: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """df with the personal data of one column replaced; `count` names a column for the number of replacements."""
-    t = F.col(text).cast("string")
-    df = df.withColumn("__found", F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(FOUND), F.lit(0))))
-    df = df.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda m: pseudonym(m, key))))
-    parts = F.zip_with(F.split(t, FOUND, -1), F.col("__new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit(""))))
-    changed = F.size(F.filter(F.arrays_zip("__found", "__new"), lambda x: x["__found"] != x["__new"]))
+    t, found, new = F.col(text).cast("string"), spare(df.columns, "__found"), spare(df.columns, "__new")
+    columns = df.columns
+    df = df.withColumn(found, F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(FOUND), F.lit(0))))
+    df = df.withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key))))
+    parts = F.zip_with(F.split(t, FOUND, -1), F.col(new), lambda p, n: F.concat(p, F.coalesce(n, F.lit(""))))
+    changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
     if count:
-        df = df.withColumn(count, F.when(F.size("__found") > 0, changed).otherwise(0))
-    return df.withColumn(text, F.when(F.size("__found") > 0, F.array_join(parts, "")).otherwise(t)).drop("__found", "__new")
+        df, columns = df.withColumn(count, F.when(F.size(found) > 0, changed).otherwise(0)), [*(c for c in columns if c.lower() != count.lower()), count]
+    return df.withColumn(text, F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(t)).select(*(F.col(f"`{c}`") for c in columns))
 
 
 def key_of(spark: SparkSession) -> str:
-    return spark.conf.get("spark.plumbline.pii.key", None) or DEFAULT_KEY
+    """The session's key. Without one the public key is used, which anybody can undo, and a warning is logged."""
+    key = spark.conf.get("spark.plumbline.pii.key", None)
+    if not key:
+        log.warning("spark.plumbline.pii.key is unset; pseudonyms are made with a public key")
+    return key or DEFAULT_KEY
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
