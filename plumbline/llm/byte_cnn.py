@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from .common import fold, labelled, slices
 
@@ -165,20 +166,18 @@ def fit_network(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     return train([np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for _, _, c in chosen], np.array([y for _, y, _ in chosen], np.float32))
 
 
-def classify(docs: DataFrame, net: Network, keep: float = KEEP) -> DataFrame:
-    """docs with `score` (0 to 1) and `predicted` (1 if score >= keep, else 0); all columns of docs pass through but for those two names."""
-    docs = docs.drop("score", "predicted")
+def classify(docs: DataFrame, net: Network, keep: float = KEEP, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs with its score (0 to 1) and 1 if score >= keep, else 0, in columns of the given names, which must be free."""
+    if taken := {score.lower(), predicted.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has columns {sorted(taken)}; name others for the results")
 
     def run(batches):
         for b in batches:
             for part in slices(b, "text"):
                 s = net.score(part.column("text").cast(pa.string()).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= keep).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= keep).astype(np.int32))], names=[*part.schema.names, score, predicted])
 
-    schema = docs.schema
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
-
-    return docs.mapInArrow(run, StructType([*schema.fields]).add("score", DoubleType()).add("predicted", IntegerType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(score, DoubleType()).add(predicted, IntegerType()))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
