@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .boosting import Trees, fit
-from .common import labelled
+from .common import labelled, slices
 
 #: The most labelled rows that the trees are fitted on.
 SAMPLE_ROWS = 6000
@@ -80,11 +80,11 @@ def fit_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Tr
     """Trees fitted on at most `rows` labelled documents outside the held-out fold."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text")):
             got = [statistics(t)[1] for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(got, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    sample = labelled(docs, labels, "quality", rows).select("text", F.col("doc_id").cast("string").alias("doc_id"), "label")
+    sample = labelled(docs, labels, "quality", rows).select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("string").alias("doc_id"), "label")
     # a repeated doc_id counts once, by its smallest statistics
     sample = sample.mapInArrow(run, "doc_id string, label int, x array<double>").groupBy("doc_id", "label").agg(F.min("x").alias("x"))
     found = sorted((r.doc_id, tuple(r.x), r.label) for r in sample.collect())
@@ -98,7 +98,7 @@ def apply_rules(docs: DataFrame, model: Trees, keep: float = KEEP) -> DataFrame:
     i64 = pa.int64()
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text")):
             got = [statistics(t) for t in b.column(1).to_pylist()]
             base = np.array([g[0] for g in got], np.int64).reshape(-1, len(BASE))
             score = model.score(np.array([g[1] for g in got], float).reshape(-1, len(FEATURES)))
