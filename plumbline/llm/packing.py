@@ -1,7 +1,8 @@
 """Packing by powers of two.
 
 A document of n tokens is cut into pieces of 2048 and then of the powers of two in the
-binary form of what remains. Pieces of one length make one bucket; each piece is a whole
+binary form of what remains. Pieces of one length make one bucket (its number is log2 of
+the length), and each task's sequences stand bucket by bucket; each piece is a whole
 sequence of that length, so no sequence crosses documents and none is padded.
 
 Null and empty texts are one piece: the end token. Repeated rows are packed each for
@@ -34,6 +35,7 @@ GROUP, PIECE, CALL = 128, 1 << 18, 256
 #: How the vocabulary's own rule splits lower-case Latin-1 text: contractions, letters, single numbers, other runs.
 LETTERS, NUMBERS, SPACES = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\x09-\\x0d\\x20\x85\xa0"
 PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+").findall
+CUT, CUT_PLAIN = re.compile(r"[\x20\x09-\x0D]"), re.compile(r"[\x20\x09-\x0D0-9]")
 
 
 class Tokens:
@@ -113,11 +115,12 @@ class Tokens:
 
 
 def pieces(text: str) -> Iterator[str]:
-    """A text, cut before spaces so that no token is: tokens end at spaces in any case."""
-    at = 0
-    while len(text) - at > PIECE and (end := text.find(" ", at + PIECE)) > 0:
-        yield text[at:end]
-        at = end
+    """A text, cut where no token lies across: before ASCII white space and, in a Latin-1 text, before a single number too."""
+    plain = "<|" not in text and (text.isascii() or max(text) <= "\xff")
+    cut, at = (CUT_PLAIN if plain else CUT).search, 0
+    while len(text) - at > PIECE and (end := cut(text, at + PIECE)):
+        yield text[at : end.start()]
+        at = end.start()
     yield text[at:]
 
 
@@ -202,14 +205,19 @@ def placed(docs: DataFrame) -> tuple[DataFrame, Column | None]:
     return rows.join(F.broadcast(files), F.col("__path") == F.col("__at")), F.col("__before") + F.col("__row")
 
 
+def bucketed(packed: DataFrame) -> DataFrame:
+    """The sequences of each task by length, so that a file's row groups hold one bucket or two and readers of a bucket skip the others; nothing is shuffled."""
+    return packed.sortWithinPartitions("bucket", "sequence_id")
+
+
 def write_buckets(packed: DataFrame, path: str, files: int = 8) -> None:
     """The sequences, a folder for each length; the salt deals a large bucket over `files` tasks."""
     packed.repartition(F.col("bucket"), F.pmod(F.xxhash64("sequence_id"), F.lit(files))).write.partitionBy("bucket").parquet(path)
 
 
-def digests(packed: DataFrame) -> DataFrame:
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+def digests(packed: DataFrame, *more: str) -> DataFrame:
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket", *more)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(pack(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return bucketed(digests(pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
