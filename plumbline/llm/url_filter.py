@@ -2,10 +2,11 @@
 
 A rule is a host and a path prefix written together, such as ``example.net/en/``. It fits
 its host and all subdomains where the URL's path starts with the rule's path; the longest
-rule that fits wins (of two as long, the one with the longer host). The index is one file:
-sorted xxhash64 keys, then the rules' strings. Executors memory-map it, probe it with a
-vectorised binary search and confirm each hit on the stored string, so that two strings
-with one digest can't be mistaken for each other.
+rule that fits wins (of two as long, the one with the longer host). An index file holds
+sorted xxhash64 keys, then the rules' strings; large rule sets make several files, each a
+range of keys. Executors memory-map them, probe them with a vectorised binary search and
+confirm each hit on the stored string, so that two strings with one digest can't be
+mistaken for each other. Rules whose hosts differ in case only are one; the last counts.
 
 Null URLs and URLs without ``://`` have an empty host and path, fit no rule and get the
 default verdict. Repeated rows are judged alike; an empty table gives an empty result.
@@ -13,9 +14,12 @@ default verdict. Repeated rows are judged alike; an empty table gives an empty r
 
 from __future__ import annotations
 
+import atexit
+import json
 import os
+import shutil
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Fixed rules of the production filter.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 VERDICTS = ("allow", "block")
-#: An index file of at most this many bytes is sent to every executor; rules beyond it are joined.
-MAX_INDEX_BYTES = 1 << 30
+#: Rules in one file of the index; more rules make more files.
+PART = 1 << 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _fold = str.maketrans(UPPER, LOWER)
 
@@ -46,6 +50,15 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host, path[: min((i for c in "?#" if (i := path.find(c)) >= 0), default=len(path))]
 
 
+def folded(rules: Iterable[tuple[str, str]]) -> tuple[list[tuple[int, bytes, int]], list[int]]:
+    """(digest, rule, verdict) of the rules in order of digests, and the lengths that their paths have.
+
+    Rules that differ only in the case of their host are one rule, and the last of them counts.
+    """
+    full = {"".join(split_rule(r)): v for r, v in rules}
+    return sorted((xxhash.xxh64_intdigest(r.encode()), r.encode(), VERDICTS.index(v)) for r, v in full.items()), sorted({len(split_rule(r)[1]) for r in full})
+
+
 class DigestIndex:
     """Header of 4 int64 (rules, path lengths, bytes of strings, 0); keys; string ends; path lengths; verdicts; strings."""
 
@@ -53,38 +66,37 @@ class DigestIndex:
         raw = np.memmap(path, np.uint8, "r")
         n, k, size, _ = (int(x) for x in raw[:32].view(np.int64))
         at = 32
-        self.keys = raw[at : (at := at + 8 * n)].view(np.uint64)
+        self.keys = raw[at : (at := at + 8 * n)].view(np.uint64) if n else np.zeros(1, np.uint64)
+        self.n = n
         self.ends = raw[at : (at := at + 8 * n)].view(np.int64)
         self.lengths = raw[at : (at := at + 8 * k)].view(np.int64).tolist()
         self.verdicts = raw[at : (at := at + n)]
         self.strings = raw[at : at + size]
 
     @staticmethod
-    def write(rules: Iterable[tuple[str, str]], path: str) -> int:
-        """Later rules replace equal earlier ones. Returns the file's size."""
-        full = {"".join(split_rule(r)): v for r, v in rules}
-        items = sorted((xxhash.xxh64_intdigest(r.encode()), r.encode(), VERDICTS.index(v)) for r, v in full.items())
-        lengths = sorted({len(split_rule(r)[1]) for r in full})
-        blob = b"".join(r for _, r, _ in items)
+    def save(items: list[tuple[int, bytes, int]], lengths: list[int], path: str) -> None:
+        """A file of some of folded()'s rules, and of the lengths of all."""
         with open(path, "wb") as f:
             for part in (
-                np.array([len(items), len(lengths), len(blob), 0], np.int64),
+                np.array([len(items), len(lengths), sum(len(r) for _, r, _ in items), 0], np.int64),
                 np.array([k for k, _, _ in items], np.uint64),
                 np.cumsum([len(r) for _, r, _ in items], dtype=np.int64),
                 np.array(lengths, np.int64),
                 np.array([v for _, _, v in items], np.uint8),
             ):
                 f.write(part.tobytes())
-            f.write(blob)
-        return os.path.getsize(path)
-
-    def find(self, probes: list[bytes]) -> np.ndarray:
-        """The rule of each probe, or -1."""
-        digests = np.fromiter((xxhash.xxh64_intdigest(p) for p in probes), np.uint64, len(probes))
-        at, found = np.searchsorted(self.keys, digests), np.full(len(probes), -1)
-        for i in np.flatnonzero((at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == digests)) if len(self.keys) else ():
+            for _, r, _ in items:
+                f.write(r)
+
+    def find(self, probes: list[bytes], digests: np.ndarray) -> np.ndarray:
+        """The rule of each probe, or -1: hits of the binary search are confirmed on the stored strings."""
+        found = np.full(len(probes), -1)
+        if not self.n:
+            return found
+        at = np.searchsorted(self.keys, digests)
+        for i in np.flatnonzero((at < self.n) & (self.keys[np.minimum(at, self.n - 1)] == digests)):
             j = int(at[i])
-            while j < len(self.keys) and self.keys[j] == digests[i]:
+            while j < self.n and self.keys[j] == digests[i]:
                 if self.string(j) == probes[i]:
                     found[i] = j
                     break
@@ -94,43 +106,82 @@ class DigestIndex:
     def string(self, j: int) -> bytes:
         return self.strings[self.ends[j - 1] if j else 0 : self.ends[j]].tobytes()
 
+
+class Index:
+    """The rules in files of at most PART rules each, a range of digests per file, and every probe in the file of its range."""
+
+    def __init__(self, paths: Sequence[str]):
+        self.parts = [DigestIndex(p) for p in paths]
+        self.first = np.array([p.keys[0] for p in self.parts], np.uint64)
+
+    @staticmethod
+    def write(rules: Iterable[tuple[str, str]], folder: str, most: int) -> list[str]:
+        items, lengths = folded(rules)
+        cuts, at = [], 0
+        while at < len(items):
+            end = min(at + most, len(items))
+            while end < len(items) and items[end][0] == items[end - 1][0]:  # equal digests stay together
+                end += 1
+            cuts.append((at, end))
+            at = end
+        paths = [os.path.join(folder, f"{os.path.basename(folder)}-{i}.bin") for i in range(len(cuts) or 1)]
+        for path, (a, b) in zip(paths, cuts or [(0, 0)], strict=True):
+            DigestIndex.save(items[a:b], lengths, path)
+        return paths
+
     def judge(self, urls: list[str | None], default: str) -> list[tuple]:
         probes, owner, rank, parts = [], [], [], [split_url(u) for u in urls]
         for i, (host, path) in enumerate(parts):
             suffix = host
             while suffix:
-                for n in self.lengths:
+                for n in self.parts[0].lengths:
                     if n <= len(path):
                         probes.append((suffix + path[:n]).encode())
                         owner.append(i)
                         rank.append((len(suffix) + n, len(suffix)))
                 suffix = suffix.partition(".")[2]
+        digests = np.fromiter((xxhash.xxh64_intdigest(p) for p in probes), np.uint64, len(probes))
         best: dict[int, tuple] = {}
-        for p in np.flatnonzero((found := self.find(probes)) >= 0):
-            i = owner[p]
-            if i not in best or rank[p] > best[i][0]:
-                best[i] = (rank[p], int(found[p]))
-        out = []
-        for i, (host, path) in enumerate(parts):
-            j = best[i][1] if i in best else None
-            out.append((host, path, *((None, default) if j is None else (self.string(j).decode(), VERDICTS[self.verdicts[j]]))))
-        return out
-
-
-def filter_urls(df: DataFrame, rules: Iterable[tuple[str, str]] = RULES, key: str = "page_id", url: str = "url", default: str = "allow", max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
-    """(key, host, path, rule, verdict) of each row of df. Other columns of df are not read."""
-    spark, rules = df.sparkSession, list(rules)
-    folder = tempfile.mkdtemp(prefix="digests-")
-    path = os.path.join(folder, f"digests-{os.path.basename(folder)}.bin")
-    if DigestIndex.write(rules, path) > max_index_bytes:
-        return judge_by_join(df, spark.createDataFrame([("".join(split_rule(r)), v) for r, v in dict(rules).items()], "rule string, verdict string"), key, url, default)
-    spark.sparkContext.addFile(path)  # Spark's own file service brings it to each executor, also to one that starts later
-    name = os.path.basename(path)
+        for k, part in enumerate(self.parts):
+            mine = np.arange(len(probes)) if len(self.parts) == 1 else np.flatnonzero(np.maximum(np.searchsorted(self.first, digests, "right"), 1) == k + 1)
+            found = part.find([probes[p] for p in mine], digests[mine])
+            for p, j in zip(mine[found >= 0].tolist(), found[found >= 0].tolist(), strict=True):
+                if owner[p] not in best or rank[p] > best[owner[p]][0]:
+                    best[owner[p]] = (rank[p], part.string(j).decode(), VERDICTS[part.verdicts[j]])
+        return [(*hp, *(best[i][1:] if i in best else (None, default))) for i, hp in enumerate(parts)]
+
+
+_written: dict[str, list[str]] = {}
+
+
+def shipped(spark: SparkSession, rules: list[tuple[str, str]], most: int) -> list[str]:
+    """Names of the index's files, which Spark's own file service brings to each executor, also to one that starts later.
+
+    The driver's copies stay until it ends, for such executors; equal rules are written once.
+    """
+    name = "digests-" + xxhash.xxh3_128_hexdigest(json.dumps([rules, most, spark.sparkContext.applicationId]).encode())
+    if name not in _written:
+        folder = os.path.join(tempfile.mkdtemp(prefix="plumbline-"), name)
+        os.mkdir(folder)
+        atexit.register(shutil.rmtree, os.path.dirname(folder), ignore_errors=True)
+        _written[name] = Index.write(rules, folder, most)
+        for path in _written[name]:
+            spark.sparkContext.addFile(path)
+    return [os.path.basename(p) for p in _written[name]]
+
+
+def filter_urls(df: DataFrame, rules: Iterable[tuple[str, str]] = RULES, key: str = "page_id", url: str = "url", default: str = "allow", most: int = PART) -> DataFrame:
+    """(key, host, path, rule, verdict) of each row of df. Other columns of df are not read.
+
+    The driver holds the rules once, and executors map the files that it writes, so that
+    only the pages that probes touch are in memory; verdicts are the same for any `most`.
+    """
+    names = shipped(df.sparkSession, [tuple(r) for r in rules], most)
     rows = df.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"))
     schema = f"k {rows.schema['k'].dataType.simpleString()}, host string, path string, rule string, verdict string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = DigestIndex(SparkFiles.get(name))
+        index = Index([SparkFiles.get(n) for n in names])
         for b in batches:
             got = index.judge(b.column(1).to_pylist(), default)
             cols = zip(*got, strict=True) if got else ([], [], [], [])
@@ -139,24 +190,6 @@ def filter_urls(df: DataFrame, rules: Iterable[tuple[str, str]] = RULES, key: st
     return rows.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
-def judge_by_join(df: DataFrame, rules: DataFrame, key: str, url: str, default: str) -> DataFrame:
-    """The same for rule sets too large to send: candidates are joined to the rules by their string."""
-    u = F.coalesce(F.col(url).cast("string"), F.lit(""))
-    rest = F.expr("CASE WHEN instr(u, '://') = 0 THEN '' ELSE substring(u, instr(u, '://') + 3) END")
-    rows = (
-        df.select(F.col(key).alias("k"), u.alias("u")).select("k", rest.alias("rest"))
-        .select("k", F.translate(F.regexp_extract("rest", "^[^/?#]*", 0), UPPER, LOWER).alias("host"), F.regexp_extract("rest", "^[^/?#]*([^?#]*)", 1).alias("path"))
-    )
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
-    tried = rows.where("host <> ''").select("*", F.explode(suffixes).alias("suffix")).select("*", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("n"))
-    tried = tried.select("row", F.concat("suffix", F.expr("substring(path, 1, n)")).alias("rule"), F.length("suffix").alias("h"))
-    best = tried.join(rules, "rule").groupBy("row").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "h")).alias("best"))
-    out = rows.join(best, "row", "left")
-    return out.select(F.col("k").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
-
-
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
