@@ -2,8 +2,9 @@
 
 ``mux`` stores bytes as the samples of one uncompressed grey video track (24 x 24 pixels of
 8 bits: 576 bytes a sample), so every byte comes back. ``walk`` reads any ISO container:
-64-bit box sizes, boxes up to the end of the file, 32- and 64-bit chunk offsets, fixed and
-listed sample sizes, and tracks without a sync table (all samples are keyframes).
+64-bit box sizes, boxes up to the end of the file, 32- and 64-bit chunk offsets, fixed,
+listed and compact sample sizes, movie fragments, and tracks without a sync table (all
+samples are keyframes).
 
 A null or empty container has no tracks; a damaged one has the error's text in `error`
 and no tracks. Equal payloads make equal containers: no clock and no random part.
@@ -20,11 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import slices
+
 SIDE = 24
 SAMPLE = SIDE * SIDE
 #: Samples between keyframes, samples in a chunk, and samples in a second.
 GOP, CHUNK, RATE = 12, 16, 25
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
+#: Boxes within boxes; real files have under ten.
+DEPTH = 32
 IDENTITY = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -72,10 +77,16 @@ def mux(payload: bytes) -> bytes:
     return head + media + box(b"moov", mvhd, box(b"trak", tkhd, mdia))
 
 
-def boxes(data: memoryview, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(path of box types, start, end of its body), depth first in file order."""
-    end = len(data) if end is None else end
-    while start < end:
+def boxes(data: memoryview) -> Iterator[tuple[tuple, int, int]]:
+    """(path of box types, start, end of its body), depth first in file order; boxes nest at most DEPTH deep."""
+    open_ends, path, start = [len(data)], [], 0
+    while open_ends:
+        end = open_ends[-1]
+        if start >= end:
+            start = open_ends.pop()
+            if path:
+                path.pop()
+            continue
         if end - start < 8:
             raise ValueError(f"a box header is cut off at byte {start}")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -90,40 +101,121 @@ def boxes(data: memoryview, start: int = 0, end: int | None = None, path: tuple
             raise ValueError(f"the box {kind!r} at byte {start} doesn't fit")
         yield (*path, kind), body, start + size
         if kind in CONTAINERS:
-            yield from boxes(data, body, start + size, (*path, kind))
-        start += size
+            if len(open_ends) > DEPTH:
+                raise ValueError(f"boxes nest more than {DEPTH} deep")
+            open_ends.append(start + size)
+            path.append(kind)
+            start = body
+        else:
+            start += size
 
 
 def numbers(data: memoryview, at: int, end: int, kind: str, per: int) -> np.ndarray:
     """The rows of a table: a count of 32 bits, then so many rows of `per` numbers."""
-    n = struct.unpack_from(">I", data, at)[0]
+    n = field(data, ">I", at, end)[0]
     width = per * np.dtype(kind).itemsize
     if at + 4 + n * width > end:
         raise ValueError("a sample table is cut off")
     return np.frombuffer(data, kind, n * per, at + 4).astype(np.int64).reshape(n, per)
 
 
+def field(data: memoryview, form: str, at: int, end: int) -> tuple:
+    """Numbers at a place inside a box."""
+    if at + struct.calcsize(form) > end:
+        raise ValueError("a box is too short for its fields")
+    return struct.unpack_from(form, data, at)
+
+
+def few_bits(data: memoryview, a: int, b: int) -> np.ndarray:
+    """Sizes of a compact table, of 4, 8 or 16 bits each."""
+    bits, n = field(data, ">BI", a + 7, b)
+    if bits not in (4, 8, 16):
+        raise ValueError("compact sizes have 4, 8 or 16 bits")
+    if a + 12 + (n * bits + 7) // 8 > b:
+        raise ValueError("a sample table is cut off")
+    if bits == 4:
+        raw = np.frombuffer(data, np.uint8, (n + 1) // 2, a + 12)
+        return np.stack([raw >> 4, raw & 15], 1).reshape(-1)[:n].astype(np.int64)
+    return np.frombuffer(data, ">u2" if bits == 16 else np.uint8, n, a + 12).astype(np.int64)
+
+
+def fragment(data: memoryview, a: int, b: int, head: dict, usual: dict, whole: int) -> tuple[np.ndarray, ...]:
+    """(starts, sizes, durations, is keyframe) of a run of samples in a movie fragment."""
+    flags, n = field(data, ">II", a, b)
+    flags &= 0xFFFFFF
+    at, first_flags = a + 8, None
+    if flags & 0x1:
+        head["at"] = head["base"] + field(data, ">i", at, b)[0]
+        at += 4
+    if flags & 0x4:
+        first_flags = field(data, ">I", at, b)[0]
+        at += 4
+    names = [x for bit, x in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+    defaults = {**usual, **head}
+    if at + 4 * n * len(names) > b or ("size" not in names and (defaults["size"] < 1 and n or n * defaults["size"] > whole)):
+        raise ValueError("a run of samples doesn't fit")
+    rows = np.frombuffer(data, ">u4", n * len(names), at).astype(np.int64).reshape(n, len(names))
+    of = lambda x: rows[:, names.index(x)] if x in names else np.full(n, defaults[x], np.int64)
+    sizes, durations, marks = of("size"), of("duration"), of("flags").copy()
+    if n and first_flags is not None:
+        marks[0] = first_flags
+    starts = head["at"] + np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
+    head["at"] += int(sizes.sum())
+    return starts, sizes, durations, marks & 0x10000 == 0
+
+
 def walk(container: bytes | None) -> list[dict]:
-    """The tracks: codec, handler, timescale, duration, sizes and offsets of samples, byte ranges of keyframes."""
+    """The tracks: codec, handler, timescale, duration, sizes and offsets of samples, byte ranges of keyframes.
+
+    Samples of movie fragments follow those of the tables. A count is believed only as far
+    as the file can hold it: ValueError where it can't, as for all other damage.
+    """
     if not container:
         return []
-    data, tracks = memoryview(container), []
+    data, tracks, usual, head, moof = memoryview(container), [], {}, None, 0
+    whole = len(data)
     for path, a, b in boxes(data):
         kind = path[-1]
         if kind == b"trak":
-            tracks.append({"codec": None, "handler": None, "timescale": 0, "duration": 0})
+            tracks.append({"codec": None, "handler": None, "timescale": 0, "duration": 0, "id": len(tracks) + 1, "runs_of": []})
+        elif kind == b"trex":
+            number, _, *rest = field(data, ">5I", a + 4, b)
+            usual[number] = dict(zip(("duration", "size", "flags"), rest, strict=True))
+        elif kind == b"moof":
+            moof = a - 8
+        elif kind == b"tfhd":
+            flags, number = field(data, ">II", a, b)
+            at, head = a + 8, {"id": number, "base": moof}
+            for bit, name, form in ((0x1, "base", ">Q"), (0x2, None, ">I"), (0x8, "duration", ">I"), (0x10, "size", ">I"), (0x20, "flags", ">I")):
+                if flags & bit:
+                    value = field(data, form, at, b)[0]
+                    at += struct.calcsize(form)
+                    if name:
+                        head[name] = value
+            head["at"] = head["base"]
+        elif kind == b"trun":
+            owner = next((t for t in tracks if head and t["id"] == head["id"]), None)
+            if owner is None or b"traf" not in path:
+                raise ValueError("a run of samples has no track")
+            owner["runs_of"].append(fragment(data, a, b, head, usual.get(head["id"], {"duration": 0, "size": 0, "flags": 0}), whole))
         if b"trak" not in path or len(path) < 3:
             continue
         t = tracks[-1]
-        if kind == b"mdhd":
-            t["timescale"], t["duration"] = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
+        if kind == b"tkhd":
+            t["id"] = field(data, ">I", a + (20 if field(data, ">B", a, b)[0] == 1 else 12), b)[0]
+        elif kind == b"mdhd":
+            t["timescale"], t["duration"] = field(data, ">IQ", a + 20, b) if field(data, ">B", a, b)[0] == 1 else field(data, ">II", a + 12, b)
         elif kind == b"hdlr" and path[-2] == b"mdia":
-            t["handler"] = bytes(data[a + 8 : a + 12]).decode("latin-1")
+            t["handler"] = field(data, ">4s", a + 8, b)[0].decode("latin-1")
         elif kind == b"stsd":
-            t["codec"] = bytes(data[a + 12 : a + 16]).decode("latin-1")
+            t["codec"] = field(data, ">4s", a + 12, b)[0].decode("latin-1")
         elif kind == b"stsz":
-            one, n = struct.unpack_from(">II", data, a + 4)
+            one, n = field(data, ">II", a + 4, b)
+            if one and n * one > whole:
+                raise ValueError("the samples are larger than the file")
             t["sizes"] = np.full(n, one, np.int64) if one else numbers(data, a + 8, b, ">u4", 1)[:, 0]
+        elif kind == b"stz2":
+            t["sizes"] = few_bits(data, a, b)
         elif kind in (b"stco", b"co64"):
             t["chunks"] = numbers(data, a + 4, b, ">u4" if kind == b"stco" else ">u8", 1)[:, 0]
         elif kind == b"stsc":
@@ -134,23 +226,29 @@ def walk(container: bytes | None) -> list[dict]:
             t["sync"] = numbers(data, a + 4, b, ">u4", 1)[:, 0]
     for t in tracks:
         sizes, chunks, runs = t.pop("sizes", np.zeros(0, np.int64)), t.pop("chunks", np.zeros(0, np.int64)), t.pop("runs", np.zeros((0, 3), np.int64))
-        times = t.pop("times", np.zeros((0, 2), np.int64))
-        if len(runs):
-            per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-        else:
-            per = np.zeros(len(chunks), np.int64)
+        times, more = t.pop("times", np.zeros((0, 2), np.int64)), t.pop("runs_of")
+        del t["id"]
+        lasts = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+        if len(runs) and (runs[0, 0] != 1 or (lasts < 0).any()):
+            raise ValueError("the runs of chunks are out of order")
+        per = np.minimum(np.repeat(runs[:, 1], lasts) if len(runs) else np.zeros(len(chunks), np.int64), len(sizes))
         if per.sum() < len(sizes):
             raise ValueError("the chunks hold fewer samples than there are sizes")
-        chunk = np.repeat(np.arange(len(chunks)), per)[: len(sizes)]
+        firsts = np.minimum(np.concatenate([[0], np.cumsum(per)]), len(sizes))
+        chunk = np.repeat(np.arange(len(chunks)), np.diff(firsts))
         before = np.concatenate([[0], np.cumsum(sizes)])
-        firsts = np.concatenate([[0], np.cumsum(per)])[:-1]
-        starts = chunks[chunk] + before[:-1] - before[np.minimum(firsts, len(sizes))][chunk] if len(sizes) else sizes
-        if len(starts) and (starts.min() < 0 or (starts + sizes).max() > len(container)):
-            raise ValueError("a sample lies outside the file")
+        starts = chunks[chunk] + before[:-1] - before[firsts[:-1]][chunk] if len(sizes) else sizes
         sync = t.pop("sync", np.arange(1, len(sizes) + 1)) - 1
-        sync = sync[(sync >= 0) & (sync < len(sizes))]
-        t |= {"starts": starts, "sizes": sizes, "keyframes": [(int(starts[i]), int(starts[i] + sizes[i])) for i in sync]}
-        t["duration"] = t["duration"] or int((times[:, 0] * times[:, 1]).sum())
+        key = np.zeros(len(sizes), bool)
+        key[sync[(sync >= 0) & (sync < len(sizes))]] = True
+        lasting = int((times[:, 0].astype(object) * times[:, 1]).sum()) if len(times) else 0
+        if more:
+            starts, sizes, key = (np.concatenate([x, *(r[i] for r in more)]) for x, i in ((starts, 0), (sizes, 1), (key, 3)))
+            lasting += sum(int(r[2].sum()) for r in more)
+        if len(starts) and (starts.min() < 0 or starts.max() > whole or (starts + sizes).max() > whole):
+            raise ValueError("a sample lies outside the file")
+        t |= {"starts": starts, "sizes": sizes, "keyframes": [(int(starts[i]), int(starts[i] + sizes[i])) for i in np.flatnonzero(key)]}
+        t["duration"] = min(t["duration"] or lasting, 2**63 - 1)
     return tracks
 
 
@@ -179,14 +277,14 @@ def media_columns(df: DataFrame, key: str, content: str) -> DataFrame:
     def one(c):
         try:
             return None, [{"codec": t["codec"], "handler": t["handler"], "timescale": t["timescale"], "duration": t["duration"], "n_samples": len(t["sizes"]), "keyframes": [{"start": a, "end": b} for a, b in t["keyframes"]]} for t in walk(c)]
-        except (ValueError, struct.error, MemoryError) as e:
+        except ValueError as e:
             return str(e), []
 
     i64 = pa.int64()
     kind = pa.list_(pa.struct([("codec", pa.string()), ("handler", pa.string()), ("timescale", i64), ("duration", i64), ("n_samples", i64), ("keyframes", pa.list_(pa.struct([("start", i64), ("end", i64)])))]))
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "c")):
             got = [one(c.as_py()) for c in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], kind)], names=["k", "error", "tracks"])
 
@@ -198,8 +296,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in slices(b, "text"):
                 texts = [(t or "").encode() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([mux(pad(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "container"])
 
@@ -212,7 +309,7 @@ def read_back(stored: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "container")):
             rows = []
             for c in b.column(2):
                 container = c.as_buffer()
