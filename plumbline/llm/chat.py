@@ -8,8 +8,9 @@ backslashes, ``|`` gets one backslash more, and reading back takes it away again
 also a newline and ``%`` are escaped, as ``%0A`` and ``%25``.
 
 Null texts and roles are empty. Turns are ordered by their number (null first), then role
-and text, so equal rows may stand in any order. Records of an unknown layout have null
-turns and are left out of conversations; an empty table gives no conversation. One
+and text, so equal rows may stand in any order. Records of an unknown layout have null turns
+and are left out of conversations (layout_counts says how many there are of which form); a
+record with an empty list of turns adds none; an empty table gives no conversation. One
 conversation is one output row, so its size bounds what a task must hold.
 """
 
@@ -21,6 +22,8 @@ from itertools import chain, combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from .common import spare
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 TURNS = "array<struct<role: string, text: string>>"
 #: Names that other layouts use for the canonical roles.
@@ -46,18 +49,22 @@ class Mapping:
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
     def fingerprints(self) -> list[str]:
-        some = chain.from_iterable(combinations(self.optional, n) for n in range(len(self.optional) + 1))
-        return [digest(structure((*self.paths, *s))) for s in some]
+        """One for each choice of optional fields; a list of turns may also be empty, and then has no fields."""
+        some = [*chain.from_iterable(combinations(self.optional, n) for n in range(len(self.optional) + 1))]
+        full = {structure((*self.paths, *s)) for s in some}
+        inside = lambda p: self.items is not None and p.startswith(f"{self.items}[].")
+        empty = {structure((*(p for p in (*self.paths, *s) if not inside(p)), f"{self.items}[]")) for s in some} if self.items else set()
+        return sorted(map(digest, full | empty))
 
 
 #: The layouts that are known from the start.
 MAPPINGS = (
-    Mapping("turn", ("role", "text"), ("turn",), role="role", text="text"),
-    Mapping("messages", ("messages[].role", "messages[].content"), ("id",), items="messages", role="role", text="content"),
-    Mapping("shares", ("conversations[].from", "conversations[].value"), ("id",), items="conversations", role="from", text="value"),
-    Mapping("prompt_response", ("prompt", "response"), ("system",), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
-    Mapping("prompt_completion", ("prompt", "completion"), fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
-    Mapping("instruction", ("instruction", "output"), ("input",), fields=(("user", ("instruction", "input")), ("assistant", ("output",)))),
+    Mapping("turn", ("role", "text"), ("turn", "id"), role="role", text="text"),
+    Mapping("messages", ("messages[].role", "messages[].content"), ("id", "source", "messages[].name", "messages[].id"), items="messages", role="role", text="content"),
+    Mapping("shares", ("conversations[].from", "conversations[].value"), ("id", "source", "conversations[].name"), items="conversations", role="from", text="value"),
+    Mapping("prompt_response", ("prompt", "response"), ("system", "id", "source"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
+    Mapping("prompt_completion", ("prompt", "completion"), ("system", "id", "source"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
+    Mapping("instruction", ("instruction", "output"), ("input", "system", "id", "source"), fields=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
 )
 
 
@@ -70,7 +77,8 @@ def structure(paths: tuple[str, ...]) -> str:
             at = at.setdefault(part, {})
 
     def show(node: dict) -> str:
-        return "OBJECT<" + ", ".join(k.removesuffix("[]") + (f": {f'ARRAY<{show(v)}>' if k.endswith('[]') else show(v)}" if v else "") for k, v in sorted(node.items())) + ">"
+        inner = lambda k, v: (f": ARRAY<{show(v) if v else 'VOID'}>" if k.endswith("[]") else f": {show(v)}" if v else "")
+        return "OBJECT<" + ", ".join(k.removesuffix("[]") + inner(k, v) for k, v in sorted(node.items())) + ">"
 
     return show(tree)
 
@@ -88,8 +96,11 @@ def turn(role: Column, text: Column) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def canonical_turns(df: DataFrame, record: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """df with `layout` and `turns` for the variant column `record`; both null for unknown layouts."""
+def canonical_turns(df: DataFrame, record: str, mappings: tuple[Mapping, ...] = MAPPINGS, layout: str = "layout", turns: str = "turns") -> DataFrame:
+    """df with `layout` and `turns` for the variant column `record`; both null for unknown layouts.
+
+    Columns that df has by these two names are replaced; name others to keep them.
+    """
     v = F.col(record)
     names = F.create_map(*(F.lit(x) for kv in ROLE_NAMES.items() for x in kv))
 
@@ -106,12 +117,22 @@ def canonical_turns(df: DataFrame, record: str, mappings: tuple[Mapping, ...] =
         gone = F.array(*(F.lit(role) for role, paths in m.fields if all(p in m.optional for p in paths)))
         return F.filter(every, lambda t: ~(F.array_contains(gone, t["role"]) & (t["text"] == ""))) if any(all(p in m.optional for p in ps) for _, ps in m.fields) else every
 
-    df = df.withColumn("__print", fingerprint(v))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    name = spare(df.columns, "__print")
+    known, found = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for m in mappings:
-        hit = F.col("__print").isin(m.fingerprints())
-        layout, turns = F.when(hit, m.name).otherwise(layout), F.when(hit, read(m)).otherwise(turns)
-    return df.withColumns({"layout": layout, "turns": turns}).drop("__print")
+        hit = F.col(name).isin(m.fingerprints())
+        known, found = F.when(hit, m.name).otherwise(known), F.when(hit, read(m)).otherwise(found)
+    return df.withColumn(name, fingerprint(v)).withColumns({layout: known, turns: found}).drop(name)
+
+
+def layout_counts(df: DataFrame, record: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """(fingerprint, structure, layout, n): what records look like, how many there are, and null for the layouts that would be left out."""
+    shape = F.schema_of_variant(F.col(record))
+    names = F.create_map(*(F.lit(x) for m in mappings for f in m.fingerprints() for x in (f, m.name)))
+    rows = df.select(fingerprint(F.col(record)).alias("fingerprint"), shape.alias("structure"))
+    return rows.groupBy("fingerprint").agg(F.min("structure").alias("structure"), F.count("*").alias("n")).withColumn("layout", F.try_element_at(names, "fingerprint"))
+
+
 
 
 def escape(text: Column) -> Column:
@@ -134,14 +155,19 @@ def format_conversations(df: DataFrame, key: str, order: str, trained: tuple[str
     """One row per conversation from rows with `turns`.
 
     (key, n_turns, formatted, loss, loss_spans): `loss` says of each turn whether its text
-    is under the loss mask; `loss_spans` has the masked spans of `formatted`, in code points.
+    is under the loss mask; `loss_spans` has the masked spans of `formatted`, in code points
+    and in bytes of its UTF-8 form.
     """
     rows = df.where("turns IS NOT NULL").select(F.col(key).alias("k"), F.col(order).alias("o"), F.posexplode("turns").alias("i", "t"))
-    rows = rows.select("k", "o", "i", F.col("t.role").isin(list(trained)).alias("loss"), escape_role(F.col("t.role")).alias("role"), escape(F.col("t.text")).alias("text"))
+    rows = rows.select("k", "o", "i", F.col("t.role").isin(list(trained)).alias("loss"), escape_role(F.col("t.role")).alias("role"), escape(F.col("t.text")).alias("text"), F.col("t").alias("raw"))
     rows = rows.withColumn("block", F.concat(F.lit(START), "role", F.lit("\n"), "text", F.lit(END)))
-    before = W.partitionBy("k").orderBy("o", "i", "role", "text").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("at", F.coalesce(F.sum(F.length("block")).over(before), F.lit(0)))
-    span = F.struct((F.col("at") + len(START) + 1 + F.length("role")).alias("start"), F.length("text").cast("long").alias("length"))
+    before = W.partitionBy("k").orderBy("o", "i", "raw.role", "raw.text").rowsBetween(W.unboundedPreceding, -1)
+    total = lambda n: F.coalesce(F.sum(n).over(before), F.lit(0))
+    rows = rows.withColumns({"at": total(F.length("block")), "byte": total(F.octet_length("block"))})
+    span = F.struct(
+        (F.col("at") + len(START) + 1 + F.length("role")).alias("start"), F.length("text").cast("long").alias("length"),
+        (F.col("byte") + len(START) + 1 + F.octet_length("role")).alias("first_byte"), F.octet_length("text").cast("long").alias("n_bytes"),
+    )
     turns = F.sort_array(F.collect_list(F.struct("at", "block", "loss", span.alias("span"))))
     out = rows.groupBy("k").agg(turns.alias("turns")).select(
         F.col("k").alias(key),
@@ -165,6 +191,12 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(blocks, one)
 
 
+def masked_text(formatted: Column, spans: Column) -> Column:
+    """All text under the loss mask, read from the formatted string at its spans and unescaped. Bytes are cut, since finding a code point walks the string."""
+    raw = formatted.cast("binary")
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(raw, (s["first_byte"] + 1).cast("int"), s["n_bytes"].cast("int")).cast("string"))), "")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -172,7 +204,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = rows.unionByName(own).select("conv_id", "turn", F.to_variant_object(F.struct("role", "text")).alias("record"))
     done = format_conversations(canonical_turns(records, "record"), "conv_id", "turn")
     done = done.withColumn("read", read_turns(F.col("formatted")))
-    masked = F.array_join(F.transform(F.filter(F.arrays_zip(F.col("read"), F.col("loss")), lambda x: x["loss"]), lambda x: x["read"]["text"]), "")
+    done = done.withColumn("masked", masked_text(F.col("formatted"), F.col("loss_spans")))
+    masked = F.col("masked")
     return done.select(
         "conv_id", F.size("read").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").cast("binary"), 256).alias("turns_sha256"),
