@@ -11,21 +11,24 @@ only a stage that nobody reads, so a driver may repeat any batch. Writers take t
 
 Keys are (doc_id, tokenizer). Of several changes to one key in a batch the one with the
 largest `seq` counts (of equal ones the larger count, then the delete last). Deleting what isn't there, or
-inserting what is there already unchanged, gives no delta. Rows with a null doc_id can't
-be revised later and are left out; a null source or language is a group of its own; a null
-text has no tokens. An empty batch commits and changes nothing.
+inserting what is there already unchanged, gives no delta. So of a doc_id repeated in one
+batch one text counts, the one of most tokens. Rows with a null doc_id can't be found
+again: each insert of one adds and each delete takes away. Rows with a null tokenizer are
+left out; a null source or language is a group of its own; a null text has no tokens. An
+empty batch commits and changes nothing.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import file_system, fresh_path
+from .common import delete, file_system, fresh_path, slices
 from .packing import tokens
 
 CHANGE = "doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint, deleted boolean, seq bigint"
@@ -33,6 +36,7 @@ LEDGER = "doc_id bigint, tokenizer string, source string, lang string, n_tokens
 DELTA = "source string, lang string, tokenizer string, docs bigint, tokens bigint"
 #: Versions that count_tokens knows: runs of other than ASCII white space, and a public vocabulary.
 VERSIONS = ("words/1", "word_bpe_49k/1")
+KEY, COMPACT = ["doc_id", "tokenizer"], "-compact"
 
 
 def count_tokens(docs: DataFrame, versions: Sequence[str] = VERSIONS, tokenizer: str | None = None) -> DataFrame:
@@ -43,7 +47,7 @@ def count_tokens(docs: DataFrame, versions: Sequence[str] = VERSIONS, tokenizer:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "lang", F.col("text").cast("string").alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text")):
             texts = b.column(3).to_pylist()
             of = {"words/1": lambda: [len((t or "").encode().split()) for t in texts], "word_bpe_49k/1": lambda: [len(x) // 4 for x in tokens(path).encode(texts)]}
             for v in versions:
@@ -58,54 +62,100 @@ def changes(counts: DataFrame, deleted: bool = False, seq: Column | None = None)
 
 
 class TokenRollup:
-    """The totals kept under a folder that all executors share."""
+    """The totals kept under a folder that all executors share.
 
-    def __init__(self, spark: SparkSession, root: str):
+    The ledger lies in `buckets` folders by a hash of doc_id; the first batch settles their
+    number. A batch reads the buckets of its own documents only, and of them the rows with
+    its own ids are aggregated. `compact` puts one ledger in the place of all earlier ones.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark, self.root = spark, root.rstrip("/")
+        fs, p = file_system(spark, self.root)
+        found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        self.buckets = next((int(n.removeprefix("buckets-")) for n in found if n.startswith("buckets-")), buckets)
 
     def batches(self) -> list[str]:
         """Folders of the committed batches, in order."""
         fs, p = file_system(self.spark, f"{self.root}/committed")
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
-    def read(self, what: str, schema: str) -> DataFrame:
-        """A table over all committed batches, with the batch's place as `batch`."""
+    def in_use(self) -> list[str]:
+        """The last compaction and the batches behind it."""
         names = self.batches()
+        last = max((i for i, n in enumerate(names) if n.endswith(COMPACT)), default=0)
+        return names[last:]
+
+    def read(self, what: str, schema: str) -> DataFrame:
+        """A table over the batches in use, with the batch's place as `batch`."""
+        names = self.in_use()
         if not names:
             return self.spark.createDataFrame([], f"{schema}, batch bigint")
-        paths = [f"{self.root}/committed/{n}/{what}" for n in names]
-        place = F.regexp_extract(F.input_file_name(), r"/committed/(\d+)-", 1).cast("bigint")
-        return self.spark.read.schema(schema).parquet(*paths).withColumn("batch", place)
+        # the folders' names bring `batch`, and `bucket` for the ledger, and prune what is read
+        parts = [self.spark.read.schema(schema).parquet(f"{self.root}/committed/{n}/{what}").withColumn("batch", F.lit(int(n.split("-", 1)[0])).cast("bigint")) for n in names]
+        return reduce(DataFrame.unionByName, parts)
+
+    def in_force(self, keys: DataFrame | None = None) -> DataFrame:
+        """The last entry of each key (doc_id, tokenizer), or of the given ones only; deleted ones included."""
+        value, rows = F.struct("batch", "source", "lang", "n_tokens", "deleted"), self.read("ledger", f"{LEDGER}, bucket int")
+        if keys is not None:
+            wanted = [r.bucket for r in keys.select(self.bucket().alias("bucket")).distinct().collect()]  # `buckets` numbers at most
+            rows = rows.where(F.col("bucket").isin(wanted)).join(keys, KEY, "left_semi")
+        return rows.groupBy(*KEY).agg(F.max_by(value, "batch").alias("v")).select(*KEY, "v.source", "v.lang", "v.n_tokens", "v.deleted")
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
+
+    def put(self, ledger: DataFrame, path: str) -> None:
+        ledger.withColumn("bucket", self.bucket()).repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+    def publish(self, stage: str, name: str) -> None:
+        """Renames a stage to the next place; a reader sees all of a batch or nothing."""
+        fs, source = file_system(self.spark, stage)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        target = path(f"{self.root}/committed/{len(self.batches()):09d}-{name}")
+        fs.mkdirs(path(f"{self.root}/buckets-{self.buckets}"))
+        fs.mkdirs(target.getParent())
+        if fs.exists(target) or not fs.rename(source, target):
+            raise RuntimeError(f"batch {name} could not be committed; nothing has changed")
 
-    def in_force(self) -> DataFrame:
-        """The last entry of each key; deleted ones included."""
-        value = F.struct("batch", "source", "lang", "n_tokens", "deleted")
-        return self.read("ledger", LEDGER).groupBy("doc_id", "tokenizer").agg(F.max_by(value, "batch").alias("v")).select("doc_id", "tokenizer", "v.source", "v.lang", "v.n_tokens", "v.deleted")
+    def staged(self, name: str) -> str:
+        return f"{self.root}/staged/{fresh_path(self.spark, name).rsplit('/', 1)[1]}"
 
     def commit(self, batch_id: str, change: DataFrame) -> bool:
         """Applies a batch once. False if a batch of that id has been committed before."""
-        if not re.fullmatch(r"[\w.=-]+", batch_id):
-            raise ValueError("a batch id may have letters, digits and . _ = - only")
+        if not re.fullmatch(r"[\w.=-]+", batch_id) or batch_id == COMPACT[1:]:
+            raise ValueError("a batch id may have letters, digits and . _ = - only, and not be the name of a compaction")
         done = self.batches()
         if any(n.split("-", 1)[1] == batch_id for n in done):
             return False
-        stage, key = f"{self.root}/staged/{fresh_path(self.spark, batch_id).rsplit('/', 1)[1]}", ["doc_id", "tokenizer"]
+        stage = self.staged(batch_id)
         entry = F.struct("seq", F.coalesce("n_tokens", F.lit(0)).alias("n"), "deleted", "source", "lang")
-        new = change.where("doc_id IS NOT NULL AND tokenizer IS NOT NULL").groupBy(*key).agg(F.max(entry).alias("e"))
-        new = new.select(*key, "e.source", "e.lang", F.col("e.n").alias("n_tokens"), F.coalesce("e.deleted", F.lit(False)).alias("deleted"))
-        new.write.parquet(f"{stage}/ledger")
-        new = self.spark.read.schema(LEDGER).parquet(f"{stage}/ledger")
-        old = self.in_force().where("NOT deleted").join(new.select(*key), key, "left_semi") if done else new.limit(0)
-        signed = new.where("NOT deleted").withColumn("sign", F.lit(1)).unionByName(old.withColumn("sign", F.lit(-1)))
-        delta = signed.groupBy("source", "lang", "tokenizer").agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("tokens"))
+        change = change.where("tokenizer IS NOT NULL")
+        new = change.where("doc_id IS NOT NULL").groupBy(*KEY).agg(F.max(entry).alias("e"))
+        new = new.select(*KEY, "e.source", "e.lang", F.col("e.n").alias("n_tokens"), F.coalesce("e.deleted", F.lit(False)).alias("deleted"))
+        self.put(new, f"{stage}/ledger")
+        new = self.spark.read.schema(f"{LEDGER}, bucket int").parquet(f"{stage}/ledger").drop("bucket")
+        old = self.in_force(new.select(*KEY)).where("NOT deleted") if done else new.limit(0)
+        # rows without an id can't be found again: each insert adds, each delete takes away
+        loose = change.where("doc_id IS NULL").select("source", "lang", "tokenizer", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.when(F.coalesce("deleted", F.lit(False)), -1).otherwise(1).alias("sign"))
+        signed = [df.select("source", "lang", "tokenizer", "n_tokens", F.lit(k).alias("sign")) for df, k in ((new.where("NOT deleted"), 1), (old, -1))]
+        signed = signed[0].unionByName(signed[1]).unionByName(loose)
+        delta = signed.groupBy("source", "lang", "tokenizer").agg(F.sum("sign").cast("bigint").alias("docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("bigint").alias("tokens"))
         delta.where("docs <> 0 OR tokens <> 0").write.parquet(f"{stage}/deltas")
-        fs, source = file_system(self.spark, stage)
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/committed/{len(done):09d}-{batch_id}")
-        fs.mkdirs(target.getParent())
-        if fs.exists(target) or not fs.rename(source, target):
-            raise RuntimeError(f"batch {batch_id} could not be committed; nothing has changed")
+        self.publish(stage, batch_id)
         return True
 
+    def compact(self, remove: bool = False) -> None:
+        """One ledger and one table of totals instead of all so far. With remove, older data go; their folders stay, as they hold the ids that were committed."""
+        stage, before = self.staged("compact"), self.batches()
+        self.put(self.in_force().where("NOT deleted"), f"{stage}/ledger")
+        self.totals().select("source", "lang", "tokenizer", F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens")).write.parquet(f"{stage}/deltas")
+        self.publish(stage, COMPACT[1:])
+        for n in before if remove else ():
+            for what in ("ledger", "deltas"):
+                delete(self.spark, f"{self.root}/committed/{n}/{what}")
+
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) of the groups that have documents."""
         sums = self.read("deltas", DELTA).groupBy("source", "lang", "tokenizer").agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
