@@ -11,14 +11,18 @@ two sketches concentrates around the sets' similarity.
    may have a doc_id in common. A component is named by its smallest doc_id at the end.
 2. Bands of coordinates deal the classes into buckets. Every bucket has one hub, chosen by
    a hash; a member is checked against its most similar hubs on the full sets.
-3. The links found make components. Buckets that share members make regions. In a region
-   that still holds several components, the rows outside the largest one are compared to
-   all others by sketch, in blocks of bounded size, and pairs that may reach the threshold
-   are checked on the full sets, which the block holds; only links leave it. Pairs inside
-   a component can't change the result, so a large group of copies costs no square of it.
-
-Links are decided on full sets alone. What sketches decide is which pairs to check: at the
-threshold itself a pair shares no band with probability (1 - 0.85^5)^24 < 1e-6.
+3. The links found make components. In a bucket that still holds several of them, the rows
+   outside the largest one are compared to all others by sketch, in blocks of bounded size;
+   the nearest few of each are checked on the full sets. Pairs inside a component can't
+   change the result, so a large group of copies costs no square of it.
+4. Buckets in which a row had more such neighbours, and which still hold several components,
+   are joined to regions where they share members, and decided in blocks that hold the full
+   sets; only links leave these. Most tables have no such bucket.
+
+Links are decided on full sets alone. What sketches decide is which pairs to check: the
+bands are so many and so long that a pair at the threshold shares none with probability
+under MISSED, and a pair is checked if its sketches agree in up to 0.15 less than the
+threshold, six deviations of that share.
 
 Null and empty texts have an empty set and are linked with nothing. A repeated doc_id is
 one document with as many rows; rows whose texts differ are linked by the id. Rows with a
@@ -28,6 +32,8 @@ must be an integer. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from itertools import islice
 
 import numpy as np
@@ -37,11 +43,11 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import Written, slices
 
-BINS, BANDS, ROWS = 256, 24, 5
-#: Pairs whose sketches agree in fewer coordinates are not checked: 0.70 of them, where the threshold is 0.85.
-AGREE = int(0.70 * BINS)
-#: Hubs that a member is checked against at first, and rows of a block of a region.
-HUBS, BLOCK = 2, 512
+BINS, MISSED = 256, 1e-6
+#: Hubs that a member is checked against at first, neighbours of a row that leave a block of sketches, and the rows of such a block.
+HUBS, NEAREST, SKETCHES = 2, 8, 2048
+#: Rows, and bytes of full sets, of a block of a region.
+BLOCK, BLOCK_BYTES = 512, 1 << 24
 #: At most so many ids are sent to every executor; more are joined by a shuffle.
 MAX_SENT = 2_000_000
 #: Word hashes that a Python worker remembers.
@@ -104,7 +110,23 @@ def sketch(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     return out
 
 
-def bands(sketches: np.ndarray, n: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def banding(threshold: int) -> tuple[int, int]:
+    """(bands, coordinates of each): the longest bands of which enough fit into a sketch, so that few buckets hold pairs that aren't similar."""
+    if not 50 <= threshold <= 100:
+        raise ValueError("thresholds of 50 to 100 hundredths are possible")
+    for rows in range(16, 0, -1):
+        n = math.ceil(math.log(MISSED) / math.log1p(-((threshold / 100) ** rows))) if threshold < 100 else BINS // 16
+        if n * rows <= BINS:
+            return n, rows
+    raise AssertionError
+
+
+def agreement(threshold: int) -> int:
+    """Equal coordinates below which a pair is not checked."""
+    return int((threshold - 15) / 100 * BINS)
+
+
+def bands(sketches: np.ndarray, n: int, rows: int) -> np.ndarray:
     keys = np.empty((len(sketches), n), np.uint64)
     for b in range(n):
         h = np.full(len(sketches), seed(b))
@@ -114,9 +136,10 @@ def bands(sketches: np.ndarray, n: int = BANDS, rows: int = ROWS) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketched(docs: DataFrame, words: int) -> DataFrame:
+def sketched(docs: DataFrame, words: int, threshold: int) -> DataFrame:
     """(doc_id, n, digest, bands, sketch) of every row; the last three null for empty sets."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shape = banding(threshold)
 
     def run(batches):
         shingles = Shingles(words)
@@ -125,7 +148,7 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
                 full = np.array([len(s) > 0 for s in sets])
                 values = sketch(sets)
-                keys = bands(values)
+                keys = bands(values, *shape)
                 low = (values & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()),
@@ -211,22 +234,79 @@ def components(edges: DataFrame, out: Written) -> DataFrame:
         mark = now
 
 
+def in_blocks(columns: list[str], work: Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch]) -> Callable:
+    """For rows sorted by columns: work(rows, firsts, ends) of whole blocks, rows that agree in all columns."""
+
+    def found(t: pa.Table, own: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]).any(1)))
+        return work(t, first, np.append(first[1:], len(own)))
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        key = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = np.stack([b.column(c).to_numpy() for c in columns], 1)
+            if key is not None and (own == key).all():
+                held.append(b)
+                continue
+            t = pa.Table.from_batches([*held, b])
+            own = np.stack([t.column(c).to_numpy() for c in columns], 1)
+            key = own[-1]
+            last = int(np.flatnonzero((own != key).any(1))[-1]) + 1 if (own != key).any() else 0
+            if last:
+                yield found(t.slice(0, last), own[:last])
+            held = t.slice(last).to_batches()
+        if held:
+            t = pa.Table.from_batches(held)
+            yield found(t, np.stack([t.column(c).to_numpy() for c in columns], 1))
+
+    return run
+
+
+COLUMNS = ["key", "home", "probe"]
+
+
+def others(i: int, homes: np.ndarray, comps: np.ndarray, n: np.ndarray, sketches: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of homes in other components whose sizes and sketches allow a link with row i, the most similar first, and in how many coordinates they agree."""
+    c = homes[(comps[homes] != comps[i]) & (np.minimum(n[homes], n[i]) * 100 >= np.maximum(n[homes], n[i]) * threshold)]
+    agree = (sketches[c] == sketches[i]).sum(1)
+    order = np.argsort(-agree, kind="stable")[: int((agree >= agreement(threshold)).sum())]
+    return c[order], agree[order]
+
+
+def neighbours(rows: DataFrame, threshold: int) -> DataFrame:
+    """(key, a, b, more) from blocks of rows (key, home, probe, is_probe, id, component, n, sketch): each probe with its
+    nearest rows of other components that may be linked with it; `more` says that it has others."""
+
+    def work(t: pa.Table, firsts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        keys, ids, comps, n, probes = (t.column(c).to_numpy() for c in ("key", "id", "component", "n", "is_probe"))
+        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        found = []
+        for a, b in zip(firsts, ends, strict=True):
+            homes = a + np.flatnonzero(~probes[a:b])
+            for i in a + np.flatnonzero(probes[a:b]):
+                c, _ = others(i, homes, comps, n, sk, threshold)
+                found += [(keys[i], min(ids[i], ids[k]), max(ids[i], ids[k]), len(c) > NEAREST) for k in c[:NEAREST]]
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["key", "a", "b", "more"])
+
+    return rows.repartition(*COLUMNS).sortWithinPartitions(*COLUMNS).mapInArrow(in_blocks(COLUMNS, work), "key bigint, a bigint, b bigint, more boolean")
+
+
 def across(rows: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) between components, from blocks of rows (key, home, probe, is_probe, id, component, n, sketch, shingles).
 
     A block compares its probes to its other rows by sketch and decides on the full sets;
     what it has linked once needs no second link.
     """
-    low = threshold / 100
-    columns = ["key", "home", "probe"]
 
-    def links(t: pa.Table, own: np.ndarray) -> list[tuple[int, int]]:
+    def work(t: pa.Table, firsts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
         ids, comps, n, probes = (t.column(c).to_numpy() for c in ("id", "component", "n", "is_probe"))
         sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-        sets = [np.frombuffer(v, np.uint64) for v in t.column("shingles").to_pylist()]
-        found = []
-        edges = np.flatnonzero(np.append(True, (own[1:] != own[:-1]).any(1)))
-        for a, b in zip(edges, np.append(edges[1:], len(own)), strict=True):
+        shingles, found = t.column("shingles").combine_chunks(), []
+        of = lambda k: np.frombuffer(shingles[int(k)].as_buffer(), np.uint64)
+        for a, b in zip(firsts, ends, strict=True):
             roots: dict[int, int] = {}
 
             def root(x: int, roots: dict[int, int] = roots) -> int:
@@ -234,44 +314,50 @@ def across(rows: DataFrame, threshold: int) -> DataFrame:
                     x = roots[x]
                 return x
 
-            h = a + np.flatnonzero(~probes[a:b])
+            homes = a + np.flatnonzero(~probes[a:b])
             for i in a + np.flatnonzero(probes[a:b]):
-                c = h[(comps[h] != comps[i]) & (np.minimum(n[h], n[i]) >= low * np.maximum(n[h], n[i]) - 1e-9)]
-                if not len(c):
-                    continue
-                agree = (sk[c] == sk[i]).sum(1)
-                for k in c[np.argsort(-agree, kind="stable")][: int((agree >= AGREE).sum())]:
+                for k in others(i, homes, comps, n, sk, threshold)[0]:
                     x, y = root(int(comps[i])), root(int(comps[k]))
-                    if x != y and similar(sets[i], sets[k], threshold):
+                    if x != y and similar(of(i), of(k), threshold):
                         roots[max(x, y)] = min(x, y)
                         found.append((int(ids[i]), int(ids[k])))
-        return found
-
-    def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    def run(batches):
-        held: pa.Table | None = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if held is None else pa.concat_tables([held, t])
-            own = np.stack([t.column(c).to_numpy() for c in columns], 1)
-            changed = np.flatnonzero((own != own[-1]).any(1)) if len(own) else own
-            last = int(changed[-1]) + 1 if len(changed) else 0
-            held = t.slice(last)
-            if last:
-                yield batch(links(t.slice(0, last), own[:last]))
-        if held is not None and held.num_rows:
-            yield batch(links(held, np.stack([held.column(c).to_numpy() for c in columns], 1)))
+    return rows.repartition(*COLUMNS).sortWithinPartitions(*COLUMNS).mapInArrow(in_blocks(COLUMNS, work), "a bigint, b bigint")
+
+
+def mixed_blocks(label: DataFrame, facts: DataFrame, rows: int, size: int | None = None) -> DataFrame:
+    """Blocks of the keys of label (key, id, component) that hold several components, with the columns of facts (id, n, ...).
+
+    Every row of such a key is a home and every one outside its largest component a probe;
+    each home meets each probe in one block of about `rows` of either, and of about `size`
+    bytes of full sets.
+    """
+    label = label.join(facts.select("id", "n"), "id") if size else label.withColumn("n", F.lit(0))
+    counts = label.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    mixed = counts.groupBy("key").agg(F.count("*").alias("k"), F.max_by("component", "c").alias("most"), F.sum("c").alias("size"), F.max("c").alias("top"), F.sum("n").alias("all")).where("k > 1")
+    least = F.ceil(F.col("all") * 8 / size) if size else F.lit(1)
+    parts = lambda c: F.greatest(F.ceil(c / rows), least).cast("long")
+    mixed = mixed.select("key", "most", parts(F.col("size")).alias("homes"), parts(F.col("size") - F.col("top")).alias("probes"))
+    near = label.drop("n").join(mixed, "key").join(facts, "id")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cols = ["id", "component", *(c for c in facts.columns if c != "id")]
+    home = near.select("key", place("homes").alias("home"), every("probes").alias("probe"), F.lit(False).alias("is_probe"), *cols)
+    probe = near.where("component <> most").select("key", every("homes").alias("home"), place("probes").alias("probe"), F.lit(True).alias("is_probe"), *cols)
+    return home.unionAll(probe)
 
-    return rows.repartition(*columns).sortWithinPartitions(*columns).mapInArrow(run, "a bigint, b bigint")
+
+def labelled_by(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """rows (key, id) with each id's component, itself where it has none."""
+    return rows.select("key", "id").join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def groups(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs. threshold is in hundredths; AGREE allows 80 and more."""
+    """(doc_id, n_shingles, component_id, kept) of every row of docs. threshold is in hundredths, 50 to 100."""
     spark = docs.sparkSession
     out = Written(spark, "near-dedup")
-    rows, _ = out.put(sketched(docs, words))
+    rows, _ = out.put(sketched(docs, words, threshold))
     classes = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("n", "bands", "sketch")))
     classes, _ = out.put(classes.withColumn("id", F.monotonically_increasing_id()))
     keys = classes.select(F.explode("bands").alias("key"), "id")
@@ -286,7 +372,7 @@ def groups(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     tested = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), F.col("id").alias("member")).distinct()
     one, two = (known.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
     tested = tested.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold)
-    tested = agreeing(tested.select("a", "b", "member", "sa", "sb")).where(F.col("agree") >= AGREE)
+    tested = agreeing(tested.select("a", "b", "member", "sa", "sb")).where(F.col("agree") >= agreement(threshold))
     nearest = W.partitionBy("member").orderBy(F.desc("agree"), "a", "b")
     tested = tested.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= HUBS).select("a", "b").distinct()
     tested, _ = out.put(verified(tested, sets, threshold))
@@ -297,33 +383,39 @@ def groups(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     twice = owned.join(owned.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).distinct()
     links = tested.where("linked").select("a", "b").unionAll(twice.where("a <> b"))
     links, _ = out.put(links)
-    part = components(links, out)
-
-    regions = components(members.select(F.col("id").alias("a"), F.col("hub").alias("b")), out)
-    label = regions.select("id", F.col("component").alias("key")).join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    label, _ = out.put(label)
-    counts = label.groupBy("key", "component").agg(F.count("*").alias("c"))
-    mixed = counts.groupBy("key").agg(F.count("*").alias("k"), F.max_by("component", "c").alias("most"), F.sum("c").alias("size"), F.max("c").alias("top")).where("k > 1")
-    mixed = mixed.select("key", "most", F.ceil(F.col("size") / BLOCK).cast("long").alias("homes"), F.ceil((F.col("size") - F.col("top")) / BLOCK).cast("long").alias("probes"))
-    near = label.join(mixed, "key").join(known, "id").join(sets, "id")
-    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    cols = ["id", "component", "n", "sketch", "shingles"]
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    home = near.select("key", place("homes").alias("home"), every("probes").alias("probe"), F.lit(False).alias("is_probe"), *cols)
-    probe = near.where("component <> most").select("key", every("homes").alias("home"), place("probes").alias("probe"), F.lit(True).alias("is_probe"), *cols)
-    more, _ = out.put(across(home.unionAll(probe), threshold))
-    part, _ = out.put(components(links.unionAll(more), out))
+    part, _ = out.put(components(links, out))
+
+    found, _ = out.put(neighbours(mixed_blocks(labelled_by(members, part), known, SKETCHES), threshold))
+    new = found.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    new, _ = out.put(verified(new, sets, threshold).where("linked").select("a", "b"))
+    if not new.isEmpty():
+        links = links.unionAll(new)
+        part, _ = out.put(components(links, out))
+
+    full = found.where("more").select("key").distinct()
+    if not full.isEmpty():
+        held = labelled_by(members.join(full, "key", "left_semi"), part)
+        several = held.groupBy("key").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("key")
+        left, _ = out.put(members.join(several, "key", "left_semi").select("key", "id", "hub"))
+        regions = components(left.select(F.col("id").alias("a"), F.col("hub").alias("b")), out)
+        label, _ = out.put(labelled_by(regions.select(F.col("component").alias("key"), "id"), part))
+        more, _ = out.put(across(mixed_blocks(label, known.join(sets, "id"), BLOCK, BLOCK_BYTES), threshold))
+        if not more.isEmpty():
+            part, _ = out.put(components(links.unionAll(more), out))
 
     names = part.join(classes.select("id", "first"), "id").groupBy("component").agg(F.min("first").alias("name"))
     named = classes.select("digest", "id", "first").join(part.join(names, "component").select("id", "name"), "id", "left")
     found = rows.select("doc_id", "n", "digest").join(named.select("digest", F.coalesce("name", "first").alias("class")), "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("class", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    found = found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    found, _ = Written(spark, "near-dedup-result").put(found)
+    out.drop()
+    return found
 
 
 def dedup(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of docs of which one of each group stays: the smallest doc_id. Of rows with one doc_id one stays, that of the first text in order."""
-    found, _ = Written(docs.sparkSession, "near-dedup-result").put(groups(docs, words, threshold))
+    found = groups(docs, words, threshold)
     gone = found.where("NOT kept").select("doc_id").distinct()
     left = docs.join(F.broadcast(gone) if gone.count() <= MAX_SENT else gone, "doc_id", "left_anti")
     twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
