@@ -1,7 +1,5 @@
 """The queries of this package, and SQL for the ones that SQL can express."""
 
-import corpus_pipeline
-
 from . import byte_cnn, chat, media, mixing, near_dedup, packing, pii, quality_rules, token_counts, url_filter
 
 QUERIES = {
@@ -15,8 +13,5 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_media_columns": media.op9_media_columns,
     "op10_mixing": mixing.op10_mixing,
-    "pipeline": corpus_pipeline.run,
 }
 SQL = {"op3_chat_format": chat.SQL, "op7_url_filter": url_filter.SQL, "op10_mixing": mixing.SQL}
-if corpus_pipeline.ORACLE_SQL:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -29,7 +29,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.fixture(scope="module")
 def odd(spark):
     df = spark.createDataFrame(ODD, SCHEMA).repartition(3)
-    clash = {c: F.lit("other") for c in ("score", "predicted", "size", "h", "bucket", "ids", "n", "id", "key", "position", "digest", "label", "words", "s", "b", "at", "__found", "kept")}
+    clash = {c: F.lit("other") for c in ("score", "predicted", "size", "h", "bucket", "ids", "n", "id", "key", "position", "digest", "label", "words", "s", "b", "at", "__found", "__New", "kept", "source_size", "target")}
     return df.withColumns(clash)
 
 
@@ -85,6 +85,36 @@ def test_token_counts(spark, docs, odd, none):
     assert roll.commit("gone-2", token_counts.changes(roll.in_force(), deleted=True)) and roll.totals().count() == 0
 
 
+def test_token_rollup_reads_what_a_batch_needs(spark, tmp_path, monkeypatch):
+    """Null ids, a crash between stage and commit, buckets, and compaction."""
+    row = lambda i, n, source="s": (i, source, "en", "v", n, False, 0)
+    batch = lambda *rows: spark.createDataFrame(rows, token_counts.CHANGE)
+    roll = token_counts.TokenRollup(spark, f"file://{tmp_path}/r", 4)
+    total = lambda: {(r.source, r.n_docs, r.n_tokens) for r in roll.totals().collect()}
+    assert roll.commit("a", batch(*(row(i, 10) for i in range(40)), row(None, 3), row(None, 4, None), row(None, 5))) and total() == {("s", 42, 408), (None, 1, 4)}
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(token_counts.TokenRollup, "publish", lost)
+        with pytest.raises(RuntimeError):
+            roll.commit("b", batch(row(1, 99)))
+    assert total() == {("s", 42, 408), (None, 1, 4)}
+    assert roll.commit("b", batch(row(1, 99), (None, "s", "en", "v", 5, True, 0), (2, "s", "en", "v", 0, True, 0))) and not roll.commit("b", batch(row(1, 99)))
+    assert total() == {("s", 40, 482), (None, 1, 4)}
+    files = roll.in_force(batch(row(7, 0)).select("doc_id", "tokenizer")).inputFiles()
+    everything = roll.in_force().inputFiles()
+    assert files and [r.n_tokens for r in roll.in_force(batch(row(7, 0)).select("doc_id", "tokenizer")).collect()] == [10] and len(everything) > 4
+    again = token_counts.TokenRollup(spark, f"file://{tmp_path}/r", 99)
+    assert again.buckets == 4
+    again.compact(remove=True)
+    assert total() == {("s", 40, 482), (None, 1, 4)} and not roll.commit("a", batch(row(1, 5))) and roll.commit("c", batch(row(1, 9), row(2, 1)))
+    assert total() == {("s", 41, 393), (None, 1, 4)}
+    with pytest.raises(ValueError):
+        roll.commit("compact", batch())
+
+
 def luhn(s):
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(int(c) for c in reversed(s))) % 10 == 0
 
@@ -100,7 +130,8 @@ def test_pii(spark, odd, none):
     assert re.fullmatch(r"\(\d{3}\)", new[10]) and re.fullmatch(r"\d{4}-\d\d-\d\d", new[12]) and re.fullmatch(r"[0-9a-f]{40}", new[-1])
     got = {r.doc_id: r.text for r in pii.pseudonymise(odd, "k").collect()}
     assert all(got[r[0]] == r[1] for r in ODD) and pii.pseudonymise(none, "k").count() == 0
-    assert pii.pseudonymise(odd, "k").columns == [c for c in odd.columns if c != "__found"]
+    kept = pii.pseudonymise(odd, "k").drop("text")
+    assert kept.columns == [c for c in odd.columns if c != "text"] and kept.exceptAll(odd.drop("text")).isEmpty()
     # a permutation: different numbers never share a pseudonym, and the key matters
     many = spark.range(3000).select(F.format_string("%03d-%02d-%04d", F.col("id") % 600 + 1, F.col("id") % 90 + 1, F.col("id") + 1).alias("text"))
     one = {r.text for r in pii.pseudonymise(many, "k").collect()}
@@ -108,6 +139,126 @@ def test_pii(spark, odd, none):
     assert one != {r.text for r in pii.pseudonymise(many, "k2").collect()}
 
 
+class PlainFeistel:
+    """The pseudonyms again, in plain Python over strings and integers."""
+
+    def __init__(self, key):
+        self.key = key
+
+    def hash(self, bits, *parts):
+        return hashlib.new(f"sha{bits}", "\0".join((self.key, *map(str, parts))).encode()).hexdigest()
+
+    def permuted(self, s, kind, letters=26):
+        half = [s[: len(s) // 2], s[len(s) // 2 :]]
+        for r in range(8):
+            moved, by = [], self.hash(512, kind, r, len(s), half[1 - r % 2])
+            for i, c in enumerate(half[r % 2]):
+                n = int(by[2 * (i % 64) : 2 * (i % 64) + 2], 16)
+                first, size = next(((f, k) for f, k, known in ((48, 10, "0123456789"), (97, letters, "abcdefghijklmnopqrstuvwxyz"), (65, letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) if c in known), (None, 0))
+                moved.append(c if first is None else chr(first + (ord(c) - first + n) % size))
+            half[r % 2] = "".join(moved)
+        return "".join(half)
+
+    def grid(self, n, size, kind):
+        at = [n // size[1], n % size[1]]
+        for r in range(8):
+            at[r % 2] = (at[r % 2] + int(self.hash(256, kind, r, at[1 - r % 2])[:12], 16)) % size[r % 2]
+        return at[0] * size[1] + at[1]
+
+    def digits_into(self, form, new):
+        left = iter(new)
+        return "".join(next(left) if c in "0123456789" else c for c in form)
+
+    def __call__(self, m):
+        d = re.sub("[^0-9]", "", m)
+        if "@" in m:
+            low = m.lower()
+            cut = low.rindex(".")
+            new = self.permuted(low[:cut], "mail") + low[cut:]
+            return new.upper() if m != low and m == m.upper() else new
+        if re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", m):
+            parts = [int(p) for p in m.split(".")]
+            n = self.grid(int.from_bytes(bytes(parts), "big"), (65536, 65536), "ip") if max(parts) < 256 else None
+            return m if n is None else ".".join(map(str, n.to_bytes(4, "big")))
+        if re.fullmatch(r"\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4}", m):
+            return self.day(m)
+        if re.fullmatch(r"\d{3}-\d\d-\d{4}", m):
+            a, g, n = (int(p) for p in m.split("-"))
+            if not 0 < a < 900 or a == 666 or not g or not n:
+                return m
+            k = self.grid((a - 1 - (a > 666)) * 989901 + (g - 1) * 9999 + n - 1, (898, 989901), "ssn")
+            a, rest = k // 989901 + 1, k % 989901
+            return f"{a + (a >= 666):03d}-{rest // 9999 + 1:02d}-{rest % 9999 + 1:04d}"
+        if re.fullmatch(r"[+(].*|\d{3}[.-]\d{3}[.-]\d{4}", m):
+            if not 7 <= len(d) <= 15:
+                return m
+            code = (re.match(r"\+\d{1,3}(?=[ .(-])", m) or [""])[0]
+            rest = m[len(code) :]
+            return code + self.digits_into(rest, self.permuted(re.sub("[^0-9]", "", rest), "phone"))
+        if re.fullmatch(r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", m):
+            value = lambda s: int("".join(str(int(c, 36)) for c in s)) % 97
+            flat = m.replace(" ", "")
+            if value(flat[4:] + flat[:4]) != 1:
+                return m
+            body = self.permuted(flat[4:], "iban")
+            left = iter(f"{flat[:2]}{98 - value(body + flat[:2] + '00'):02d}{body}")
+            return "".join(c if c == " " else next(left) for c in m)
+        if re.fullmatch(r"[\d -]+", m):
+            if not luhn(d) or len(set(d)) == 1:
+                return m
+            body = self.permuted(d[:-1], "card")
+            return self.digits_into(m, body + next(c for c in "0123456789" if luhn(body + c)))
+        new = self.permuted(m.lower(), "hex", 6)
+        return new if m == m.lower() else new.upper()
+
+    def day(self, m):
+        from datetime import date, timedelta
+
+        forms = ["%Y-%m-%d"] if "-" in m else ["%d.%m.%Y"] if "." in m else ["%m/%d/%Y", "%d/%m/%Y"]
+        for i, form in enumerate(forms):
+            where = {c: form.index(c) for c in "Ymd"}
+            at = [m[0:4], m[5:7], m[8:10]] if "-" in m else [m[6:10], *((m[3:5], m[0:2]) if where["d"] < where["m"] else (m[0:2], m[3:5]))]
+            try:
+                n = (date(*map(int, at)) - date(1900, 1, 1)).days
+            except ValueError:
+                continue
+            if not 0 <= n < 17 * 4297:
+                return m
+            n = self.grid(n, (17, 4297), "day")
+            while i and (date(1900, 1, 1) + timedelta(n)).day <= 12:
+                n = self.grid(n, (17, 4297), "day")
+            return (date(1900, 1, 1) + timedelta(n)).strftime(form)
+        return m
+
+
+def test_pii_equals_a_plain_feistel(spark, docs):
+    import regex
+
+    found = regex.compile(pii.FOUND.replace("(?<gap>", "(?P<gap>").replace("(?<sep>", "(?P<sep>").replace(r"\k<gap>", "(?P=gap)").replace(r"\k<sep>", "(?P=sep)"), regex.ASCII)
+    made = ["31/12/2020 12/31/2020 31.12.2020 2020-12-31 29/02/2000 31/02/2000 05/06/1999", "x@y.Example.ORG A@B.DE, x.y+z@w.org.", "+49 89 12 34 56 78 (212) 555-1234 212-555-1234 +14155550123", "GB82 WEST 1234 5698 7654 32 DE89370400440532013000 GB82WEST12345698765433", "4539 5787 6362 1486 378282246310005 3782 822463 10005", "AB12" * 9 + " 8.8.8.8 255.255.255.255 256.1.1.1 899-01-0001 900-01-0001 665-99-9999 667-01-0001"]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-i - 1, x) for i, x in enumerate(made)], "doc_id long, text string"))
+    plain, hits = PlainFeistel("k"), 0
+    texts = {r.doc_id: r.text for r in df.collect()}
+    for r in pii.pseudonymise(df, "k", count="n").collect():
+        old, want, at, n = texts[r.doc_id], [], 0, 0
+        for m in found.finditer(old):
+            new = plain(m[0])
+            want += [old[at : m.start()], new]
+            at, n = m.end(), n + (new != m[0])
+        assert (r.text, r.n) == ("".join(want) + old[at:], n), r.doc_id
+        hits += n
+    assert hits > 40
+
+
+def test_pii_days_stay_apart(spark):
+    from datetime import date, timedelta
+
+    days = [(date(1999, 1, 1) + timedelta(k)).strftime(f) for k in range(1500) for f in ("%d/%m/%Y", "%m/%d/%Y")]
+    rows = {*days}
+    got = pii.pseudonymise(spark.createDataFrame([(d,) for d in rows], "text string").withColumn("old", F.col("text")), "k").collect()
+    assert len({r.text for r in got}) == len(rows) and all(r.text != r.old for r in got)
+
+
 def test_pii_alone_in_a_text(spark):
     """No other digits help the candidate to be tried, and groups of a number don't stay behind."""
     said = ["8.8.8.8", "at 1.1.1.1, said", "a1b2c3d4" * 4, "key " + "A1B2C3D4" * 4 + "\n", "+33 1 23 45 67 89", "+49 89 12 34 56 78", "+49.89.12.34.56.78.90", "+1 202 555 0143 2021 1999"]
@@ -155,12 +306,49 @@ def test_chat_layouts(spark):
     assert chat.format_conversations(chat.canonical_turns(df.limit(0), "v"), "i", "i").count() == 0
 
 
+def test_chat_ties_follow_the_raw_text(spark):
+    df = spark.createDataFrame([(1, 0, "user", "<|b"), (1, 0, "user", "<a"), (1, 0, "a", "z")], "conv_id long, turn long, role string, text string").withColumn("record", F.to_variant_object(F.struct("role", "text")))
+    (r,) = chat.format_conversations(chat.canonical_turns(df, "record"), "conv_id", "turn", ("user",)).select(chat.read_turns(F.col("formatted")).alias("t"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("m")).collect()
+    assert [x.text for x in r.t] == ["z", "<a", "<|b"] and r.m == "<a<|b"
+
+
+def test_chat_odd_records(spark):
+    """Optional fields of single turns, empty lists, user columns, and a count of the records that no mapping reads."""
+    said = ['{"messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": "a"}]}', '{"messages": []}', '{"prompt": "p", "completion": "c", "id": 3}', '{"text": "t"}', '{"text": "u"}', "7"]
+    df = spark.createDataFrame([(i, s, "own", "mine") for i, s in enumerate(said)], "i int, s string, layout string, __print string").withColumn("v", F.parse_json("s"))
+    got = chat.canonical_turns(df, "v", layout="form").orderBy("i").collect()
+    assert [r.form for r in got] == ["messages", "messages", "prompt_completion", None, None, None] and {r["__print"] for r in got} == {"mine"} and {r.layout for r in got} == {"own"}
+    assert [r.turns and [tuple(t) for t in r.turns] for r in got] == [[("user", "q"), ("assistant", "a")], [], [("user", "p"), ("assistant", "c")], None, None, None]
+    counts = {(r.layout, r.structure): r.n for r in chat.layout_counts(df, "v").collect()}
+    assert sum(n for (k, _), n in counts.items() if k is None) == 3 and sum(counts.values()) == 6
+
+
+def naive_score(net, text):
+    """The network's forward pass, byte by byte."""
+    b, out = (text or "").encode(), []
+    for at in range(0, max(1, len(b) - byte_cnn.CHUNK + byte_cnn.STEP), byte_cnn.STEP):
+        chunk = b[at : at + byte_cnn.CHUNK].ljust(byte_cnn.CHUNK, b"\0")
+        out.append([max(0.0, max(sum(float(net.taps[j][chunk[i + j]][f]) for j in range(byte_cnn.WIDTH)) for i in range(byte_cnn.CHUNK - byte_cnn.WIDTH + 1)) + float(net.bias[f])) for f in range(byte_cnn.FILTERS)])
+    x = [g(c) for g in (lambda c: sum(c) / len(c), max, min) for c in zip(*out, strict=True)]
+    h = [max(0.0, sum(a * float(w) for a, w in zip(x, net.w1[:, k], strict=True)) + float(net.b1[k])) for k in range(byte_cnn.HIDDEN)]
+    return 1 / (1 + np.exp(-(sum(a * float(w) for a, w in zip(h, net.w2, strict=True)) + float(net.b2[0]))))
+
+
+def test_classifier_equals_a_plain_forward_pass(spark, docs):
+    net = byte_cnn.fit_network(docs, table(spark, "labels"))
+    rows = byte_cnn.classify(docs.where("length(text) < 1500"), net).collect()
+    assert len(rows) > 50 and all(abs(r.score - naive_score(net, r.text)) < 1e-4 for r in rows[:40])
+    assert abs(net.score([None])[0] - naive_score(net, "")) < 1e-4
+
+
 def test_classifier(spark, odd, none):
     rows = QUERIES["op4_quality_classifier"](spark, SF).collect()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     net = byte_cnn.train([byte_cnn.drawn(t)[1] for t in ["good text here " * 5] * 20 + ["### $$$ %%% " * 5] * 20], np.array([1.0] * 20 + [0.0] * 20), 4)
     assert net.score(["good text here " * 9])[0] > 0.5 > net.score(["### $$$ %%% " * 9])[0]
-    got = byte_cnn.classify(odd, net)
+    with pytest.raises(ValueError):
+        byte_cnn.classify(odd, net)
+    got = byte_cnn.classify(odd.drop("score", "predicted"), net)
     scores = defaultdict(set)
     for r in got.collect():
         scores[r.doc_id].add(r.score)
@@ -197,6 +385,8 @@ def test_packing(spark, docs, odd, none, tmp_path):
     check_pieces(QUERIES["op5_packing"](spark, SF).collect(), [(r.doc_id, r.text) for r in docs.collect()])
     check_pieces(packing.digests(packing.pack(odd)).collect(), [(r[0], r[1]) for r in ODD])
     assert packing.pack(none).count() == 0
+    rows = QUERIES["op5_packing"](spark, SF).withColumn("part", F.spark_partition_id()).collect()
+    assert all(r.length == 1 << r.bucket for r in rows) and all(a.part != b.part or (a.bucket, a.sequence_id) < (b.bucket, b.sequence_id) for a, b in zip(rows, rows[1:], strict=False))
     packing.write_buckets(packing.pack(odd), f"file://{tmp_path}/x")
     assert spark.read.parquet(f"file://{tmp_path}/x").where("length <> pow(2, bucket)").count() == 0
     with pytest.raises(ValueError):
@@ -228,7 +418,7 @@ def test_pieces_of_long_texts(monkeypatch):
     from plumbline.llm.common import slices
 
     monkeypatch.setattr(packing, "PIECE", 40)
-    texts = [None, "", " ", BASE * 3, "x" * 500, "é " + "日本 " * 60 + "<|endoftext|>", "don't\n" * 50, "a  b" * 40]
+    texts = [None, "", " ", BASE * 3, "x" * 500, "é " + "日本 " * 60 + "<|endoftext|>", "don't\n" * 50, "a  b" * 40, "ab1c2²d'4s" * 30, "日本1" * 60, "a1<|endoftext|>1" * 20, "é5'ſ6" * 30]
     t = packing.Tokens(packing.public_tokenizers.path("word_bpe_49k.json"))
     assert all("".join(packing.pieces(x or "")) == (x or "") for x in texts) and list(t.encode([])) == []
     assert [*t.encode(texts)] == [np.array(t.tokenizer.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
@@ -279,6 +469,25 @@ def test_near_dedup_of_ids_with_several_texts(spark):
     assert kept == {(i, min(t for j, t in rows if j == i)) for i, c in want.items() if i == c}
 
 
+def test_near_dedup_of_many_that_are_not_linked(spark, monkeypatch):
+    """More similar neighbours than leave a block, most of them no links: the full sets decide in regions."""
+    monkeypatch.setattr(near_dedup, "NEAREST", 2)
+    rows = [(i, " ".join([f"w{j}" for j in range(220)] + [f"own{i}_{j}" for j in range(24)])) for i in range(40)]
+    rows += [(100 + i, t + f" and {i}") for i, t in rows[::9]]
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    want = {i: c for i, (_, c) in brute_groups(rows, 3, 85).items()}
+    assert got == want and len(set(want.values())) > 30
+    assert {r.doc_id: r.component_id for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 60).collect()} == {i: c for i, (_, c) in brute_groups(rows, 3, 60).items()}
+    with pytest.raises(ValueError):
+        near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 40)
+
+
+@pytest.mark.parametrize("threshold", [50, 60, 80, 85, 90, 97])
+def test_bands_miss_few(threshold):
+    n, rows = near_dedup.banding(threshold)
+    assert n * rows <= near_dedup.BINS and (1 - (threshold / 100) ** rows) ** n <= near_dedup.MISSED
+
+
 def test_sketch():
     r = np.random.default_rng(0)
     for n in (1, 2, 3, 40, 5000):
@@ -306,15 +515,35 @@ def test_url_filter(spark, tmp_path):
 
     want = {i: judged(u) for i, u in enumerate(urls + urls[:1])}
     assert {r.page_id: tuple(r)[1:] for r in url_filter.filter_urls(df).collect()} == want
-    short = df.where(F.length("url") < 1000)
-    assert {r.page_id: tuple(r)[1:] for r in url_filter.filter_urls(short, max_index_bytes=0).collect()} == {i: w for i, w in want.items() if urls[i % len(urls)] is not None and len(urls[i % len(urls)]) < 1000}
+    assert {r.page_id: tuple(r)[1:] for r in url_filter.filter_urls(df, most=1).collect()} == want
     assert url_filter.filter_urls(df.limit(0)).count() == 0 and url_filter.filter_urls(df, []).where("rule IS NOT NULL").count() == 0
-    rules = [(f"h{i}.example/p{i}/", "block") for i in range(500)]
-    url_filter.DigestIndex.write(rules, str(tmp_path / "i"))
-    index = url_filter.DigestIndex(str(tmp_path / "i"))
-    assert index.judge(["http://a.h7.example/p7/x"], "allow")[0][2] == "h7.example/p7/" and index.judge(["http://h7.example/p8/x"], "allow")[0][3] == "allow"
-    index.keys = np.full(500, np.uint64(url_filter.xxhash.xxh64_intdigest(b"h7.example/p7/")))  # all digests collide
-    assert index.judge(["http://h7.example/p7/"], "allow")[0][2] == "h7.example/p7/"
+    names = url_filter.shipped(spark, url_filter.RULES, url_filter.PART)
+    assert url_filter.shipped(spark, url_filter.RULES, url_filter.PART) == names and len(url_filter.shipped(spark, url_filter.RULES, 1)) == len(url_filter.RULES)
+
+
+def test_url_index(tmp_path):
+    """Any number of files gives the verdicts of a plain search, also for rules that differ in case only, and when all digests collide."""
+    r = np.random.default_rng(5)
+    pick = lambda *x: str(r.choice(x))
+    rules = [(pick("net", "NET", "a.net", "B.a.net", "org", "x.ORG") + pick("", "/", "/en/", "/EN/", "/en/x"), pick("allow", "block")) for _ in range(60)]
+    urls = ["http://" + pick("net", "c.NET", "a.net", "d.b.a.net", "x.org", "xorg", "") + pick("", "/", "/en/", "/EN/", "/en/xyz", "/e?/en/") for _ in range(200)]
+
+    def plain(u):
+        host, path = url_filter.split_url(u)
+        last = {"".join(url_filter.split_rule(x)): v for x, v in rules}
+        fit = [(len(x), len(x.partition("/")[0]), x, v) for x, v in last.items() if (("." + host).endswith("." + x.partition("/")[0]) and path.startswith(x[len(x.partition("/")[0]) :]) and host)]
+        return (host, path, *(max(fit)[2:] if fit else (None, "allow")))
+
+    for most in (1, 2, 7, 1000):
+        folder = tmp_path / str(most)
+        folder.mkdir()
+        index = url_filter.Index(url_filter.Index.write(rules, str(folder), most))
+        assert index.judge([*urls, None, ""], "allow") == [*map(plain, urls), ("", "", None, "allow"), ("", "", None, "allow")]
+        assert len(index.parts) == -(-len(url_filter.folded(rules)[0]) // most)
+    part = index.parts[0]
+    part.keys = np.full(part.n, part.keys[0])
+    wanted = [part.string(j) for j in range(part.n)]
+    assert list(part.find(wanted, part.keys)) == list(range(part.n)) and list(part.find([b"none"], part.keys[:1])) == [-1]
 
 
 def plain_base(text):
@@ -338,6 +567,23 @@ def test_quality_rules(spark, docs, odd, none):
     assert np.mean([r.kept for r in rows]) > 0.9
 
 
+def plain_trees(model, x):
+    total = model.base
+    for at in model.roots:
+        while model.left[at] != at:
+            at = model.right[at] if x[model.feature[at]] > model.threshold[at] else model.left[at]
+        total += model.value[at]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_rules_equal_a_plain_tree_walk(spark, docs):
+    model = quality_rules.fit_rules(docs, table(spark, "labels"))
+    rows, texts = quality_rules.apply_rules(docs, model).collect(), {r.doc_id: r.text for r in docs.collect()}
+    for r in rows:
+        x = quality_rules.statistics(texts[r.doc_id])[1]
+        assert abs(r.score - plain_trees(model, x)) < 1e-9 and r.kept == (not r.base_failed and plain_trees(model, x) >= quality_rules.KEEP)
+
+
 def test_boosting_is_monotone():
     r = np.random.default_rng(1)
     x = r.random((600, 3))
@@ -368,6 +614,47 @@ def test_media(spark, odd, none):
     assert not got[2].tracks and not got[2].error and not got[3].tracks and got[4].error and got[5].error
 
 
+def test_damaged_containers(spark):
+    """Whatever is cut off or changed, a container gives tracks or an error, and no task fails or allocates by a false count."""
+    r = np.random.default_rng(7)
+    good = media.mux(b"a" * 576 * 40)
+    data = [good[: int(n)] for n in r.integers(0, len(good), 60)]
+    for _ in range(600):
+        b = bytearray(good)
+        for at in r.integers(32 + 576 * 40 - 8, len(good), r.integers(1, 5)):
+            b[at] = r.choice([0, 1, 127, 255, r.integers(256)])
+        data.append(bytes(b))
+    deep = b""
+    for _ in range(1500):
+        deep = media.box(b"moov", deep)
+    huge = media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"minf", media.box(b"stbl", media.full(b"stsz", (1).to_bytes(4, "big") + (2**32 - 1).to_bytes(4, "big")))))))
+    data += [media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"mdhd")))), deep, huge]
+    rows = media.media_columns(spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(data)], "k long, c binary"), "k", "c").collect()
+    assert len(rows) == len(data) and all(not (x.error and x.tracks) for x in rows) and all(x.error for x in rows[-3:])
+    assert sum(bool(x.error) for x in rows) > 100
+
+
+def test_movie_fragments():
+    import struct
+
+    entry = media.full(b"stsd", struct.pack(">I", 1), media.box(b"raw ", bytes(20)))
+    trak = media.box(b"trak", media.full(b"tkhd", struct.pack(">III", 0, 0, 7), bytes(68)), media.box(b"mdia", media.full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 10, 0, 0, 0)), media.box(b"minf", media.box(b"stbl", entry))))
+    moov = media.box(b"moov", trak, media.box(b"mvex", media.full(b"trex", struct.pack(">5I", 7, 1, 2, 3, 0x10000))))
+
+    def moof(offset):
+        run = media.full(b"trun", struct.pack(">IiIIII", 3, offset, 0, 5, 6, 7), flags=0x205)
+        return media.box(b"moof", media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 7), flags=0x20000), run))
+
+    first = moof(len(moof(0)) + 8)
+    data = moov + first + media.box(b"mdat", b"aaaaabbbbbbccccccc")
+    (t,) = media.walk(data)
+    assert media.samples(data, t) == b"aaaaabbbbbbccccccc" and t["duration"] == 6 and t["timescale"] == 10 and [b - a for a, b in t["keyframes"]] == [5]
+    with pytest.raises(ValueError):
+        media.walk(data[:-3] + b"")
+    sizes = media.full(b"stz2", bytes([0, 0, 0, 4]), struct.pack(">I", 3), bytes([0x12, 0x30]))
+    assert list(media.few_bits(memoryview(sizes), 8, len(sizes))) == [1, 2, 3]
+
+
 def plain_targets(sizes, weights=(5, 2, 1), most=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: weights[i % 3] for i, s in enumerate(names)}
@@ -405,6 +692,19 @@ def test_mixing(spark, docs, odd, none):
     assert order == sorted(order)
 
 
+def test_mixing_takes_large_documents_as_others(spark):
+    """A source's large documents are taken for the same share as its small ones, and null and repeated ids are dealt by their texts."""
+    r = np.random.default_rng(3)
+    rows = [(i, "w " * int(n), s) for s in "abc" for i, n in enumerate([*r.integers(150, 400, 40), *r.integers(5, 40, 800)])]
+    rows += [(None, f"w x{i}", "c") for i in range(300)]
+    got = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("target < source_size AND size > 0").withColumn("large", F.expr("size * 100 > source_size"))
+    seen = {(x.source, x.large): x.share for x in got.groupBy("source", "large").agg((F.sum("taken") / F.sum("size")).alias("share")).collect()}
+    want = {x.source: x.target / x.source_size for x in got.select("source", "target", "source_size").distinct().collect()}
+    assert len(want) >= 1 and all(abs(v - want[s]) < 0.06 for (s, _), v in seen.items()) and any(k for _, k in seen)
+    places = got.where("copies > 0").select("large", F.explode("positions").alias("p")).groupBy("large").agg(F.avg("p").alias("m")).collect()
+    assert all(0.25 < x.m < 0.75 for x in places)
+
+
 def test_schedule_inversion(spark):
     for k, knots in enumerate(mixing.SCHEDULES):
         grid = np.linspace(0, 1, 100001)
@@ -426,8 +726,68 @@ def test_pipeline_packs_in_the_order_of_the_mix(spark, tmp_path):
     check_pieces(got, rows)
 
 
+def plain_mix(rows):
+    """[(doc_id, text, position)] of the copies that a mix of rows (doc_id, text, source) takes, with positions from the schedules on a fine grid."""
+    size = Counter()
+    rows = [(i, t, s, len(WORD.findall(t or ""))) for i, t, s in rows]
+    for _, _, s, n in rows:
+        size[s] += n
+    goal, out = plain_targets(dict(size)), []
+    for kind, s in enumerate(sorted(size, key=lambda s: (s is None, (s or "").encode()))):
+        own = sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.md5(f"{'' if r[0] is None else r[0]}|{hashlib.md5((r[1] or '').encode()).hexdigest()}".encode()).hexdigest())
+        passes = int(round(goal[s], 6) // size[s]) if size[s] else 0
+        rest, last = round(goal[s], 6) - passes * size[s], set()
+        large = [k for k, r in enumerate(own) if r[3] * 100 > size[s]]
+        small = [k for k, r in enumerate(own) if r[3] and k not in set(large)]
+        for part, left in ((large, rest / size[s] * sum(own[k][3] for k in large) if size[s] else 0), (small, None)):
+            left, at = rest - sum(own[k][3] for k in last) if left is None else left, 0
+            for k in part:
+                if at + own[k][3] / 2 < left:
+                    last.add(k)
+                at += own[k][3]
+        grid = np.linspace(0, 1, 200001)
+        w = np.interp(grid, [a for a, _ in mixing.SCHEDULES[kind % 3]], [b for _, b in mixing.SCHEDULES[kind % 3]])
+        spent = np.concatenate([[0], np.cumsum((w[1:] + w[:-1]) / 2)])
+        at = 0
+        for k, (i, t, _, n) in enumerate(own):
+            out += [(i, t, float(np.interp(min(1, (at + c * size[s]) / max(goal[s], 1)) * spent[-1], spent, grid))) for c in range(passes + (k in last) if n else 0)]
+            at += n
+    return out
+
+
+def test_pipeline_run_equals_brute_force(spark, docs):
+    """All stages in plain Python, from the network's scores to pieces, their ids, and their order in training."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = corpus_pipeline.run(spark, SF).orderBy("sequence_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    net, plain = byte_cnn.fit_network(docs, table(spark, "labels")), PlainFeistel(pii.DEFAULT_KEY)
+    import regex
+
+    found = regex.compile(pii.FOUND.replace("(?<gap>", "(?P<gap>").replace("(?<sep>", "(?P<sep>").replace(r"\k<gap>", "(?P=gap)").replace(r"\k<sep>", "(?P=sep)"), regex.ASCII)
+    rows = [r for r in docs.collect() if net.score([r.text])[0] >= 0.3]
+    alone = brute_groups([(r.doc_id, r.text) for r in rows], 5, 80)
+    mix = plain_mix([(r.doc_id, found.sub(lambda m: plain(m[0]), r.text), r.source) for r in rows if alone[r.doc_id][1] == r.doc_id])
+    assert len(mix) > 50
+    check_pieces(got, [(i, t) for i, t, _ in mix])
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in got)
+    place = defaultdict(list)
+    for i, _, p in mix:
+        place[i].append(p)
+    met, at = Counter(), []
+    for r in got:  # a document's copies come in order, and its pieces side by side
+        if r.start == 0:
+            at.append(sorted(place[r.doc_id])[met[r.doc_id]])
+            met[r.doc_id] += 1
+    assert len(at) == len(mix) and all(a <= b + 1e-4 for a, b in zip(at, at[1:], strict=False))
+
+
 def test_pipeline(spark, docs, odd, none, tmp_path):
-    for df in (docs, none, odd.select("doc_id", "text", "lang", "source", "n_chars", "score", "h")):
+    own = ("score", "predicted", "h", "size", "__found", "kept", "position", "id")
+    for df in (docs, none, odd.select("doc_id", "text", "lang", "source", "n_chars", *own)):
         at = df
         texts = {}
         for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -435,7 +795,7 @@ def test_pipeline(spark, docs, odd, none, tmp_path):
             stage(spark, at, SF).write.parquet(f"file://{tmp_path}/{df.count()}-{i}")
             at = spark.read.parquet(f"file://{tmp_path}/{df.count()}-{i}")
             if name != "packing":
-                assert at.columns == df.columns
+                assert at.columns == df.columns and at.where(" OR ".join(f"{c} <> 'other'" for c in own if c in df.columns) or "false").isEmpty()
             if name == "quality classifier":
                 assert at.count() <= before.count()
             elif name == "MinHash near-dedup":
