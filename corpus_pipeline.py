@@ -6,10 +6,10 @@ and read again as the next one's docs. All but the last return the columns of do
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm import byte_cnn, mixing, near_dedup, packing, pii
-from plumbline.llm.common import Written, table
+from plumbline.llm.common import Written, spare, table
 
 #: One of the stages can't be expressed in SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
@@ -18,7 +18,8 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It is trained on the labelled rows of docs."""
     net = byte_cnn.fit_network(docs, table(spark, sf_dir, "labels"))
-    return byte_cnn.classify(docs, net).where("predicted = 1").select(docs.columns)
+    score, verdict = spare(docs.columns, "score"), spare(docs.columns, "predicted")
+    return byte_cnn.classify(docs, net, score=score, predicted=verdict).where(F.col(verdict) == 1).select(docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +29,6 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by pseudonyms. n_chars follows the text, where it is a column."""
-    from pyspark.sql import functions as F
-
     out = pii.pseudonymise(docs, pii.key_of(spark))
     return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(docs.columns)
 
@@ -42,17 +41,20 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's rows as sequences, each of a power of two, numbered in training order."""
+    """The mix's rows as sequences with their token ids, each of a power of two, numbered in training order; a task's sequences stand by bucket."""
     docs, place = packing.placed(docs)
-    return packing.digests(packing.pack(docs, place=place))
+    return packing.bucketed(packing.digests(packing.pack(docs, place=place), "ids"))
 
 
 STAGES = [("quality classifier", quality), ("MinHash near-dedup", dedup), ("PII", private), ("mixing", mixed), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over all documents."""
-    out, docs = Written(spark, "pipeline"), table(spark, sf_dir, "documents")
+    """The stages over all documents. A stage's table goes when the next one is written."""
+    out, docs, last = Written(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs, _ = out.put(stage(spark, docs, sf_dir))
+        docs, path = out.put(stage(spark, docs, sf_dir))
+        if last:
+            out.drop(last)
+        last = path
     return docs
