@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.columns import NAN, valid_depth
 from .raster import DEFAULT, FilterConfig, mask_kernel, restore_kernel
@@ -55,11 +58,18 @@ def checked_box(df: DataFrame) -> DataFrame:
     return df.withColumn("x_min", F.when(bad, F.raise_error(F.lit("a box needs corners of at least 0 and some area"))).otherwise(F.col("x_min")))
 
 
-def clamped(df: DataFrame, width: int, height: int) -> DataFrame:
+def inside(df: DataFrame, width: int | Column, height: int | Column) -> DataFrame:
+    """Boxes cut to their image; fails on one that lies outside."""
+    df = clamped(df, width, height)
+    return df.withColumn("x_min", F.when(~F.col("inside"), F.raise_error(F.lit("a box lies outside its image"))).otherwise(F.col("x_min"))).drop("inside")
+
+
+def clamped(df: DataFrame, width: int | Column, height: int | Column) -> DataFrame:
     """Boxes cut to the image, with `inside` false where nothing remains."""
+    width, height = (F.lit(n) if isinstance(n, int) else n for n in (width, height))
     df = df.withColumns({
-        "x_min": F.least(F.greatest("x_min", F.lit(0)), F.lit(width)), "y_min": F.least(F.greatest("y_min", F.lit(0)), F.lit(height)),
-        "x_max": F.least(F.greatest("x_max", F.lit(0)), F.lit(width)), "y_max": F.least(F.greatest("y_max", F.lit(0)), F.lit(height)),
+        "x_min": F.least(F.greatest("x_min", F.lit(0)), width), "y_min": F.least(F.greatest("y_min", F.lit(0)), height),
+        "x_max": F.least(F.greatest("x_max", F.lit(0)), width), "y_max": F.least(F.greatest("y_max", F.lit(0)), height),
     })
     return df.withColumn("inside", (F.col("x_max") > F.col("x_min")) & (F.col("y_max") > F.col("y_min")))
 
@@ -79,63 +89,139 @@ def frustum_box(x_min: Column, y_min: Column, x_max: Column, y_max: Column, z_mi
     return out | {"z_lo": F.least(z_min, z_max), "z_hi": F.greatest(z_min, z_max)}
 
 
-def naive_lift(px: DataFrame, boxes: DataFrame, k: Intrinsics) -> DataFrame:
-    """Median, smallest and largest positive depth of each crop, and the box they span; null without one."""
-    hit = crop(px, boxes).where("depth > 0").groupBy("box_id").agg(F.median("depth").alias("z_est"), F.min("depth").alias("z_min"), F.max("depth").alias("z_max"))
-    out = boxes.join(hit, "box_id", "left")
+#: Boxes that one copy of their frame serves.
+BOXES_A_FRAME = 256
+
+
+def per_box(frames: DataFrame, boxes: DataFrame, kernel: Callable, names: str) -> DataFrame:
+    """kernel(depth, box) over the boxes (frame_id, box_id, x_min ...) of dense frames (frame_id, h, w, depth): (box_id, frame_id, names).
+
+    A frame travels once for each BOXES_A_FRAME of its boxes, however many it has. Boxes for
+    which the kernel gives None have no row, nor have those without a frame.
+    """
+    n = boxes.groupBy("frame_id").agg(F.ceil(F.count("*") / BOXES_A_FRAME).cast("long").alias("chunks"))
+    corner = ["box_id", "x_min", "y_min", "x_max", "y_max"]
+    lists = boxes.join(n, "frame_id").groupBy("frame_id", F.pmod(F.xxhash64("box_id"), F.col("chunks")).alias("chunk")).agg(F.collect_list(F.struct(*corner)).alias("boxes"))
+    both = frames.select("frame_id", "h", "w", "depth").join(lists, "frame_id").select("frame_id", "h", "w", "depth", *(F.col(f"boxes.{c}").alias(c) for c in corner))
+    schema = StructType.fromDDL(f"box_id long, frame_id long, {names}")
+    kind = to_arrow_schema(schema)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                depth = b.column("depth")[i].values.to_numpy(zero_copy_only=False).astype(float).reshape(b.column("h")[i].as_py(), b.column("w")[i].as_py())
+                frame = b.column("frame_id")[i].as_py()
+                for box_id, *box in zip(*(b.column(c)[i].as_py() for c in corner), strict=True):
+                    if (got := kernel(depth, tuple(box))) is not None:
+                        out.append((box_id, frame, *got))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(kind)], schema=kind)
+
+    return both.mapInArrow(run, schema)
+
+
+def cut(depth: np.ndarray, box: tuple[int, int, int, int]) -> np.ndarray:
+    """The pixels of a box, cut to the image; maybe none."""
+    h, w = depth.shape
+    x0, y0, x1, y1 = box
+    return depth[min(max(y0, 0), h) : min(max(y1, 0), h), min(max(x0, 0), w) : min(max(x1, 0), w)]
+
+
+def usable(depth: np.ndarray) -> np.ndarray:
+    return depth[np.isfinite(depth) & (depth > 0)]
+
+
+def around(depth: np.ndarray, box: tuple[int, int, int, int]) -> np.ndarray:
+    """Valid depths of the ring around a box, half its longer side wide, as far as the image goes."""
+    h, w = depth.shape
+    x0, y0, x1, y1 = box
+    pad = max(y1 - y0, x1 - x0) // 2
+    ring = np.zeros(depth.shape, bool)
+    clip = lambda a, n: min(max(a, 0), n)
+    ring[clip(y0 - pad, h) : clip(y1 + pad, h), clip(x0 - pad, w) : clip(x1 + pad, w)] = True
+    ring[clip(y0, h) : clip(y1, h), clip(x0, w) : clip(x1, w)] = False
+    return usable(depth[ring])
+
+
+def middle(x: np.ndarray) -> float | None:
+    return float(np.median(x)) if len(x) else None
+
+
+def stable_z(depth: np.ndarray, box: tuple[int, int, int, int], cfg: FilterConfig = DEFAULT) -> float | None:
+    """The median depth of a box without its outliers; of the ring around where too few pixels are valid; None if that has none."""
+    part = cut(depth, box)
+    ok = np.isfinite(part) & (part > 0)
+    if not part.size:
+        return None
+    if not ok.any() or ok.mean() < cfg.tau:
+        return middle(around(depth, box))
+    if min(part.shape) < 9:
+        return middle(part[ok])
+    inner = part[ok & ~mask_kernel(part, cfg)[0]]
+    return middle(inner if len(inner) else part[ok])
+
+
+def crop_stats(frames: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(box_id, frame_id, n_pixels, inlier_ratio, z_est) of each box that holds pixels."""
+
+    def one(depth, box):
+        part = cut(depth, box)
+        return (part.size, len(usable(part)) / part.size, middle(usable(part))) if part.size else None
+
+    return per_box(frames, boxes, one, "n_pixels long, inlier_ratio double, z_est double")
+
+
+def ring_medians(frames: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(box_id, frame_id, z): the median of the ring around each box, null where it holds no valid pixel."""
+    return per_box(frames, boxes, lambda depth, box: (middle(around(depth, box)),), "z double")
+
+
+def stable_depths(frames: DataFrame, boxes: DataFrame, cfg: FilterConfig = DEFAULT) -> DataFrame:
+    """(box_id, frame_id, z) by stable_z, null where neither box nor ring says anything."""
+    return per_box(frames, boxes, lambda depth, box: (stable_z(depth, box, cfg),), "z double")
+
+
+def naive_lift(frames: DataFrame, boxes: DataFrame, k: Intrinsics) -> DataFrame:
+    """boxes with the median, smallest and largest positive depth of each crop, and the extents they span; null without one."""
+
+    def one(depth, box):
+        z = usable(cut(depth, box))
+        return (middle(z), float(z.min()), float(z.max())) if len(z) else None
+
+    hit = per_box(frames, boxes, one, "z_est double, z_min double, z_max double").drop("frame_id")
     c = [F.col(n).cast("double") for n in ("x_min", "y_min", "x_max", "y_max", "z_min", "z_max")]
-    return out.withColumns(frustum_box(*c, k))
+    return boxes.join(hit, "box_id", "left").withColumns(frustum_box(*c, k))
 
 
-LIFT = "box_id long, frame_id long, z_est double, z_min double, z_max double, inlier_ratio double, vertices array<array<double>>"
+LIFT = "z_est double, z_min double, z_max double, inlier_ratio double, vertices array<array<double>>"
 
 
 def lift_box(depth: np.ndarray, k: Intrinsics, box: tuple[int, int, int, int], cfg: FilterConfig = DEFAULT, percentiles: tuple[float, float] = (5, 95), least: int = 8) -> tuple | None:
-    """(z_est, z_min, z_max, inlier_ratio, vertices): robust depth of the raw crop, extents of the restored one; None if too small or empty."""
+    """(z_est, z_min, z_max, inlier_ratio, vertices): robust depth of the raw crop, extents of the restored one; None if the crop is too small or either has no depth."""
     if not 0 <= percentiles[0] < percentiles[1] <= 100:
         raise ValueError("percentiles must rise within 0 to 100")
+    if depth.ndim != 2:
+        raise ValueError(f"a depth map has two dimensions, not {depth.ndim}")
     h, w = depth.shape
-    x0, y0, x1, y1 = max(box[0], 0), max(box[1], 0), min(box[2], w), min(box[3], h)
+    box = x0, y0, x1, y1 = max(box[0], 0), max(box[1], 0), min(box[2], w), min(box[3], h)
     if x1 <= x0 or y1 <= y0:
         raise ValueError("the box lies outside the image")
     if min(x1 - x0, y1 - y0) < least:
         return None
     part = depth[y0:y1, x0:x1].astype(float)
-    ok = np.isfinite(part) & (part > 0)
-    if not ok.any() or ok.mean() < cfg.tau:
-        pad = max(y1 - y0, x1 - x0) // 2
-        ring = np.zeros(depth.shape, bool)
-        ring[max(y0 - pad, 0) : y1 + pad, max(x0 - pad, 0) : x1 + pad] = True
-        ring[y0:y1, x0:x1] = False
-        around = depth[ring & np.isfinite(depth) & (depth > 0)]
-        z = float(np.median(around)) if len(around) else None
-    else:
-        inner = part[ok & ~mask_kernel(part, cfg)[0]] if min(part.shape) >= 9 else part[ok]
-        z = float(np.median(inner if len(inner) else part[ok]))
-    if z is None:
+    z = stable_z(depth, box, cfg)
+    done = usable(restore_kernel(part, cfg))
+    if z is None or not len(done):
         return None
-    done = restore_kernel(part, cfg)
-    done = done[np.isfinite(done) & (done > 0)]
-    lo, hi = (float(v) for v in np.percentile(done, percentiles)) if len(done) else (z, z)
+    lo, hi = (float(v) for v in np.percentile(done, percentiles))
     corners = [[(x - k.cx) * d / k.fx, (y - k.cy) * d / k.fy, d] for x in (x0, x1) for y in (y0, y1) for d in (lo, hi)]
     a, b = np.min(corners, 0), np.max(corners, 0)
-    return z, lo, hi, float(ok.mean()), [[float((a, b)[i][0]), float((a, b)[j][1]), float((a, b)[m][2])] for m in (0, 1) for j in (0, 1) for i in (0, 1)]
-
-
-def lift(frames: DataFrame, boxes: DataFrame, k: Intrinsics, cfg: FilterConfig = DEFAULT) -> DataFrame:
-    """Robust lifts of boxes on dense frames (frame_id, h, w, depth); boxes that can't be lifted have no row."""
-    both = boxes.join(frames.select("frame_id", "h", "w", "depth"), "frame_id")
+    return z, lo, hi, len(usable(part)) / part.size, [[float((a, b)[i][0]), float((a, b)[j][1]), float((a, b)[m][2])] for m in (0, 1) for j in (0, 1) for i in (0, 1)]
 
-    def run(it):
-        for pdf in it:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                got = lift_box(np.asarray(r.depth, float).reshape(r.h, r.w), k, (r.x_min, r.y_min, r.x_max, r.y_max), cfg)
-                if got:
-                    rows.append((r.box_id, r.frame_id, *got))
-            yield pd.DataFrame(rows, columns=["box_id", "frame_id", "z_est", "z_min", "z_max", "inlier_ratio", "vertices"])
 
-    return both.mapInPandas(run, LIFT)
+def lift(frames: DataFrame, boxes: DataFrame, k: Intrinsics, cfg: FilterConfig = DEFAULT, percentiles: tuple[float, float] = (5, 95)) -> DataFrame:
+    """Robust lifts of boxes on dense frames; boxes that can't be lifted have no row, and one outside the image is an error."""
+    return per_box(frames, boxes, lambda depth, box: lift_box(depth, k, box, cfg, percentiles), LIFT)
 
 
 def iou_2d(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
@@ -168,11 +254,4 @@ def z_error_cm(est: Column, true: Column) -> Column:
     return F.when(est.isNull() | true.isNull(), NAN).otherwise(F.abs(est - true) * 100)
 
 
-def camera_extents(vertices: DataFrame, right: tuple, up: tuple, forward: tuple, eye: tuple) -> DataFrame:
-    """Extents of meshes in the camera's frame, whose rows are (-right, up, forward)."""
-    rows = {"x": tuple(-c for c in right), "y": up, "z": forward}
-    at = {a: sum((F.col(c) - e) * w for c, e, w in zip("xyz", eye, row, strict=True)) for a, row in rows.items()}
-    return vertices.select("mesh_id", *(c.alias(a) for a, c in at.items())).groupBy("mesh_id").agg(*(f(a).alias(f"{a}_{n}") for a in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))))
-
-
 __all__ = ["Intrinsics", "backproject", "valid_points", "z_buffer", "clamped", "crop", "naive_lift", "lift", "lift_box", "iou_2d", "iou_3d", "valid_depth"]

@@ -1,15 +1,18 @@
 """Depth filtering on pixels (frame_id, v, u, depth) and on dense frames.
 
-The long form uses windows partitioned by frame and line, so a frame is spread over many
-tasks; the dense form runs numpy kernels, a frame at a time, for production frames.
+The dense form shuffles pixels once, to their frame, and runs numpy kernels a frame at a
+time; production uses it. The long form uses windows partitioned by frame and line, so a
+frame that fits no task is spread over many; the two are tested against each other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import NAN, valid_depth
@@ -181,18 +184,6 @@ def robust_z(px: DataFrame, cfg: FilterConfig = DEFAULT, minimum_side: int = 9)
     return a.select("frame_id", F.when((F.col("share") > 0) & (F.col("share") >= cfg.tau), F.when(F.col("side") >= minimum_side, F.coalesce("inner", "raw")).otherwise(F.col("raw"))).alias("z"))
 
 
-def ring_z(px: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(box_id, z): the median of valid pixels in the ring around each box, padded by half its longer side; null if none."""
-    pad = F.floor(F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min")) / 2)
-    # a box meets the lines of its ring only, by an equi-join
-    b = boxes.where("x_max > x_min AND y_max > y_min").withColumn("pad", pad.cast("int"))
-    b = b.withColumn("v", F.explode(F.sequence(F.col("y_min") - F.col("pad"), F.col("y_max") + F.col("pad") - 1)))
-    near = (F.col("u") >= F.col("x_min") - F.col("pad")) & (F.col("u") < F.col("x_max") + F.col("pad"))
-    inside = (F.col("u") >= F.col("x_min")) & (F.col("u") < F.col("x_max")) & (F.col("v") >= F.col("y_min")) & (F.col("v") < F.col("y_max"))
-    hit = b.join(px, ["frame_id", "v"]).where(near & ~inside & valid_depth(F.col("depth"))).groupBy("box_id").agg(F.median("depth").alias("z"))
-    return boxes.select("box_id").join(hit, "box_id", "left")
-
-
 def inject_rect(px: DataFrame, u0: int, v0: int, u1: int, v1: int) -> DataFrame:
     """The rectangle's pixels become 0; bounds are clamped to the image, and an inverted one changes nothing."""
     return px.withColumn("depth", F.when((F.col("u") >= max(u0, 0)) & (F.col("u") < u1) & (F.col("v") >= max(v0, 0)) & (F.col("v") < v1), 0.0).otherwise(F.col("depth")))
@@ -263,29 +254,58 @@ def inpaint_kernel(depth: np.ndarray, radius: int = DEFAULT.inpaint_radius) -> n
     return out
 
 
-def mask_kernel(depth: np.ndarray, cfg: FilterConfig = DEFAULT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def mean_kernel(image: np.ndarray, cfg: FilterConfig = DEFAULT) -> np.ndarray:
+    """The mean around each pixel, as local_mean gives it."""
+    return boxed(image, cfg.diameter) / boxed(np.ones(image.shape), cfg.diameter)
+
+
+def mask_kernel(depth: np.ndarray, cfg: FilterConfig = DEFAULT, smooth: Callable = bilateral_kernel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The dense form of outlier_mask: (mask, sigma, threshold) of one frame."""
     d = depth.astype(float)
+    if d.ndim != 2:
+        raise ValueError(f"a depth map has two dimensions, not {d.ndim}")
     ok = np.isfinite(d) & (d > 0)
     if not ok.any():
         return ok, np.zeros(d.shape), np.zeros(d.shape)
     s, n = boxed(np.where(ok, d, 0.0), cfg.diameter), boxed(ok.astype(float), cfg.diameter)
     filled = np.where(ok, d, np.where(n > 0.5, s / np.maximum(n, 1), 0.0))
     p = np.pad(filled, 1, mode="edge")
-    middle = np.median(np.stack([p[i : i + d.shape[0], j : j + d.shape[1]] for i in range(3) for j in range(3)]), 0)
+    middle = np.partition(np.stack([p[i : i + d.shape[0], j : j + d.shape[1]] for i in range(3) for j in range(3)]), 4, 0)[4]
     extreme = ok & (np.abs(filled - middle) > cfg.extreme)
-    residual = np.abs(np.where(ok, d, 0.0) - bilateral_kernel(np.where(extreme, middle, filled), cfg))
+    residual = np.abs(np.where(ok, d, 0.0) - smooth(np.where(extreme, middle, filled), cfg))
     good = ok & (boxed(ok.astype(float), cfg.density_kernel) / cfg.density_kernel**2 >= cfg.density_min)
     lo, hi = (d[good].min(), d[good].max()) if good.any() else (0.0, 1.0)
-    edges = np.linspace(lo, hi if hi > lo else lo + 1.0, cfg.bins + 1)
-    own = np.searchsorted(edges, d[good], "right") - 1
-    sig = np.array([np.median(residual[good][own == i]) / 0.6745 if (own == i).sum() >= 5 else np.nan for i in range(cfg.bins)])
+    hi = hi if hi > lo else lo + 1.0
+    edges = lo + (hi - lo) * np.arange(cfg.bins + 1) / cfg.bins
+    z, r = d[good], residual[good]
+    own = np.searchsorted(edges, z, "right") - 1
+    sig = np.array([np.median(r[own == i]) / 0.6745 if (own == i).sum() >= 5 else np.nan for i in range(cfg.bins)])
     have = np.flatnonzero(~np.isnan(sig))
     sig = np.interp(np.arange(cfg.bins), have, sig[have]) if len(have) else np.zeros(cfg.bins)
     sigma = np.maximum(sig, cfg.sigma_floor)[np.clip(np.searchsorted(edges[1:], np.where(np.isnan(d), np.inf, d)), 0, cfg.bins - 1)]
     return extreme | (ok & ~extreme & (residual > cfg.k * sigma)), sigma, cfg.k * sigma
 
 
+def masked(px: DataFrame, cfg: FilterConfig = DEFAULT, smooth: Callable = bilateral_kernel) -> DataFrame:
+    """outlier_mask of (frame_id, v, u, depth) by one shuffle and one pass of mask_kernel over each dense frame, which must fit a task."""
+    cells = F.collect_list(F.struct("v", "u", F.col("depth").cast("double").alias("depth")))
+    frames = px.groupBy("frame_id").agg(cells.alias("c")).select("frame_id", *(F.col(f"c.{n}").alias(n) for n in ("v", "u", "depth")))
+
+    def one(v: np.ndarray, u: np.ndarray, d: np.ndarray) -> list[np.ndarray]:
+        image = np.full((v.max() + 1, u.max() + 1), np.nan)
+        image[v, u] = d
+        return [a[v, u] for a in mask_kernel(image, cfg, smooth)]
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                v, u, d = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("v", "u", "depth"))
+                frame = pa.array([b.column(0)[i].as_py()] * len(v), pa.int64())
+                yield pa.RecordBatch.from_arrays([frame, pa.array(v, pa.int32()), pa.array(u, pa.int32()), pa.array(d, pa.float64()), *map(pa.array, one(v, u, d.astype(float)))], names=["frame_id", "v", "u", "depth", "outlier", "sigma", "threshold"])
+
+    return frames.withColumn("frame_id", F.col("frame_id").cast("long")).mapInArrow(run, "frame_id long, v int, u int, depth double, outlier boolean, sigma double, threshold double")
+
+
 def restore_kernel(depth: np.ndarray, cfg: FilterConfig = DEFAULT) -> np.ndarray:
     """Outliers to voids, closing, inpainting, smoothing."""
     d = np.where(mask_kernel(depth, cfg)[0], 0.0, depth)
@@ -298,10 +318,10 @@ def to_pixels(frames: DataFrame) -> DataFrame:
     return px.select("frame_id", F.floor(F.col("i") / F.col("w")).cast("int").alias("v"), (F.col("i") % F.col("w")).alias("u"), F.col("depth").cast("double").alias("depth"))
 
 
-def to_frames(px: DataFrame) -> DataFrame:
+def to_frames(px: DataFrame, kind: str = "float") -> DataFrame:
     """Dense frames from pixels; every pixel must be there once."""
     cells = F.sort_array(F.collect_list(F.struct("v", "u", "depth")))
-    return px.groupBy("frame_id").agg((F.max("v") + 1).alias("h"), (F.max("u") + 1).alias("w"), F.transform(cells, lambda c: c["depth"].cast("float")).alias("depth"))
+    return px.groupBy("frame_id").agg((F.max("v") + 1).alias("h"), (F.max("u") + 1).alias("w"), F.transform(cells, lambda c: c["depth"].cast(kind)).alias("depth"))
 
 
 def restore_frames(frames: DataFrame, cfg: FilterConfig = DEFAULT) -> DataFrame:
