@@ -6,9 +6,11 @@ import hashlib
 import json
 import math
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 STATUSES = ("done", "failed", "pruned")
 
@@ -73,34 +75,104 @@ class Param:
         return round(v) if self.whole else v
 
 
-def propose(ledger: DataFrame, space: list[Param], kind: str, hypothesis: str, rungs: tuple[int, ...], metric: str, budget: int, eta: int = 3, largest: bool = False, seed: int = 0, most: int | None = None) -> list[dict]:
-    """Successive halving: promotions first, in the order of rungs, then fresh draws, none of them known; [] without budget. A ledger of `most` rows gets no fresh draws. The ledger has config_json, config_hash, rung and the metric."""
+def raised(config: str, steps: int) -> str:
+    """A config's canonical JSON with other max_steps."""
+    return json.dumps({**json.loads(config), "max_steps": steps}, sort_keys=True, default=str)
+
+
+def checked_rungs(rungs: tuple[int, ...], eta: int) -> None:
+    if not rungs or len(set(rungs)) < len(rungs):
+        raise ValueError(f"rungs must be some and distinct, not {rungs}")
+    if eta < 2:
+        raise ValueError("eta must be at least 2")
+
+
+def promotions(ledger: DataFrame, hypothesis: str, rungs: tuple[int, ...], metric: str, eta: int = 3, largest: bool = False) -> DataFrame:
+    """(id, rung, place, config_json, config_hash) of the configs of the next rung that the ledger (id, hypothesis, status,
+    config_json, config_hash, created_at and the metric) calls for and doesn't know.
+
+    Of each rung but the last the best max(1, n // eta) of the hypothesis' n done rows are
+    raised; rows without the metric rank last, and steps that are no rung count as the first.
+    """
+    checked_rungs(rungs, eta)
+    steps = F.get_json_object("config_json", "$.max_steps").try_cast("double")
+    at = F.array_position(F.array(*(F.lit(float(r)) for r in rungs)), steps)
+    rows = ledger.where((F.col("status") == "done") & (F.col("hypothesis") == hypothesis)).withColumn("rung", F.greatest(F.coalesce(at, F.lit(0)) - 1, F.lit(0)).cast("int"))
+    value = F.when(~F.isnan(metric), F.col(metric))
+    order = [value.desc_nulls_last() if largest else value.asc_nulls_last(), "created_at", "id"]
+    of_rung = W.partitionBy("rung")
+    rows = rows.where(F.col("rung") < len(rungs) - 1).withColumns({"place": F.row_number().over(of_rung.orderBy(*order)), "n": F.count("*").over(of_rung)})
+    best = rows.where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") / eta))).select("id", "rung", "place", "config_json")
+    up = F.udf(lambda config, rung: raised(config, rungs[rung + 1]), "string")  # the canonical text is Python's
+    best = best.withColumn("config_json", up("config_json", "rung"))
+    best = best.withColumn("config_hash", F.sha1("config_json"))
+    return best.join(ledger.select("config_hash").distinct(), "config_hash", "left_anti").select("id", "rung", "place", "config_json", "config_hash")
+
+
+def propose(ledger: DataFrame, space: list[Param], kind: str, hypothesis: str, rungs: tuple[int, ...], metric: str, budget: int, eta: int = 3, largest: bool = False, seed: int = 0, most: int | None = 200, base: dict | None = None) -> list[dict]:
+    """Successive halving: promotions first, in the order of rungs and places, then fresh draws over base, none of them known; [] without budget.
+
+    A hypothesis of `most` rows gets no fresh draws. One job answers all that the ledger is asked.
+    """
+    checked_rungs(rungs, eta)
     if budget <= 0:
         return []
-    up = dict(zip(rungs, rungs[1:], strict=False))
-    raised = lambda config, rung: {**json.loads(config), "max_steps": up[rung]}
-    best = promoted(ledger.where(F.col("rung").isin(list(up))), "rung", metric, eta, largest).select("rung", "place", "config_json")
-    best = best.withColumn("config_hash", F.udf(lambda config, rung: config_hash(raised(config, rung)), "string")("config_json", "rung"))
-    best = best.groupBy("config_hash").agg(F.min(F.struct("rung", "place", "config_json")).alias("b")).join(ledger.select("config_hash").distinct(), "config_hash", "left_anti").select("b.*").orderBy("rung", "place").limit(budget)
-    made, known = [], lambda h: not ledger.where(F.col("config_hash") == h).isEmpty()
-    r, seen = random.Random(seed), set()
-
-    def add(config: dict) -> None:
-        h = config_hash(config)
-        if h not in seen and not known(h):
-            seen.add(h)
-            made.append({"name": f"{hypothesis.lower()}-{kind}-{h[:10]}", "kind": kind, "config": config, "config_hash": h})
-
-    for row in best.toLocalIterator():
-        if len(made) < budget:
-            add(raised(row.config_json, row.rung))
-    if most is not None and ledger.count() >= most:
-        return made
+    r, drawn = random.Random(seed), {}
     for _ in range(max(20 * budget, 50)):
-        if len(made) >= budget:
-            break
-        add({**{p.name: p.draw(r) for p in space}, "max_steps": rungs[0]})
-    return made
+        config = {**(base or {}), **{p.name: p.draw(r) for p in space}, "max_steps": rungs[0]}
+        drawn.setdefault(config_hash(config), config)
+    up = promotions(ledger, hypothesis, rungs, metric, eta, largest).orderBy("rung", "place").limit(budget).select("rung", "place", "config_json", "config_hash")
+    nothing = [F.lit(None).cast("int").alias("rung"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("config_json")]
+    known = ledger.where(F.col("config_hash").isin([*drawn])).select(*nothing, "config_hash")
+    count = ledger.where(F.col("hypothesis") == hypothesis).agg(F.count("*").cast("int").alias("place")).select(nothing[0], "place", nothing[2], F.lit(None).cast("string").alias("config_hash"))
+    answer = up.unionByName(known).unionByName(count).collect()
+    found = {x.config_hash: json.loads(x.config_json) for x in sorted((x for x in answer if x.rung is not None), key=lambda x: (x.rung, x.place))}
+    seen = {x.config_hash for x in answer if x.rung is None and x.config_hash}
+    if most is None or next(x.place for x in answer if x.config_hash is None) < most:
+        found |= {h: c for h, c in drawn.items() if h not in seen and h not in found}
+    return [{"name": f"{hypothesis.lower()}-{kind}-{h[:10]}", "kind": kind, "config": c, "config_hash": h} for h, c in [*found.items()][:budget]]
+
+
+class Scheduler:
+    """Fills a queue whose pending entries are fewer than `low` with up to `batch` proposals of one planner, the next one in turn that has any."""
+
+    def __init__(self, planners: list[Callable[[DataFrame, int], list[dict]]], low: int = 2, batch: int = 4):
+        if not planners:
+            raise ValueError("a scheduler needs a planner")
+        self.planners, self.low, self.batch, self.next = planners, low, batch, 0
+
+    def proposals(self, queue: DataFrame, ledger: DataFrame) -> list[dict]:
+        if queue.agg(F.count_if(F.col("status") == "pending").alias("n")).first().n >= self.low:
+            return []
+        for k in range(len(self.planners)):
+            i = (self.next + k) % len(self.planners)
+            if made := self.planners[i](ledger, self.batch):
+                self.next = (i + 1) % len(self.planners)
+                return made
+        return []
+
+    def refill(self, queue: DataFrame, ledger: DataFrame) -> DataFrame | None:
+        """Entries for Q.extended, or None."""
+        rows = [(i, p["name"], p["kind"], json.dumps(p["config"], sort_keys=True, default=str), [], "pending", 0, 2, None, None) for i, p in enumerate(self.proposals(queue, ledger))]
+        return queue.sparkSession.createDataFrame(rows, queue.schema) if rows else None
+
+
+def recorded(rows: DataFrame) -> DataFrame:
+    """rows for the ledger; fails on a status that isn't known."""
+    bad = ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))
+    return rows.withColumn("status", F.when(bad, F.raise_error(F.concat(F.lit("no such status: "), F.coalesce("status", F.lit("null"))))).otherwise(F.col("status")))
+
+
+def scanned(ledger: DataFrame, hypothesis: str | None = None) -> DataFrame:
+    """The ledger, or one hypothesis of it, by age, with its config as a variant."""
+    rows = ledger if hypothesis is None else ledger.where(F.col("hypothesis") == hypothesis)
+    return (rows.withColumn("config", F.try_parse_json("config_json")) if "config_json" in rows.columns else rows).orderBy("created_at", "id")
+
+
+def counted(ledger: DataFrame, hypothesis: str | None = None) -> DataFrame:
+    """(hypothesis, n), or of one hypothesis only."""
+    rows = ledger if hypothesis is None else ledger.where(F.col("hypothesis") == hypothesis)
+    return rows.groupBy("hypothesis").agg(F.count("*").alias("n"))
 
 
 def sweep(axes: list[DataFrame]) -> DataFrame:
@@ -111,23 +183,75 @@ def sweep(axes: list[DataFrame]) -> DataFrame:
     return out
 
 
-def coordinate(label: str, value: Column, numeric: bool) -> Column:
+#: Fixed labels of the sweeps' axes; others are named by what stands behind their last dot.
+LABELS = {"lora.rank": "r", "curriculum.schedule": "cur", "datagen.vocab_mode": "vocab"}
+
+
+@dataclass(frozen=True)
+class Axis:
+    key: str
+    values: tuple
+
+    def __post_init__(self):
+        if not self.key or not self.values:
+            raise ValueError("an axis needs a key and values")
+
+
+def grid(spark: SparkSession, name: str, kind: str, axes: list[Axis], requires: tuple[str, ...] = (), max_retries: int = 2) -> DataFrame:
+    """Queue entries of a sweep's points, the last axis fastest."""
+    if not name or not kind or not axes:
+        raise ValueError("a grid needs a name, a kind and axes")
+    said = lambda a, v: f"{label(a.key)}{'' if isinstance(v, (int, float)) and not isinstance(v, bool) else '='}{v}"
+    rows = []
+    for i, point in enumerate(product(*(a.values for a in axes))):
+        config = json.dumps({a.key: v for a, v in zip(axes, point, strict=True)}, sort_keys=True, default=str)
+        rows.append((i, "-".join([name, *map(said, axes, point)]), kind, config, list(requires), "pending", 0, max_retries, None, None))
+    return spark.createDataFrame(rows, "pos int, name string, kind string, config string, requires array<string>, status string, retries int, max_retries int, owner string, heartbeat double")
+
+
+def label(key: str) -> str:
+    return LABELS.get(key, key.rsplit(".", 1)[-1])
+
+
+def axis_label(key: Column) -> Column:
+    """The same of a column."""
+    known = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
+    return F.coalesce(F.try_element_at(known, key), F.substring_index(key, ".", -1))
+
+
+def coordinate(label: str | Column, value: Column, numeric: bool) -> Column:
     """label and value, with = between them unless the value is a number."""
-    return F.concat(F.lit(label if numeric else f"{label}="), value.cast("string"))
+    label = F.lit(label) if isinstance(label, str) else label
+    return F.concat(label, F.lit("" if numeric else "="), value.cast("string"))
+
+
+def setting(config: Column, key: str, default: Column) -> Column:
+    """A key of a map, or the default where it is absent."""
+    return F.coalesce(F.try_element_at(config, F.lit(key)), default)
+
+
+def merged(*configs: Column) -> Column:
+    """Maps put over each other: of a repeated key the last value counts."""
+    keys = F.array_distinct(F.concat(*(F.map_keys(c) for c in configs)))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(*(F.try_element_at(c, k) for c in reversed(configs)))))
+
+
+def unknown_keys(config: Column, known: tuple[str, ...]) -> Column:
+    """The map's keys that aren't known, sorted."""
+    return F.array_sort(F.array_except(F.map_keys(config), F.array(*map(F.lit, known))))
 
 
 def kept_checkpoints(dirs: DataFrame, keep: int, pointed: str | None) -> DataFrame:
     """The newest `keep` step folders and the one that is pointed to."""
     if keep < 1:
         raise ValueError("keep must be at least 1")
-    rows = dirs.withColumn("r", F.row_number().over(W.orderBy(F.desc("name"))))
-    return rows.where((F.col("r") <= keep) | (F.col("name") == F.lit(pointed))).drop("r")
+    return dirs.orderBy(F.desc("name")).limit(keep).unionAll(dirs.where(F.col("name") == F.lit(pointed))).distinct()
 
 
 def held_out(categories: DataFrame, share: float) -> DataFrame:
     """`split`: the first max(1, round(share * n)) categories by SHA-1 are held out; halves round to even."""
     if not 0 < share < 1:
         raise ValueError("the share must lie between 0 and 1")
-    rows = categories.select("category").distinct()
-    rows = rows.withColumn("r", F.row_number().over(W.orderBy(F.sha1("category")))).withColumn("n", F.count("*").over(W.partitionBy()))
-    return rows.select("category", F.when(F.col("r") <= F.greatest(F.lit(1), F.bround(F.col("n") * share)), "holdout").otherwise("train").alias("split"))
+    rows = categories.select("category").distinct().withColumn("h", F.sha1("category"))
+    first = rows.orderBy("h").limit(max(1, round(share * rows.count()))).agg(F.max("h").alias("last"))
+    return rows.join(F.broadcast(first)).select("category", F.when(F.col("h") <= F.col("last"), "holdout").otherwise("train").alias("split"))  # one row

@@ -70,6 +70,15 @@ def extended(queue: DataFrame, new: DataFrame) -> DataFrame:
     return queue.unionByName(first.select(queue.columns))
 
 
+def merged(queue: DataFrame, new: DataFrame) -> DataFrame:
+    """New entries whose names aren't there yet, as they are: a name repeated among them stays repeated, and checked() finds it."""
+    return queue.unionByName(new.join(queue.select("name"), "name", "left_anti").select(queue.columns))
+
+
+def pending(queue: DataFrame) -> DataFrame:
+    return queue.agg(F.count_if(F.col("status") == PENDING).alias("n"))
+
+
 def fail_unsatisfiable(queue: DataFrame) -> DataFrame:
     """Pending entries that require a failed one fail too, until nothing changes. Entries that run are left alone.
 
@@ -101,8 +110,18 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.join(b, "name").where(F.col("status") != F.col("was")).select("name", "was", "status")
 
 
+def touched(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Names of the entries whose status changed and of those that run."""
+    return changed(before, after).select("name").unionAll(after.where(F.col("status") == RUNNING).select("name")).distinct()
+
+
+def duplicates(queue: DataFrame) -> DataFrame:
+    """(name, n) of the names that come more than once."""
+    return queue.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def checked(queue: DataFrame) -> DataFrame:
-    """Fails on repeated names."""
-    if not queue.groupBy("name").count().where("count > 1").isEmpty():
-        raise QueueError("names must be unique")
+    """The queue; fails on repeated names."""
+    if twice := [r.name for r in duplicates(queue).limit(5).collect()]:
+        raise QueueError(f"names must be unique: {twice}")
     return queue

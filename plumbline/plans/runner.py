@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import logging
+import signal
+import threading
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, functions as F
 
@@ -16,6 +19,34 @@ STOPPED, DRAINED, UNHEALTHY = 0, 3, 4
 OUTCOMES = ("completed", "preempted", "failed")
 
 
+@contextmanager
+def beating(beat: Callable[[], None], every: float) -> Iterator[None]:
+    """Calls beat at even times while the block runs. A beat that raises is logged, and the next one is tried."""
+    done = threading.Event()
+
+    def loop() -> None:
+        while not done.wait(every):
+            try:
+                beat()
+            except Exception:
+                log.exception("a heartbeat failed")
+
+    thread = threading.Thread(target=loop, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        done.set()
+        thread.join()
+
+
+def stop_on_signal(number: int = signal.SIGTERM) -> Callable[[], bool]:
+    """A `stopped` for run() that says so once the process has got the signal; jobs may ask it too, and give up as preempted."""
+    got = threading.Event()
+    signal.signal(number, lambda *_: got.set())
+    return got.is_set
+
+
 def run(
     queue: DataFrame, jobs: Mapping[str, Callable[[Row], str]], owner: str, ttl: float, *, checks: Mapping[str, Callable[[], bool]] | None = None,
     refill: Callable[[DataFrame], DataFrame | None] | None = None, stopped: Callable[[], bool] = lambda: False, now: Callable[[], float] = time.time, wait: Callable[[], None] = lambda: time.sleep(30.0),
@@ -25,7 +56,7 @@ def run(
     Checks that fail end it before the first claim (4). A job returns an outcome; one that
     raises, returns something else or whose kind is unknown has failed. With nothing to
     claim, entries that can't be satisfied fail, then `refill` may give new entries, and
-    otherwise `wait` is called. Each state is written, so lineage doesn't grow.
+    otherwise `wait` is called. While a job runs its claim is renewed every third of ttl. Each state is written, so lineage doesn't grow.
     """
     if checks is not None:
         try:
@@ -36,33 +67,37 @@ def run(
     out, columns = Written(queue.sparkSession, "runner"), queue.columns
     state, last = out.put(queue)
 
-    def put(df: DataFrame) -> None:
+    turn = threading.RLock()
+
+    def put(change: Callable[[DataFrame], DataFrame]) -> None:
         nonlocal state, last
-        old, (state, last) = last, out.put(df.select(columns))
-        out.drop(old)
+        with turn:
+            old, (state, last) = last, out.put(change(state).select(columns))
+            out.drop(old)
 
     while not stopped():
         at = float(now())
         first = Q.claimable(state, at, ttl).orderBy("pos").first()
         if first is None:
-            put(Q.fail_unsatisfiable(state))
+            put(Q.fail_unsatisfiable)
             new = refill(state) if refill else None
             if new is not None and not new.isEmpty():
-                put(Q.extended(state, new))
+                put(lambda q, new=new: Q.extended(q, new))
                 continue
             if Q.is_drained(state).first().drained:
                 return DRAINED, state
             wait()
             continue
-        put(Q.claim_next(state, owner, at, ttl))
+        put(lambda q, at=at: Q.claim_next(q, owner, at, ttl))
         try:
-            outcome = jobs[first["kind"]](first)
+            with beating(lambda name=first["name"]: put(lambda q: Q.heartbeat(q, name, owner, float(now()))), ttl / 3):
+                outcome = jobs[first["kind"]](first)
             if outcome not in OUTCOMES:
                 raise ValueError(f"no such outcome: {outcome!r}")
         except Exception:
             log.exception("%s failed", first["name"])
             outcome = "failed"
-        put(Q.release(state, first["name"], owner, outcome))
+        put(lambda q, name=first["name"], outcome=outcome: Q.release(q, name, owner, outcome))
     return STOPPED, state
 
 
@@ -70,3 +105,10 @@ def session_progress(sessions: DataFrame, checkpoints: DataFrame, slack: float =
     """sessions (name, started) with `newest` and `stale`: no checkpoint (name, written), or none since `slack` seconds before the start."""
     newest = checkpoints.groupBy("name").agg(F.max("written").alias("newest"))
     return sessions.join(newest, "name", "left").withColumn("stale", F.col("newest").isNull() | (F.col("newest") < F.col("started") - slack))
+
+
+def slice_minutes(session: float, buffer: float) -> float:
+    """What is left of a session for the runner."""
+    if session <= buffer:
+        raise ValueError(f"a session of {session} minutes leaves nothing beyond its buffer of {buffer}")
+    return session - buffer
