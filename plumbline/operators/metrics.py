@@ -58,6 +58,7 @@ def evaluation_report(rows: DataFrame, thresholds: tuple[float, ...] = (0.0, 0.5
         F.count("*").alias("n"), F.avg((F.col("iou_2d") >= 0.5).cast("double")).alias("acc"), F.median("iou_2d").alias("median_iou_2d"),
         or_nan(F.median(F.when(ok, F.col("z_err_cm")))).alias("median_z_err_cm"), or_nan(F.median(F.when(ok, F.col("iou_3d")))).alias("median_iou_3d"),
     )
+    # a fixed form: readers of reports look groups up by this key
     key = F.concat(F.concat_ws("|", "detector", "source", "lifter"), F.lit("_sev>="), F.format_string("%.1f", "threshold"))
     return out.withColumn("key", key)
 
@@ -68,14 +69,9 @@ def flattened(report: DataFrame, stats: list[str]) -> DataFrame:
     return report.select(F.explode(entries).alias("e")).where("e.v IS NOT NULL").select("e.k", "e.v")
 
 
-def evaluation_rows(samples: DataFrame, lifts: DataFrame, iou2: Column, iou3: Column) -> DataFrame:
-    """One row per sample, also on failure: without a box iou_2d is 0, without a lift z_err_cm is NaN and success false."""
-    out = samples.join(lifts, "sample_id", "left")
-    found, lifted = F.col("x_min").isNotNull(), F.col("z_est").isNotNull()
-    return out.select(
-        "sample_id", F.when(found, iou2).otherwise(0.0).alias("iou_2d"), F.when(found & lifted, F.abs(F.col("z_est") - F.col("z_true")) * 100).otherwise(NAN).alias("z_err_cm"),
-        F.when(found & lifted, iou3).otherwise(0.0).alias("iou_3d"), (found & lifted).alias("success"),
-    )
+def cells(rows: DataFrame, line: str, column: str, values: list, cell: Column) -> DataFrame:
+    """A grid of one aggregate: a line per value of `line`, a column per given value of `column`; null where a cell has no row."""
+    return rows.groupBy(line).pivot(column, values).agg(cell)
 
 
 def timing_summary(rows: DataFrame, total: str = "total") -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-#: Colour where no ray hits, the least light on a surface, and the direction of light.
+#: Colour where no ray hits, the least light on a surface, and the direction of light.
 BACKGROUND, AMBIENT, LIGHT = 0.85, 0.05, (0.3, 0.8, -0.4)
 
 
@@ -68,26 +68,27 @@ def cast(rays: np.ndarray, eye: np.ndarray, corners: np.ndarray) -> tuple[np.nda
     return best, which
 
 
+def shade(camera: Camera, corners: np.ndarray, owner: np.ndarray, colours: np.ndarray, cast=cast, light: tuple = LIGHT) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(depth, instance, rgb) of one view, pixel after pixel. A surface's light is the cosine of its normal to the light, within AMBIENT to 1."""
+    depth, k = cast(camera.rays(), np.asarray(camera.eye), corners)
+    seen = np.flatnonzero(k >= 0)
+    instance, rgb = np.zeros(len(k), np.int32), np.full((len(k), 3), BACKGROUND)
+    edge = corners[:, 1:] - corners[:, :1]
+    across = np.cross(edge[:, 0], edge[:, 1])
+    lit = across @ (np.asarray(light) / np.linalg.norm(light)) / np.maximum(np.linalg.norm(across, axis=1), 1e-8)
+    mine = np.asarray(owner, np.int32)[k[seen]]
+    instance[seen] = mine + 1
+    rgb[seen] = colours[mine] * np.clip(lit, AMBIENT, 1)[k[seen]][:, None]
+    return np.where(k >= 0, depth, 0).astype(np.float32), instance, (np.clip(rgb, 0, 1) * 255).astype(np.uint8).tobytes()
+
+
 def render(scenes: DataFrame, camera: Camera) -> DataFrame:
     """(frame_id, h, w, depth, instance, rgb) of scenes (frame_id, corners, owner, colours): nine numbers a triangle,
     its object's number from 0, and three numbers from 0 to 1 an object. Depth and instance are 0 where nothing is hit."""
-    rays, eye, light = camera.rays(), np.asarray(camera.eye), np.asarray(LIGHT) / np.linalg.norm(LIGHT)
 
     def run(it):
         for pdf in it:
-            out = []
-            for corners, owner, colours in zip(pdf.corners, pdf.owner, pdf.colours, strict=True):
-                c = np.asarray(corners, float).reshape(-1, 3, 3)
-                t, k = cast(rays, eye, c)
-                hit = k >= 0
-                instance, rgb = np.zeros(len(t), np.int32), np.full((len(t), 3), BACKGROUND)
-                if hit.any():
-                    n = np.cross(c[:, 1] - c[:, 0], c[:, 2] - c[:, 0])
-                    n /= np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-8)
-                    own = np.asarray(owner, np.int32)[k[hit]]
-                    instance[hit] = own + 1
-                    rgb[hit] = np.asarray(colours, float).reshape(-1, 3)[own] * np.clip(n @ light, AMBIENT, 1)[k[hit], None]
-                out.append((np.where(hit, t, 0).astype(np.float32), instance, (np.clip(rgb, 0, 1) * 255).astype(np.uint8).tobytes()))
+            out = [shade(camera, np.asarray(c, float).reshape(-1, 3, 3), np.asarray(o, np.int32), np.asarray(p, float).reshape(-1, 3)) for c, o, p in zip(pdf.corners, pdf.owner, pdf.colours, strict=True)]
             depth, instance, rgb = zip(*out, strict=True) if out else ((), (), ())
             yield pdf[["frame_id"]].assign(h=camera.h, w=camera.w, depth=list(depth), instance=list(instance), rgb=list(rgb))
 

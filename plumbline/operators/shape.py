@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.columns import NAN
 
@@ -24,18 +24,6 @@ def voxels(points: DataFrame, size: float = 0.01) -> DataFrame:
     return points.join(low, "cloud_id").groupBy("cloud_id", *cell).agg(*(F.avg(c).alias(c) for c in "xyz"), F.count("*").alias("n"))
 
 
-def knn_outliers(points: DataFrame, k: int = 20, deviations: float = 2.0) -> DataFrame:
-    """Points whose mean distance to their k nearest is at most the cloud's mean plus so many deviations. Clouds of a few thousand points."""
-    other = points.select("cloud_id", F.col("pt_id").alias("o"), *(F.col(c).alias(f"o{c}") for c in "xyz"))
-    d = F.sqrt(sum(F.pow(F.col(c) - F.col(f"o{c}"), 2) for c in "xyz"))
-    near = points.join(other, "cloud_id").where("pt_id <> o").withColumn("d", d)
-    near = near.withColumn("r", F.row_number().over(W.partitionBy("cloud_id", "pt_id").orderBy("d", "o"))).where(F.col("r") <= k)
-    mean = near.groupBy("cloud_id", "pt_id").agg(F.avg("d").alias("mean_d"))
-    w = W.partitionBy("cloud_id")
-    keep = mean.withColumn("limit", F.avg("mean_d").over(w) + deviations * F.coalesce(F.stddev_samp("mean_d").over(w), F.lit(0.0))).where("mean_d <= limit")
-    return points.join(keep.select("cloud_id", "pt_id"), ["cloud_id", "pt_id"], "left_semi")
-
-
 def alpha_candidates(nn: Column, diagonal: Column) -> Column:
     """Ascending distinct radii to try: multiples of the neighbour distance, at least .05, and shares of the diagonal."""
     near = F.array(*(F.greatest(nn * s, F.lit(0.05)) for s in (3.0, 6.0, 12.0, 24.0, 30.0)))
@@ -78,11 +66,15 @@ def shape_descriptors(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     return out.select("mesh_id", "volume", "surface_area", compact.alias("compactness"), aspect.alias("aspect_ratio"), F.lit(NAN).alias("convex_hull_ratio"), "n_vertices", F.coalesce("n_faces", F.lit(0)).alias("n_faces"))
 
 
+# The labels, and the bounds that part them.
+SPHERE, BOX, LONG, ORGANIC, MIXED, OPEN, NONE = "sphere-like", "box-like / compact", "elongated", "organic / complex surface (animal, plant, etc.)", "irregular / mixed geometry", "unknown (non-watertight)", "unknown (no mesh)"
+
+
 def shape_label(compactness: Column, aspect: Column) -> Column:
     """Ordered rules; the first that holds decides."""
     return (
-        F.when(compactness.isNull() | F.isnan(compactness), "unknown").when(compactness > 0.85, "sphere").when((compactness > 0.5) & (aspect < 1.5), "box")
-        .when(aspect > 3, "elongated").when((compactness < 0.3) & (aspect < 2), "organic").when(aspect > 2, "elongated").otherwise("irregular")
+        F.when(compactness.isNull() | F.isnan(compactness), OPEN).when(compactness > 0.85, SPHERE).when((compactness > 0.5) & (aspect < 1.5), BOX)
+        .when(aspect > 3, LONG).when((compactness < 0.3) & (aspect < 2), ORGANIC).when(aspect > 2, LONG).otherwise(MIXED)
     )
 
 
@@ -98,36 +90,69 @@ def surface_sample(vertices: DataFrame, triangles: DataFrame, n: int, seed: int
     w = W.partitionBy("mesh_id")
     t = t.withColumn("area", area).withColumn("to", F.sum("area").over(w.orderBy("fid").rowsBetween(W.unboundedPreceding, 0)) / F.sum("area").over(w))
     t = t.withColumn("from", F.coalesce(F.lag("to").over(w.orderBy("fid")), F.lit(0.0)))
-    unit = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "mesh_id", "s"), F.lit(2**53)) / float(2**53)
+    digits = lambda salt: F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(salt)), "mesh_id", "s").cast("binary"))
+    unit = lambda salt: (F.conv(F.substring(digits(salt), 1, 11), 16, 10).cast("double") + 1) / float(16**11)
     draws = vertices.select("mesh_id").distinct().select("mesh_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("s")).select("mesh_id", "s", unit(1).alias("r"), F.sqrt(unit(2)).alias("a"), unit(3).alias("b"))
-    hit = draws.join(t, "mesh_id", "left").where("to IS NULL OR (r >= from AND r < to)")
+    hit = draws.join(t, "mesh_id", "left").where("to IS NULL OR (r > from AND r <= to)")
     spot = [F.coalesce(at("i", c) * (1 - F.col("a")) + at("j", c) * F.col("a") * (1 - F.col("b")) + at("k", c) * F.col("a") * F.col("b"), F.lit(0.0)) for c in range(3)]
     return hit.select("mesh_id", "s", *(p.alias(c) for p, c in zip(spot, "xyz", strict=True)))
 
 
-def encoder_weights(seed: int = 0, out: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Fixed random weights of the shared layers 3-64-128-1024 and the head 1024-512-out."""
+#: The shared layers 3-64-128-1024, and the head 1024-512-256.
+LAYERS = ((3, 64), (64, 128), (128, 1024), (1024, 512), (512, 256))
+
+
+def encoder_weights(seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Random weights of a fixed seed, so that embeddings agree between processes."""
     r = np.random.default_rng(seed)
-    return [(r.normal(0, (2 / a) ** 0.5, (a, b)).astype(np.float32), np.zeros(b, np.float32)) for a, b in ((3, 64), (64, 128), (128, 1024), (1024, 512), (512, out))]
+    return [(r.normal(0, (2 / a) ** 0.5, (a, b)).astype(np.float32), np.zeros(b, np.float32)) for a, b in LAYERS]
+
+
+def encoded(points: np.ndarray, weights: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each point's 1024 features, and the cloud's vector: the largest response over points, then the head. An empty cloud is one point at the origin."""
+    x = np.asarray(points, np.float32).reshape(-1, 3) if len(points) else np.zeros((1, 3), np.float32)
+    for a, b in weights[:3]:
+        x = np.maximum(x @ a + b, 0)
+    return x, np.maximum(x.max(0) @ weights[3][0] + weights[3][1], 0) @ weights[4][0] + weights[4][1]
 
 
-def encode_clouds(clouds: DataFrame, weights: list[tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
-    """`embedding` of dense clouds (cloud_id, points array<array<double>>): shared layers, the largest response over points, then the head."""
+def classified(vector: np.ndarray, head: tuple[np.ndarray, np.ndarray], drop: float = 0.3, r: np.random.Generator | None = None) -> np.ndarray:
+    """A linear head's scores of cloud vectors; with a generator, that share of the vector's values is dropped as in training."""
+    if r is not None:
+        vector = vector * (r.random(vector.shape) >= drop) / (1 - drop)
+    return vector @ head[0] + head[1]
+
+
+def export_weights(spark: SparkSession, weights: list[tuple[np.ndarray, np.ndarray]], path: str) -> None:
+    """A row per array: (name, dims, values)."""
+    rows = [(f"{i}.{kind}", list(x.shape), x.ravel().tolist()) for i, pair in enumerate(weights) for kind, x in zip(("weight", "bias"), pair, strict=True)]
+    spark.createDataFrame(rows, "name string, dims array<int>, values array<float>").write.mode("overwrite").parquet(path)
+
+
+def load_weights(spark: SparkSession, path: str, layers: tuple = LAYERS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Exported weights; names and shapes must be the layers', no more and no fewer. A prefix before the last two parts of a name is taken off."""
+    found = {".".join(r.name.split(".")[-2:]): (tuple(r.dims), r["values"]) for r in spark.read.parquet(path).collect()}
+    want = {f"{i}.{kind}": (a, b) if kind == "weight" else (b,) for i, (a, b) in enumerate(layers) for kind in ("weight", "bias")}
+    if {k: d for k, (d, _) in found.items()} != want:
+        raise ValueError(f"the weights' names or shapes differ: {sorted(set(want.items()) ^ {(k, d) for k, (d, _) in found.items()})}")
+    return [tuple(np.array(found[f"{i}.{kind}"][1], np.float32).reshape(want[f"{i}.{kind}"]) for kind in ("weight", "bias")) for i in range(len(layers))]
+
+
+def encode_clouds(clouds: DataFrame, weights: list[tuple[np.ndarray, np.ndarray]] | None = None, features: bool = False) -> DataFrame:
+    """(cloud_id, embedding, features) of dense clouds (cloud_id, points array<array<double>>) by one pass of the network; features, those of each point, are null unless asked for."""
     w = weights or encoder_weights()
 
     def run(it):
         for pdf in it:
-            out = []
-            for p in pdf.points:
-                x = np.stack([np.asarray(q, np.float32) for q in p]) if len(p) else np.zeros((1, 3), np.float32)
-                for a, b in w[:3]:
-                    x = np.maximum(x @ a + b, 0)
-                x = x.max(0)
-                x = np.maximum(x @ w[3][0] + w[3][1], 0) @ w[4][0] + w[4][1]
-                out.append(x)
-            yield pdf[["cloud_id"]].assign(embedding=out)
-
-    return clouds.select("cloud_id", "points").mapInPandas(run, "cloud_id long, embedding array<float>")
+            both = [encoded(np.stack([np.asarray(q, np.float32) for q in p]) if len(p) else np.zeros((0, 3)), w) for p in pdf.points]
+            yield pdf[["cloud_id"]].assign(embedding=[v for _, v in both], features=[[*f] if features else None for f, _ in both])
+
+    return clouds.select("cloud_id", "points").mapInPandas(run, "cloud_id long, embedding array<float>, features array<array<float>>")
+
+
+def norm(vector: Column) -> Column:
+    """The Euclidean length of an array."""
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
 def feature_colours(features: DataFrame, column: str = "features") -> DataFrame:
