@@ -89,20 +89,19 @@ def test_checkpoints(spark, tmp_path):
         c.save(step, put(step))
     assert c.steps() == ["step_000000002", "step_000000003"] and c.latest().endswith("3")
     c.point_to("step_000000002")
-    assert spark.read.parquet(f"{c.latest()}/t").count() == 2
+    assert spark.read.parquet(c.part("t")).count() == 2
     c.save(3, put(7))
-    assert spark.read.parquet(f"{c.latest()}/t").count() == 7
-    os.makedirs(tmp_path / "c/step_000000009.tmp")
+    assert spark.read.parquet(f"{c.latest()}/t").count() == 7 and c.steps() == ["step_000000003", "step_000000003-1"]
+    os.makedirs(tmp_path / "c/step_000000009.unfinished")
     c.save(4, put(1))
-    assert c.steps() == ["step_000000003", "step_000000004"]
-    with pytest.raises(FileNotFoundError):
-        c.point_to("step_000000001")
-    with pytest.raises(ValueError):
-        sinks.Checkpoints(spark, f"file://{tmp_path}/c", 0)
+    assert c.listed() == c.steps() == ["step_000000003-1", "step_000000004"]
+    for wrong, kind in ((lambda: c.point_to("step_000000001"), FileNotFoundError), (lambda: c.part("adapter"), FileNotFoundError), (lambda: sinks.Checkpoints(spark, f"file://{tmp_path}/c", 0), ValueError)):
+        with pytest.raises(kind):
+            wrong()
 
     def broken(d):
         raise RuntimeError("lost")
 
     with pytest.raises(RuntimeError):
         c.save(5, broken)
-    assert c.latest().endswith("step_000000004")
+    assert c.latest().endswith("step_000000004") and not [f for f in os.listdir(tmp_path / "c") if f.startswith("LATEST.")]

@@ -75,7 +75,14 @@ def test_lift_plane():
     d = np.full((240, 320), 2.0)
     z, lo, hi, ratio, vertices = G.lift_box(d, K, (100, 80, 220, 160))
     assert abs(z - 2) < 1e-9 and abs(lo - 2) < 1e-6 and abs(hi - 2) < 1e-6 and ratio == 1 and len(vertices) == 8
-    assert G.lift_box(d, K, (0, 0, 5, 5)) is None
+    assert G.lift_box(d, K, (0, 0, 5, 5)) is None and G.lift_box(np.where(np.arange(320) < 220, 0, d), K, (100, 80, 220, 160)) is None
+    thin = d.copy()
+    thin[82:158, 102:218] = 0
+    assert abs(G.stable_z(thin, (100, 80, 220, 160)) - 2) < 1e-9 and G.stable_z(np.zeros((20, 20)), (0, 0, 20, 20)) is None
+    with pytest.raises(ValueError):
+        G.lift_box(d.ravel(), K, (0, 0, 9, 9))
+    with pytest.raises(ValueError):
+        G.lift_box(d, K, (100, 80, 220, 160), percentiles=(50, 50))
     with pytest.raises(ValueError):
         G.lift_box(d, K, (400, 0, 420, 20))
     with pytest.raises(ValueError):
@@ -120,22 +127,36 @@ def test_queue_flow(spark):
     assert Q.extended(q, more).count() == 5
 
 
+LEDGER = "id int, hypothesis string, status string, config_json string, config_hash string, loss double, created_at double"
+
+
 def test_ledger(spark):
     assert L.config_hash({"b": 1, "a": 1e-4}) == L.config_hash({"a": 0.0001, "b": 1})
-    rows = [(i, json.dumps({"rank": i, "max_steps": 10}), L.config_hash({"rank": i, "max_steps": 10}), 10, i / 10, float(i)) for i in range(6)]
-    led = spark.createDataFrame(rows, "id int, config_json string, config_hash string, rung int, loss double, created_at double")
+    rows = [(i, "H1", "done", json.dumps({"rank": i, "max_steps": 10}), L.config_hash({"rank": i, "max_steps": 10}), i / 10, float(i)) for i in range(6)]
+    rows += [(7, "H1", "failed", json.dumps({"rank": 7}), "x", 0.0, 7.0), (8, "H2", "done", json.dumps({"rank": 8}), "y", 0.0, 8.0)]
+    led = spark.createDataFrame(rows, LEDGER)
     got = L.propose(led, [L.Param("rank", (100, 101))], "lora", "H1", (10, 40, 160), "loss", 3)
     assert [g["config"] for g in got[:2]] == [{"rank": 0, "max_steps": 40}, {"rank": 1, "max_steps": 40}] and got[2]["config"]["rank"] >= 100
     assert L.propose(led, [], "lora", "H1", (10,), "loss", 0) == []
-    with pytest.raises(ValueError):
-        L.Param("x", (1,), 0.0, 1.0)
+    assert got[2]["name"] == f"h1-lora-{got[2]['config_hash'][:10]}" and L.propose(led, [L.Param("rank", (100,))], "lora", "H1", (10, 40), "loss", 3, base={"lr": 1}, most=7)[2:] == []
+    assert L.propose(led, [L.Param("rank", (100,))], "lora", "H1", (10, 40), "loss", 3, base={"lr": 1})[2]["config"] == {"lr": 1, "rank": 100, "max_steps": 10}
+    for wrong in (lambda: L.Param("x", (1,), 0.0, 1.0), lambda: L.checked_rungs((), 3), lambda: L.checked_rungs((1, 1), 3), lambda: L.checked_rungs((1,), 1)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_promotions_count_rows_without_the_metric(spark):
+    """Six done rows, three without the metric: two are promoted, and those without it rank last; steps that are no rung are the first."""
+    rows = [(i, "H1", "done", json.dumps({"rank": i, "max_steps": 999}), f"h{i}", None if i < 3 else float(i), float(i)) for i in range(6)]
+    got = L.promotions(spark.createDataFrame(rows, LEDGER), "H1", (10, 40), "loss", 3, True).orderBy("place").collect()
+    assert [(r.id, r.rung, json.loads(r.config_json)) for r in got] == [(5, 0, {"rank": 5, "max_steps": 40}), (4, 0, {"rank": 4, "max_steps": 40})]
 
 
 def test_promotions_behind_known_ones(spark):
     """20 promotions of the first rung are in the ledger already; those of the second are proposed, also in a full ledger."""
     config = lambda i, steps: {"rank": i, "max_steps": steps}
-    rows = [(json.dumps(config(i, s)), L.config_hash(config(i, s)), s, i / 100, float(i)) for s, n in ((10, 60), (40, 20)) for i in range(n)]
-    led = spark.createDataFrame(rows, "config_json string, config_hash string, rung int, loss double, created_at double")
+    rows = [(i, "H1", "done", json.dumps(config(i, s)), L.config_hash(config(i, s)), i / 100, float(i)) for s, n in ((10, 60), (40, 20)) for i in range(n)]
+    led = spark.createDataFrame(rows, LEDGER)
     space = [L.Param("rank", (1000, 1001))]
     want = [config(i, 160) for i in range(4)]
     assert [g["config"] for g in L.propose(led, space, "lora", "H1", (10, 40, 160), "loss", 4)] == want
@@ -144,18 +165,29 @@ def test_promotions_behind_known_ones(spark):
 
 
 def test_guard_batch_equals_stream(spark, tmp_path):
-    rows = [("r", i, v) for i, v in enumerate([1.0, 1.4, 1.6, 1.8, 1.9, 2.0, 0.5])]
-    want = [(r.step, r.event, r.ema_loss) for r in guard.guard_batch(spark.createDataFrame(rows, guard.LOG)).orderBy("step").collect()]
-    assert any(w[1] == "rollback" for w in want)
+    rows = [("r", i, v) for i, v in enumerate([1.0, 1.4, 1.6, 1.8, 1.9, 2.0, 0.05])]
+    cfg = guard.GuardConfig(patience=3, warmup=2)
+    want = [(r.step, r.event, r.ema_loss) for r in guard.guard_batch(spark.createDataFrame(rows, guard.LOG), cfg).orderBy("step").collect()]
+    assert [w[1] for w in want] == ["new_best", "ok", "ok", "ok", "rollback", "ok", "new_best"]
     for k, part in enumerate((rows[:3], rows[3:])):
         (tmp_path / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("run", "step", "loss"), r))) for r in part))
         os.utime(tmp_path / f"{k}.json", (1000 + k, 1000 + k))  # files are taken by age
-    stream = guard.guard_stream(guard.read_log(spark, str(tmp_path), True).select("run", "step", "loss"))
+    stream = guard.guard_stream(guard.read_log(spark, str(tmp_path), True).select("run", "step", "loss"), cfg)
     q = stream.writeStream.format("memory").queryName("guarded").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert [(r.step, r.event, r.ema_loss) for r in spark.table("guarded").orderBy("step").collect()] == want
 
 
+def test_guard_states():
+    """The log 1.0, 1.2, 1.2, 1.2 and its like: warm-up, patience, rollbacks and their end."""
+    cfg, state, events = guard.GuardConfig(decay=0.5, tolerance=0.02, patience=2, warmup=3, most=1), guard.NEW, []
+    for k, loss in enumerate([1.0, 1.2, 1.2, 1.2, 1.2, 1.2, 1.2, 1.2, 0.1]):
+        state, event = guard.step(state, k, loss, cfg)
+        events.append(event)
+    assert events == ["new_best", "ok", "ok", "ok", "rollback", "ok", "exhausted", "exhausted", "new_best"] and state[2] == 8 and state[4] == 1
+    assert guard.GuardConfig() == guard.GuardConfig(0.9, 0.02, 25, 40, 3)
+
+
 def png16(a):
     raw = b"".join(b"\0" + row.astype(">u2").tobytes() for row in a)
     chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
@@ -184,12 +216,12 @@ def test_readers(spark, tmp_path):
     (tmp_path / "q.yaml").write_text("experiments:\n- {name: a, kind: k, retries: x}\n- {name: b, kind: k, requires: [a]}\n")
     q = readers.read(spark, "queue", str(tmp_path / "q.yaml")).orderBy("pos").collect()
     assert q[0].retries == 0 and q[1].requires == ["a"]
-    assert readers.expand("${A:-x}/${B}", {"B": "y"}) == "x/y"
+    assert readers.expand("${A:-x}/${B}/${C:-z}${D}", {"B": "y", "C": ""}) == "x/y/"
     f = readers.synthetic_frames(spark, 2, 10, 10, 2.0, 0.6).collect()
     assert all(sum(d == 0 for d in r.depth) == 60 for r in f)
 
 
 def test_shapes(spark):
-    assert spark.range(1).select(S.shape_label(F.lit(0.9), F.lit(1.0))).first()[0] == "sphere"
+    assert spark.range(1).select(S.shape_label(F.lit(0.9), F.lit(1.0))).first()[0] == S.SPHERE
     open_mesh = spark.createDataFrame([(0, 0, 0, 1, 2), (0, 1, 1, 2, 3)], "mesh_id int, fid int, i int, j int, k int")
     assert not S.watertight(open_mesh).first().closed
