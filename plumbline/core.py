@@ -33,6 +33,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over as many tasks as shuffles have, for kernels that take long on few bytes: adaptive execution would join such rows to one task."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 class Written:
     """Tables written to the shared folder to cut lineage; drop() removes the given ones, or all."""
 
@@ -43,6 +48,9 @@ class Written:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
+        if self.n == 1:  # what isn't dropped before goes with the driver
+            fs, root = file_system(self.spark, self.root)
+            fs.deleteOnExit(root)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, *paths: str) -> None:

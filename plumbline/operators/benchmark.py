@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..core import spread
 from ..functions.columns import NAN, or_nan, ratio
 from . import compose, mesh, shape
 from .geometry import stable_z
@@ -82,7 +83,7 @@ def measured(grid: DataFrame, cfg: FilterConfig = DEFAULT) -> DataFrame:
         for pdf in it:
             yield pd.DataFrame([one(*r) for r in pdf.itertuples(index=False)], columns=[c.split(" ")[0] for c in RUNS.split(", ")])
 
-    return grid.select("void_ratio", "noise_std", "seed").mapInPandas(run, RUNS)
+    return spread(grid.select("void_ratio", "noise_std", "seed")).mapInPandas(run, RUNS)
 
 
 def sweep_record(runs: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def spiked(grid: DataFrame, cfg: FilterConfig = DEFAULT) -> DataFrame:
         for pdf in it:
             yield pd.DataFrame([x for x in (one(*r) for r in pdf.itertuples(index=False)) if x], columns=[c.split(" ")[0] for c in SPIKED.split(", ")])
 
-    return grid.select("void_ratio", "noise_std", "seed").mapInPandas(run, SPIKED)
+    return spread(grid.select("void_ratio", "noise_std", "seed")).mapInPandas(run, SPIKED)
 
 
 def outlier_record(runs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..core import spread
 from ..functions.columns import NAN, valid_depth
 from .raster import DEFAULT, FilterConfig, mask_kernel, restore_kernel
 
@@ -90,14 +91,15 @@ def frustum_box(x_min: Column, y_min: Column, x_max: Column, y_max: Column, z_mi
 
 
 #: Boxes that one copy of their frame serves.
-BOXES_A_FRAME = 256
+BOXES_A_FRAME = 128
 
 
-def per_box(frames: DataFrame, boxes: DataFrame, kernel: Callable, names: str) -> DataFrame:
+def per_box(frames: DataFrame, boxes: DataFrame, kernel: Callable, names: str, slow: bool = False) -> DataFrame:
     """kernel(depth, box) over the boxes (frame_id, box_id, x_min ...) of dense frames (frame_id, h, w, depth): (box_id, frame_id, names).
 
     A frame travels once for each BOXES_A_FRAME of its boxes, however many it has. Boxes for
-    which the kernel gives None have no row, nor have those without a frame.
+    which the kernel gives None have no row, nor have those without a frame. With slow, the
+    rows are spread over all tasks first.
     """
     n = boxes.groupBy("frame_id").agg(F.ceil(F.count("*") / BOXES_A_FRAME).cast("long").alias("chunks"))
     corner = ["box_id", "x_min", "y_min", "x_max", "y_max"]
@@ -117,7 +119,7 @@ def per_box(frames: DataFrame, boxes: DataFrame, kernel: Callable, names: str) -
                         out.append((box_id, frame, *got))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(kind)], schema=kind)
 
-    return both.mapInArrow(run, schema)
+    return (spread(both, "frame_id", "box_id") if slow else both).mapInArrow(run, schema)
 
 
 def cut(depth: np.ndarray, box: tuple[int, int, int, int]) -> np.ndarray:
@@ -178,7 +180,7 @@ def ring_medians(frames: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def stable_depths(frames: DataFrame, boxes: DataFrame, cfg: FilterConfig = DEFAULT) -> DataFrame:
     """(box_id, frame_id, z) by stable_z, null where neither box nor ring says anything."""
-    return per_box(frames, boxes, lambda depth, box: (stable_z(depth, box, cfg),), "z double")
+    return per_box(frames, boxes, lambda depth, box: (stable_z(depth, box, cfg),), "z double", slow=True)
 
 
 def naive_lift(frames: DataFrame, boxes: DataFrame, k: Intrinsics) -> DataFrame:
@@ -221,7 +223,7 @@ def lift_box(depth: np.ndarray, k: Intrinsics, box: tuple[int, int, int, int], c
 
 def lift(frames: DataFrame, boxes: DataFrame, k: Intrinsics, cfg: FilterConfig = DEFAULT, percentiles: tuple[float, float] = (5, 95)) -> DataFrame:
     """Robust lifts of boxes on dense frames; boxes that can't be lifted have no row, and one outside the image is an error."""
-    return per_box(frames, boxes, lambda depth, box: lift_box(depth, k, box, cfg, percentiles), LIFT)
+    return per_box(frames, boxes, lambda depth, box: lift_box(depth, k, box, cfg, percentiles), LIFT, slow=True)
 
 
 def iou_2d(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType, StructType
+
+from ..core import Written
+from .mesh import nearest_k
 
 from ..functions.columns import NAN, or_nan, ratio
 
@@ -23,28 +28,57 @@ def detection_measures(flagged: Column, truth: Column, valid: Column | None = No
     return {"tp": tp, "fp": fp, "fn": fn, "tn": tn, "precision": precision, "recall": recall, "f1": f1, "fpr": ratio(fp, fp + tn), "retention": 1 - ratio(fp, fp + tn)}
 
 
+#: Points of a cloud that may be sent to all tasks: 24 bytes each.
+MAX_SENT = 100_000
+
+
+def near(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+    """(id, d): the distance of each point of a to the nearest of b in the 27 cells around it, by an equi-join; exact up to `cell`."""
+    dist = F.sqrt(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2) + F.pow(F.col("z") - F.col("bz"), 2))
+    at = lambda c: F.floor(F.col(c) / cell)
+    around = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip((i, j, k), "ijk", strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))))
+    tried = a.select("id", "x", "y", "z", around.alias("o")).select("id", "x", "y", "z", *((at(c) + F.col(f"o.{n}")).alias(f"g{c}") for c, n in zip("xyz", "ijk", strict=True)))
+    other = b.select(*(F.col(c).alias(f"b{c}") for c in "xyz")).select("*", *(at(f"b{c}").alias(f"g{c}") for c in "xyz"))
+    return tried.join(other, ["gx", "gy", "gz"]).groupBy("id").agg(F.min(dist).alias("d"))
+
+
 def nearest(a: DataFrame, b: DataFrame, cell: float | None = None) -> DataFrame:
-    """Each point of a (id, x, y, z) with `d`, its distance to the nearest point of b.
+    """Each point of a (id, x, y, z) with `d`, its distance to the nearest point of b; null if b is empty.
 
-    With `cell` only distances up to cell are needed: b is dealt over grid cells and each
-    point of a meets the 27 around it by an equi-join (further points get null). Without
-    it, points meet all of the other cloud, which is for clouds of a few thousand points.
+    With `cell` only distances up to cell are needed, and points further away may get null.
+    Without it, a cloud b of up to MAX_SENT points is sent to the tasks, which sort it into
+    slabs; a larger one is met in grid cells that double until each point has its nearest.
     """
-    dist = F.sqrt(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2) + F.pow(F.col("z") - F.col("bz"), 2))
-    other = b.select(*(F.col(c).alias(f"b{c}") for c in "xyz"))
-    if cell is None:
-        best = a.join(other).groupBy("id").agg(F.min(dist).alias("d"))
-    else:
-        at = lambda c: F.floor(F.col(c) / cell)
-        around = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip((i, j, k), "ijk", strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))))
-        near = a.select("id", "x", "y", "z", around.alias("o")).select("id", "x", "y", "z", *((at(c) + F.col(f"o.{n}")).alias(f"g{c}") for c, n in zip("xyz", "ijk", strict=True)))
-        other = other.select("*", *(at(f"b{c}").alias(f"g{c}") for c in "xyz"))
-        best = near.join(other, ["gx", "gy", "gz"]).groupBy("id").agg(F.min(dist).alias("d"))
-    return a.join(best, "id", "left")
-
-
-def cloud_distances(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """One row: chamfer, hausdorff (NaN if a cloud is empty) and coverage of b within radius (0 if one is empty)."""
+    if cell is not None:
+        return a.join(near(a, b, cell), "id", "left")
+    facts = b.agg(F.count("*").alias("n"), *(F.max(c).alias(f"{c}1") for c in "xyz"), *(F.min(c).alias(f"{c}0") for c in "xyz")).first()
+    if facts.n == 0:
+        return a.withColumn("d", F.lit(None).cast("double"))
+    if facts.n <= MAX_SENT:
+        p = np.array([tuple(r) for r in b.select("x", "y", "z").collect()], float)
+
+        def run(it):
+            for pdf in it:
+                yield pdf.assign(d=nearest_k(p, 1, pdf[["x", "y", "z"]].to_numpy(float))[:, 0]) if len(pdf) else pdf.assign(d=np.zeros(0))
+
+        return a.mapInPandas(run, StructType([*a.schema.fields]).add("d", DoubleType()))
+    out, found = Written(a.sparkSession, "nearest"), None
+    both = a.select(*"xyz").unionAll(b.select(*"xyz")).agg(*(F.max(c).alias(f"{c}1") for c in "xyz"), *(F.min(c).alias(f"{c}0") for c in "xyz")).first()
+    reach = max(both[f"{c}1"] - both[f"{c}0"] for c in "xyz") * 2 or 1.0
+    cell, (left, _) = reach / 2 / max(facts.n ** (1 / 3), 1), out.put(a.select("id", *"xyz"))
+    while not left.isEmpty():
+        cell = min(cell, reach)
+        got, _ = out.put(near(left, b, cell).where(F.lit(cell >= reach) | (F.col("d") <= cell)))
+        found = got if found is None else found.unionAll(got)
+        left, _ = out.put(left.join(got.select("id"), "id", "left_anti"))
+        cell *= 2
+    return a.join(found, "id", "left") if found is not None else a.withColumn("d", F.lit(None).cast("double"))
+
+
+def cloud_distances(a: DataFrame, b: DataFrame, radius: float, sample: int | None = None, seed: int = 0) -> DataFrame:
+    """With sample, of at most so many points of each cloud, drawn by a hash. One row: chamfer, hausdorff (NaN if a cloud is empty) and coverage of b within radius (0 if one is empty)."""
+    if sample is not None:
+        a, b = (x.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "id").cast("binary")), "id").limit(sample) for x in (a, b))
     ab = nearest(a, b).agg(F.avg("d").alias("m1"), F.max("d").alias("x1"))
     ba = nearest(b, a).agg(F.avg("d").alias("m2"), F.max("d").alias("x2"), F.avg(F.coalesce((F.col("d") <= radius).cast("double"), F.lit(0.0))).alias("cov"))
     return ab.join(ba).select(or_nan((F.col("m1") + F.col("m2")) / 2).alias("chamfer"), or_nan(F.when(F.col("x1").isNotNull() & F.col("x2").isNotNull(), F.greatest("x1", "x2"))).alias("hausdorff"), F.coalesce("cov", F.lit(0.0)).alias("coverage"))

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from ..core import spread
+
 #: Colour where no ray hits, the least light on a surface, and the direction of light.
 BACKGROUND, AMBIENT, LIGHT = 0.85, 0.05, (0.3, 0.8, -0.4)
 
@@ -92,7 +94,7 @@ def render(scenes: DataFrame, camera: Camera) -> DataFrame:
             depth, instance, rgb = zip(*out, strict=True) if out else ((), (), ())
             yield pdf[["frame_id"]].assign(h=camera.h, w=camera.w, depth=list(depth), instance=list(instance), rgb=list(rgb))
 
-    return scenes.select("frame_id", "corners", "owner", "colours").mapInPandas(run, "frame_id long, h int, w int, depth array<float>, instance array<int>, rgb binary")
+    return spread(scenes.select("frame_id", "corners", "owner", "colours"), "frame_id").mapInPandas(run, "frame_id long, h int, w int, depth array<float>, instance array<int>, rgb binary")
 
 
 def scenes(objects: DataFrame, vertices: DataFrame, triangles: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import parsing
-from plumbline.operators import benchmark as B, compose, geometry as G, mesh, raster as R, shape as S
+from plumbline.operators import benchmark as B, compose, geometry as G, mesh, metrics as M, raster as R, shape as S
 from plumbline.operators.scene import Camera
 from plumbline.plans import canary, ground, ledger as L, queue as Q, runner, training
 from plumbline.sources import readers, sinks
@@ -36,6 +36,22 @@ def test_nearest_equals_brute_force():
         assert np.allclose(mesh.nearest_k(p, 1, q)[:, 0], np.linalg.norm(q[:, None] - p[None], axis=2).min(1))
 
 
+def test_cloud_distances_of_any_size(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    a, b = r.normal(size=(60, 3)), np.vstack([r.normal(size=(80, 3)), [[30, 0, 0]]])
+    a[0] = (-40, 5, 5)
+    df = lambda x: spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, x double, y double, z double")
+    want = np.linalg.norm(a[:, None] - b[None], axis=2).min(1)
+    for most in (1000, 10):
+        monkeypatch.setattr(M, "MAX_SENT", most)
+        got = {x.id: x.d for x in M.nearest(df(a), df(b)).collect()}
+        assert np.allclose([got[i] for i in range(60)], want)
+    assert M.nearest(df(a), df(b[:0])).where("d IS NOT NULL").count() == 0 and M.nearest(df(a[:0]), df(b)).count() == 0
+    monkeypatch.setattr(M, "MAX_SENT", 1000)
+    one = M.cloud_distances(df(a), df(b), 0.5, sample=20).first()
+    assert one == M.cloud_distances(df(a).repartition(3), df(b), 0.5, sample=20).first() and one.hausdorff > 1
+
+
 def test_delaunay_spheres_are_empty_and_fill_the_hull():
     p = np.random.default_rng(2).normal(size=(200, 3))
     t = mesh.delaunay(p)
