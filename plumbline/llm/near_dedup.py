@@ -45,7 +45,7 @@ from .common import Written, slices
 
 BINS, MISSED = 256, 1e-6
 #: Hubs that a member is checked against at first, neighbours of a row that leave a block of sketches, and the rows of such a block.
-HUBS, NEAREST, SKETCHES = 2, 8, 2048
+HUBS, NEAREST, SKETCHES = 2, 8, 1024
 #: Rows, and bytes of full sets, of a block of a region.
 BLOCK, BLOCK_BYTES = 512, 1 << 24
 #: At most so many ids are sent to every executor; more are joined by a shuffle.
