@@ -36,7 +36,7 @@ SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 2.0)), ((0
 #: A table of at most so many bytes is sent to every executor; a larger one is joined by a shuffle. What a row takes beside its source.
 MAX_SENT, ROW_BYTES = 20_000_000, 100
 #: Rows of a source that its hash buckets have about; a bucket takes 1 to 16 times fewer.
-BUCKET_ROWS = 16_000
+BUCKET_ROWS = 4_000
 
 
 def is_large() -> Column:
