@@ -131,7 +131,9 @@ class TokenRollup:
             return False
         stage = self.staged(batch_id)
         entry = F.struct("seq", F.coalesce("n_tokens", F.lit(0)).alias("n"), "deleted", "source", "lang")
-        change = change.where("tokenizer IS NOT NULL")
+        # counting is the costly part of a change, and two tables come from it: it is written once
+        change.where("tokenizer IS NOT NULL").select(*(F.col(c).cast(kind) for c, kind in (x.split(" ") for x in CHANGE.split(", ")))).write.parquet(f"{stage}/changes")
+        change = self.spark.read.schema(CHANGE).parquet(f"{stage}/changes")
         new = change.where("doc_id IS NOT NULL").groupBy(*KEY).agg(F.max(entry).alias("e"))
         new = new.select(*KEY, "e.source", "e.lang", F.col("e.n").alias("n_tokens"), F.coalesce("e.deleted", F.lit(False)).alias("deleted"))
         self.put(new, f"{stage}/ledger")
@@ -143,6 +145,7 @@ class TokenRollup:
         signed = signed[0].unionByName(signed[1]).unionByName(loose)
         delta = signed.groupBy("source", "lang", "tokenizer").agg(F.sum("sign").cast("bigint").alias("docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("bigint").alias("tokens"))
         delta.where("docs <> 0 OR tokens <> 0").write.parquet(f"{stage}/deltas")
+        delete(self.spark, f"{stage}/changes")
         self.publish(stage, batch_id)
         return True
 
