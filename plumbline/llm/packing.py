@@ -116,6 +116,9 @@ class Tokens:
 
 def pieces(text: str) -> Iterator[str]:
     """A text, cut where no token lies across: before ASCII white space and, in a Latin-1 text, before a single number too."""
+    if len(text) <= PIECE:
+        yield text
+        return
     plain = "<|" not in text and (text.isascii() or max(text) <= "\xff")
     cut, at = (CUT_PLAIN if plain else CUT).search, 0
     while len(text) - at > PIECE and (end := cut(text, at + PIECE)):
