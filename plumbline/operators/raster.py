@@ -159,10 +159,6 @@ def outlier_mask(px: DataFrame, smooth=bilateral_smooth, cfg: FilterConfig = DEF
     return px.withColumns({c: F.when(any_valid, F.col(c)).otherwise(0.0) for c in ("sigma", "threshold")})
 
 
-def without_outliers(px: DataFrame, smooth=bilateral_smooth, cfg: FilterConfig = DEFAULT) -> DataFrame:
-    return outlier_mask(px, smooth, cfg).withColumn("clean", F.when(F.col("outlier"), 0.0).otherwise(F.col("depth")))
-
-
 def iqr_filter(px: DataFrame, multiple: float = 3.0) -> DataFrame:
     """`clean`: valid pixels outside the quartiles by more than `multiple` ranges become 0."""
     ok = valid_depth(F.col("depth"))

@@ -484,3 +484,9 @@ def synthetic_frames(spark: SparkSession, n: int, h: int, w: int, depth: float,
             yield pd.DataFrame({"frame_id": pdf.id.astype(str), "h": h, "w": w, "depth": out})
 
     return spark.range(n).mapInPandas(run, FRAMES)
+
+
+@reader("synthetic")
+def read_synthetic(spark: SparkSession, path: str = "", n: int = 1, h: int = 100, w: int = 100, depth: float = 2.0, **options) -> DataFrame:
+    """Made frames instead of files, for a config that names no other source."""
+    return synthetic_frames(spark, n, h, w, depth, **options)

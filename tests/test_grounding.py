@@ -2,6 +2,7 @@
 
 import json
 import os
+import signal
 import struct
 import threading
 import time
@@ -243,6 +244,13 @@ def test_claims_are_renewed_while_a_job_runs(spark):
     code, end = runner.run(q, {"k": lambda e: went.wait(4) and "completed" or "completed"}, "me", 1.5, now=lambda: float(next(clock)))
     assert code == runner.DRAINED and end.first().status == "done" and next(clock) > 4
     assert runner.slice_minutes(60, 10) == 50
+    old = signal.getsignal(signal.SIGUSR1)
+    stopped = runner.stop_on_signal(signal.SIGUSR1)
+    assert not stopped()
+    os.kill(os.getpid(), signal.SIGUSR1)
+    time.sleep(0.05)
+    assert stopped()
+    signal.signal(signal.SIGUSR1, old)
     with pytest.raises(ValueError):
         runner.slice_minutes(10, 10)
 
@@ -312,7 +320,7 @@ def test_pngs_and_frames(spark, tmp_path):
     for rgb, depth in ((at("no.png"), at("t/depth/00000.png")), (at("t/image/00000.png"), at("no.npy")), (at("k.npy"), at("t/depth/00000.png"))):
         with pytest.raises(FileNotFoundError):
             readers.load_frame(spark, rgb, depth)
-    assert readers.load_frame(spark).first().h == 100 and readers.memory_gauges() == {}
+    assert readers.load_frame(spark).first().h == 100 and readers.read(spark, "synthetic", "", n=3).count() == 3 and readers.memory_gauges() == {}
     with pytest.raises(RuntimeError):
         readers.FrameSource(spark.range(1)).get_frame()
 
@@ -341,6 +349,9 @@ def test_sinks(spark, tmp_path):
         guard.append_log(spark, f"{at}/log", run="r", step=step, **more)
     last = guard.last_values(guard.read_log(spark, f"{at}/log"), "loss", "lr").first()
     assert (last.last_step, last.last_loss, last.last_lr) == (2, 0.5, 0.1)
+    for _ in range(2):  # the second finds nothing new
+        guard.write_log(guard.read_log(spark, f"{at}/log", True).select("run", "step", "loss"), f"{at}/copy", f"{at}/cp").awaitTermination(120)
+    assert {r.step: r.loss for r in guard.read_log(spark, f"{at}/copy").collect()} == {1: 0.5, 2: None}
     made = []
     for _ in range(2):
         assert sinks.cached(spark, f"{at}/cache", lambda: made.append(1) or spark.range(3)).count() == 3
