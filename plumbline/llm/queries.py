@@ -1,6 +1,6 @@
 """The queries of this package, and SQL for the ones that SQL can express."""
 
-from . import byte_cnn, chat, media, mixing, near_dedup, packing, pii, quality_rules, token_counts, url_filter
+from . import byte_cnn, chat, codes, lexical, media, mixing, near_dedup, neighbours, packing, pii, quality_rules, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -13,5 +13,11 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_media_columns": media.op9_media_columns,
     "op10_mixing": mixing.op10_mixing,
+    "op11_lexical_search": lexical.op11_lexical_search,
+    "op12_nearest": neighbours.op12_nearest,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
-SQL = {"op3_chat_format": chat.SQL, "op7_url_filter": url_filter.SQL, "op10_mixing": mixing.SQL}
+SQL = {
+    "op3_chat_format": chat.SQL, "op7_url_filter": url_filter.SQL, "op10_mixing": mixing.SQL,
+    "op11_lexical_search": lexical.SQL, "op12_nearest": neighbours.SQL, "op13_vector_codes": codes.SQL,
+}
