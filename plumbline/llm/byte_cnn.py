@@ -90,11 +90,11 @@ def cut(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts[:-1]
 
 
-def drawn(text: str) -> tuple[bytes, np.ndarray]:
+def drawn(text: str, most: int = SAMPLE_CHUNKS) -> tuple[bytes, np.ndarray]:
     """The text's digest and the chunks of it to train on."""
     digest, (chunks, _) = xxhash.xxh3_128_digest(text.encode()), cut([text])
-    if len(chunks) > SAMPLE_CHUNKS:
-        chunks = chunks[np.sort(np.random.default_rng(list(digest)).choice(len(chunks), SAMPLE_CHUNKS, replace=False))]
+    if len(chunks) > most:
+        chunks = chunks[np.sort(np.random.default_rng(list(digest)).choice(len(chunks), most, replace=False))]
     return digest, chunks
 
 
@@ -143,17 +143,18 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
     return net
 
 
-def fit_network(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
-    """Trained on at most `rows` labelled documents outside the held-out fold.
+def fit_network(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chunks: int = SAMPLE_CHUNKS) -> Network:
+    """Trained on at most `rows` labelled documents outside the held-out fold, and at most `chunks` chunks of each.
 
-    Executors cut the texts, so the driver gets at most SAMPLE_CHUNKS chunks of each, however
-    long the texts are. A repeated doc_id counts once, by the text of the smallest digest.
+    Executors cut the texts, so the driver gets no more than that, however long the texts
+    are. A repeated doc_id counts once, by the text of the smallest digest. Other columns
+    aren't read; without labelled rows the network is untrained.
     """
 
     def run(batches):
         for b in batches:
             for part in slices(b, "text"):
-                got = [drawn(t) for t in part.column(2).cast(pa.string()).to_pylist()]
+                got = [drawn(t, chunks) for t in part.column(2).cast(pa.string()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())], names=["doc_id", "label", "digest", "chunks"])
 
     sample = labelled(docs, labels, "quality", rows).select(F.col("doc_id").cast("string").alias("doc_id"), "label", F.col("text").cast("string").alias("text"))

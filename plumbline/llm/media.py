@@ -192,6 +192,8 @@ def walk(container: bytes | None) -> list[dict]:
                     at += struct.calcsize(form)
                     if name:
                         head[name] = value
+            if head["base"] > whole:
+                raise ValueError("a fragment's base lies outside the file")
             head["at"] = head["base"]
         elif kind == b"trun":
             owner = next((t for t in tracks if head and t["id"] == head["id"]), None)

@@ -186,7 +186,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, mo
 
     pieces = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, ids binary, doc_tokens bigint, place bigint, piece bigint")
     bucket = F.round(F.log2("length")).cast("int")
-    number = F.monotonically_increasing_id() if place is None else F.col("place") * PIECES + F.col("piece")
+    numbered = F.when(F.col("place") < (1 << 59) // PIECES, F.col("place") * PIECES + F.col("piece")).otherwise(F.raise_error(F.lit("more rows than sequence ids of 63 bits can number")))
+    number = F.monotonically_increasing_id() if place is None else numbered
     return pieces.select(*names[:5], bucket.alias("bucket"), (number * 16 + bucket).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 

@@ -37,7 +37,17 @@ PHONE = (
     r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\) ?|\d{1,4}[ .-])?(?:\d{2,4}(?<gap>[ .-])\d{2,4}(?:\k<gap>\d{2,4}){0,5}|\d{4,12})(?<!" + r"\d[ .()-]{0,2}" * 15 + r"\d)(?!\w)"
     r"|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
 )
-IBAN = r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
+#: Countries by the length of their account numbers.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Where the country's length doesn't fit, any length may; words in capitals may then follow that don't belong to the number.
+IBAN = (
+    r"(?<!\w)(?:" + "|".join(f"(?:{names.replace(' ', '|')})\\d\\d(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + f" ?[A-Z0-9]{{{n % 4}}}" * (n % 4 > 0) for n, names in IBAN_LENGTHS.items())
+    + r"|[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
+)
 CARD = r"(?<![\w-])(?:\d{13,19}|\d{4}(?<sep>[ -])\d{4}\k<sep>\d{4}\k<sep>\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"
 HEX = r"(?<!\w)(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)"
 FOUND = "|".join((MAIL, IP, DAY, SSN, PHONE, IBAN, CARD, HEX))
@@ -131,10 +141,19 @@ def card(m: Column, key: str) -> Column:
 
 
 def iban(m: Column, key: str) -> Column:
-    s = F.replace(m, F.lit(" "), F.lit(""))
-    country, body = F.substring(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
-    new = let(permuted(body, key, "iban"), lambda p: F.concat(country, F.lpad((98 - mod_97(F.concat(p, country, F.lit("00")))).cast("string"), 2, "0"), p))
-    return F.when(mod_97(F.concat(body, F.substring(s, 1, 4))) == 1, let(new, lambda n: refilled(m, n, " "))).otherwise(m)
+    """The longest part of m that ends with a word and passes its check is replaced; what follows it stays."""
+    compact = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    passes = lambda s: mod_97(F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1
+    words = F.split(m, " ")
+    parts = F.transform(F.sequence(F.size(words), F.lit(1)), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
+    longest = F.get(F.filter(parts, lambda p: (F.length(compact(p)) >= 12) & passes(compact(p))), F.lit(0))
+
+    def replaced(p: Column) -> Column:
+        country, body = F.substring(p, 1, 2), F.substring(compact(p), F.lit(5), F.length(p))
+        new = let(permuted(body, key, "iban"), lambda b: F.concat(country, F.lpad((98 - mod_97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
+        return F.concat(let(new, lambda n: refilled(p, n, " ")), F.substring(m, F.length(p) + 1, F.length(m)))
+
+    return F.coalesce(let(longest, replaced), m)
 
 
 def ssn(m: Column, key: str) -> Column:
@@ -186,8 +205,9 @@ def mail(m: Column, key: str) -> Column:
     low = F.lower(m)
     cut = F.regexp_extract(low, r"\.[^.]*$", 0)
     body = F.substring(low, F.lit(1), F.length(low) - F.length(cut))
-    new = F.concat(permuted(body, key, "mail"), cut)
-    return F.when(m == low, new).when(m == F.upper(m), F.upper(new)).otherwise(new)
+    new = F.concat(permuted(body, key, "mail"), cut)  # letters stay letters
+    capitals = lambda n: F.array_join(F.transform(chars(m), lambda c, i: F.when(c.rlike("^[A-Z]$"), F.upper(F.substring(n, i + 1, F.lit(1)))).otherwise(F.substring(n, i + 1, F.lit(1)))), "")
+    return F.when(m == low, new).otherwise(let(new, capitals))
 
 
 def pseudonym(m: Column, key: str) -> Column:
