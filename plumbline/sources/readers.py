@@ -8,7 +8,6 @@ import os
 import re
 import struct
 import tarfile
-import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -20,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..core import file_system
+from ..core import file_system, fresh_path, spread
 from ..functions import parsing
+from . import formats
 
 FRAMES = "frame_id string, h int, w int, depth array<float>"
 READERS: dict = {}
@@ -159,17 +159,34 @@ def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     return (rows.option("pathGlobFilter", glob) if glob else rows).load(path).select("path", "content")
 
 
+@reader("frames")
+def read_frames(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """Frames with their pictures and lenses, as formats.FRAME names their columns; what can't be read has an `error`."""
+    return formats.frames(spark, path, **options)
+
+
 @reader("depth")
 def read_depth(spark: SparkSession, path: str) -> DataFrame:
-    """Dense frames from .npy and 16-bit .png files under path, one task per few files."""
+    """Dense frames from .npy and 16-bit .png files under path, one task per few files. A file that can't be read is a row with `error` and no pixels."""
     found = files(spark, path).where(F.col("path").rlike(r"\.(npy|png)$"))
+    schema = StructType.fromDDL(f"{FRAMES}, error string")
+    kind = to_arrow_schema(schema)
 
-    def run(it):
-        for pdf in it:
-            images = [decoded(p, c) for p, c in zip(pdf.path, pdf.content, strict=True)]
-            yield pd.DataFrame({"frame_id": [os.path.basename(p).split(".", 1)[0] for p in pdf.path], "h": [i.shape[0] for i in images], "w": [i.shape[1] for i in images], "depth": [i.ravel() for i in images]})
+    def one(path: str, content: bytes) -> tuple:
+        try:
+            image = decoded(path, content)
+            if image.ndim != 2:
+                raise ValueError("depth has two dimensions")
+            return formats.stem(path), *map(int, image.shape), image.ravel(), None
+        except formats.DAMAGE as e:
+            return formats.stem(path), None, None, None, f"{type(e).__name__}: {e}"
+
+    def run(batches):
+        for b in batches:
+            for path, content in zip(b.column(0), b.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(one(path.as_py(), content.as_py()), kind, strict=True)], schema=kind)
 
-    return found.mapInPandas(run, FRAMES)
+    return found.mapInArrow(run, schema)
 
 
 RGBD = "frame_id string, h int, w int, rgb binary, depth array<float>, intrinsics array<double>"
@@ -210,13 +227,16 @@ def load_frame(spark: SparkSession, rgb: str | None = None, depth: str | None =
 
 SAMPLES = (
     "shard string, stem string, split string, category string, query_text string, severity double, bbox_2d array<int>, aabb_3d array<array<double>>, intrinsics array<double>, meta string, rgb binary, "
-    "clean_h int, clean_w int, clean array<float>, corrupted array<float>, rgb_h int, rgb_w int"
+    "clean_h int, clean_w int, clean array<float>, corrupted array<float>, rgb_h int, rgb_w int, error string"
 )
 
 
 @reader("shards")
 def read_shards(spark: SparkSession, path: str, split: str = "heldout", max_samples: int | None = None) -> DataFrame:
-    """Complete samples of tar shards in order of shard and stem; the limit counts rows after the split filter, and split "all" takes any."""
+    """Complete samples of tar shards in order of shard and stem; the limit counts rows after the split filter, and split "all" takes any.
+
+    A shard or sample that can't be read is a row with `error`, whatever the split.
+    """
     found = files(spark, path, "*.tar")
     if found.isEmpty():
         raise FileNotFoundError(f"no shards under {path}")
@@ -232,28 +252,42 @@ def read_shards(spark: SparkSession, path: str, split: str = "heldout", max_samp
                     members.setdefault(stem, {})[suffix] = tar.extractfile(m).read()
         return sorted(members.items())
 
+    def sample(stem: str, parts: dict[str, bytes]) -> tuple:
+        meta = json.loads(parts["meta.json"])
+        bad = np.load(io.BytesIO(parts["corrupted_depth.npy"])).astype(np.float32)
+        clean = np.load(io.BytesIO(parts["clean_depth.npy"])).astype(np.float32).ravel().tolist() if "clean_depth.npy" in parts else None
+        rgb = png(parts["rgb.png"])[..., :3].astype(np.uint8) if "rgb.png" in parts else None
+        text = lambda name: None if meta.get(name) is None else str(meta[name])
+        list_of = lambda name, f: None if meta.get(name) is None else [f(x) for x in meta[name]]
+        return (
+            stem, text("split"), text("category"), text("query_text"), float((meta.get("corruption_params") or {}).get("void_ratio", 0.0)), list_of("bbox_2d", int),
+            list_of("aabb_3d", lambda p: [float(x) for x in p]), list_of("intrinsics", float), parts["meta.json"].decode(), None if rgb is None else rgb.tobytes(), *map(int, bad.shape), clean, bad.ravel().tolist(),
+            *((None, None) if rgb is None else map(int, rgb.shape[:2])), None,
+        )
+
+    def rows_of(content: bytes):
+        broken = lambda stem, e: (stem, *[None] * (len(kind) - 3), f"{type(e).__name__}: {e}")
+        try:
+            found = samples(content)
+        except formats.DAMAGE as e:
+            yield broken(None, e)
+            return
+        for stem, parts in found:
+            if {"corrupted_depth.npy", "meta.json"} <= parts.keys():
+                try:
+                    yield sample(stem, parts)
+                except formats.DAMAGE as e:
+                    yield broken(stem, e)
+
     def run(batches):
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for stem, parts in samples(content):
-                    if not {"corrupted_depth.npy", "meta.json"} <= parts.keys():
-                        continue
-                    meta = json.loads(parts["meta.json"])
-                    bad = np.load(io.BytesIO(parts["corrupted_depth.npy"])).astype(np.float32)
-                    clean = np.load(io.BytesIO(parts["clean_depth.npy"])).astype(np.float32).ravel().tolist() if "clean_depth.npy" in parts else None
-                    rgb = png(parts["rgb.png"])[..., :3].astype(np.uint8) if "rgb.png" in parts else None
-                    text = lambda name: None if meta.get(name) is None else str(meta[name])
-                    list_of = lambda name, f: None if meta.get(name) is None else [f(x) for x in meta[name]]
-                    row = (
-                        os.path.basename(path), stem, text("split"), text("category"), text("query_text"), float((meta.get("corruption_params") or {}).get("void_ratio", 0.0)), list_of("bbox_2d", int),
-                        list_of("aabb_3d", lambda p: [float(x) for x in p]), list_of("intrinsics", float), parts["meta.json"].decode(), None if rgb is None else rgb.tobytes(), *map(int, bad.shape), clean, bad.ravel().tolist(),
-                        *((None, None) if rgb is None else map(int, rgb.shape[:2])),
-                    )
-                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, kind, strict=True)], schema=kind)
+                for row in rows_of(content):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((os.path.basename(path), *row), kind, strict=True)], schema=kind)
 
     rows = found.mapInArrow(run, schema)
     if split != "all":
-        rows = rows.where(F.col("split") == split)
+        rows = rows.where((F.col("split") == split) | F.col("error").isNotNull())
     return rows if max_samples is None else rows.orderBy("shard", "stem").limit(max_samples)
 
 
@@ -266,32 +300,19 @@ def write_shards(samples: DataFrame, path: str, shard_size: int, first: int = 0)
     """(shard, n, path) of tar files of shard_size samples each, from shard `first` on.
 
     samples: frame_idx and `members`, a map of file suffixes to bytes. A shard's bytes follow
-    from its samples alone. It is written beside its place and renamed, so a run that is
-    repeated from a lost task, or from the first shard that is missing, gives the same files.
+    from its samples alone. All shards get their names when all are written: a job that
+    fails leaves none, and one that is repeated, or goes on from the first shard that is missing,
+    gives the same files.
     """
     if shard_size <= 0:
         raise ValueError("shard_size must be positive")
-    schema = "shard long, n long, path string"
-
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, out = int(pdf["shard"].iloc[0]), io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as tar:
-            for r in pdf.sort_values("frame_idx").itertuples(index=False):
-                for suffix, body in sorted(dict(r.members).items()):
-                    info = tarfile.TarInfo(f"{int(r.frame_idx):08d}.{suffix}")
-                    info.size = len(body)
-                    tar.addfile(info, io.BytesIO(body))
-        fs, root = pafs.FileSystem.from_uri(path)
-        fs.create_dir(root, recursive=True)
-        name = f"{root}/shard-{shard:06d}.tar"
-        draft = f"{name}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(draft) as f:
-            f.write(out.getbuffer())
-        fs.move(draft, name)
-        return pd.DataFrame({"shard": [shard], "n": [len(pdf)], "path": [name]})
-
+    spark, manifest = samples.sparkSession, fresh_path(samples.sparkSession, "shards")
+    formats.register(spark)
     shard = F.floor(F.col("frame_idx") / shard_size).cast("long")
-    return samples.select("frame_idx", "members", shard.alias("shard")).where(F.col("shard") >= first).groupBy("shard").applyInPandas(write, schema)
+    rows = samples.select(shard.alias("shard"), "frame_idx", "members").where(F.col("shard") >= first)
+    rows = spread(rows, "shard").sortWithinPartitions("shard", "frame_idx")
+    rows.write.format("shards").options(manifest=manifest).mode("append").save(path)
+    return spark.read.schema("shard long, n long, path string").json(manifest)
 
 
 def n_shards(frames: int, shard_size: int) -> int:
@@ -414,12 +435,12 @@ def gpu_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("util_pct", F.regexp_replace("util", "[ %]+$", "").try_cast("double")).where("util_pct IS NOT NULL")
 
 
-TRIPLES = "frame_id string, h int, w int, depth array<float>, rgb binary, query_text string, category string, bbox_2d array<int>, aabb_3d array<array<double>>, intrinsics array<double>"
+TRIPLES = "frame_id string, h int, w int, depth array<float>, rgb binary, query_text string, category string, bbox_2d array<int>, aabb_3d array<array<double>>, intrinsics array<double>, error string"
 
 
 @reader("triples")
 def read_triples(spark: SparkSession, path: str, max_frames: int | None = None) -> DataFrame:
-    """Frames from images with a depth (.png, else .npy) and a meta of the same stem; images without either are left out. The limit counts images before that."""
+    """Frames from images with a depth (.png, else .npy) and a meta of the same stem; images without either are left out. The limit counts images before that. What can't be read is a row with `error`."""
     found = files(spark, path).select("path", F.regexp_extract("path", r"/(\w+)/[^/]+$", 1).alias("kind"), parsing.stem(F.col("path")).alias("stem"), F.regexp_extract("path", r"\.([^./]+)$", 1).alias("suffix"), "content")
     images = found.where("kind = 'image'").select("stem", F.col("content").alias("image"))
     images = images if max_frames is None else images.orderBy("stem").limit(max_frames)
@@ -431,9 +452,13 @@ def read_triples(spark: SparkSession, path: str, max_frames: int | None = None)
         for pdf in it:
             rows = []
             for r in pdf.itertuples(index=False):
-                d, m = decoded(r.path, bytes(r.content)), json.loads(r.meta)
-                rows.append((r.stem, *d.shape, d.ravel(), png(bytes(r.image))[..., :3].astype(np.uint8).tobytes(), m.get("query_text"), m.get("category"), m.get("bbox_2d"), m.get("aabb_3d"), m.get("intrinsics")))
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in TRIPLES.split(", ")])
+                try:
+                    d, m = decoded(r.path, bytes(r.content)), json.loads(r.meta)
+                    rows.append((r.stem, *d.shape, d.ravel(), png(bytes(r.image))[..., :3].astype(np.uint8).tobytes(), m.get("query_text"), m.get("category"), m.get("bbox_2d"), m.get("aabb_3d"), m.get("intrinsics"), None))
+                except formats.DAMAGE as e:
+                    rows.append((r.stem, *[None] * 9, f"{type(e).__name__}: {e}"))
+            out = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in TRIPLES.split(", ")], dtype=object)
+            yield out.astype({"h": "Int32", "w": "Int32"})
 
     return both.mapInPandas(run, TRIPLES)
 
