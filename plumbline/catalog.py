@@ -738,6 +738,6 @@ def a29_gpu_util(spark, sf):
     return readers.gpu_rows(e).groupBy("g").agg(F.count("*").alias("n"), F.round(F.avg("util_pct"), 6).alias("mean_util"), F.max("util_pct").alias("max_util"), (F.avg("util_pct") < 20).alias("low"))
 
 
-from . import catalog_control, catalog_records  # noqa: E402, F401
+from . import catalog_control, catalog_records, catalog_streams  # noqa: E402, F401
 
 __all__ = ["QUERIES", "SQL", "ratio"]

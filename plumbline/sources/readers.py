@@ -291,6 +291,21 @@ def read_shards(spark: SparkSession, path: str, split: str = "heldout", max_samp
     return rows if max_samples is None else rows.orderBy("shard", "stem").limit(max_samples)
 
 
+def read_members(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, stem, suffix, body) of all files in tar shards, shard being the number in the tar's name."""
+    found = files(spark, path, "*.tar").select(F.regexp_extract("path", r"(\d+)\.tar$", 1).try_cast("long").alias("shard"), "content")
+
+    def run(batches):
+        for b in batches:
+            for shard, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                with tarfile.open(fileobj=pa.input_stream(content.as_buffer())) as tar:
+                    rows = [(shard, *os.path.basename(m.name).partition(".")[::2], tar.extractfile(m).read()) for m in tar if m.isfile()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True)], ["shard", "stem", "suffix", "body"])
+
+    return found.mapInArrow(run, "shard long, stem string, suffix string, body binary")
+
+
 def preview(samples: DataFrame, n: int) -> DataFrame:
     """The first n samples with a picture and a clean depth, in order of shard and stem."""
     return samples.where("rgb IS NOT NULL AND clean IS NOT NULL").orderBy("shard", "stem").limit(n)

@@ -34,8 +34,10 @@ class GuardConfig:
     most: int = 3
 
 
-def step(state: tuple, at: int, loss: float, cfg: GuardConfig) -> tuple[tuple, str]:
-    """The next state and the event."""
+def step(state: tuple, at: int, loss: float | None, cfg: GuardConfig) -> tuple[tuple, str | None]:
+    """The next state and the event. A line without a loss, or with one that isn't a number, changes nothing and is no event."""
+    if loss is None or loss != loss:
+        return state, None
     ema, best, best_step, worse, rollbacks = state
     ema = loss if ema is None else cfg.decay * ema + (1 - cfg.decay) * loss
     if best is None or ema < best:
@@ -78,10 +80,10 @@ def guard_stream(log: DataFrame, cfg: GuardConfig = GuardConfig()) -> DataFrame:
         rows = pd.concat(batches).sort_values("step")
         out = []
         for r in rows.itertuples(index=False):
-            at, event = step(at, int(r.step), float(r.loss), cfg)
+            at, event = step(at, int(r.step), r.loss, cfg)
             out.append((r.run, r.step, r.loss, *at, event))
         state.update(at)
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in OUT.split(", ")])
+        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in OUT.split(", ")]).astype({"best_step": "Int64"})
 
     return log.groupBy("run").applyInPandasWithState(run, OUT, STATE, "append", "NoTimeout")
 

@@ -143,3 +143,135 @@ def test_broken_shards_are_rows(spark, tmp_path):
     readers.write_shards(rows.withColumn("frame_idx", F.col("frame_idx") + 10), f"file://{tmp_path}/s", 10)
     got = {(r.shard, r.stem): r.error for r in readers.read_shards(spark, f"file://{tmp_path}/s").collect()}
     assert len(got) == 4 and got["shard-000001.tar", "00000010"] is None and sum(e is not None for e in got.values()) == 3
+
+
+def ledger_rows(spark, n=400):
+    key = F.concat(F.lit("k"), F.col("id") % 37)
+    return spark.range(n).select(key.alias("config_hash"), ((F.col("id") * 7919) % n).alias("seq"), F.col("id").alias("id"), (F.col("id") * 2).alias("score"), F.lit(1).cast("long").alias("n_writes"))
+
+
+def test_streamed_ledger_survives_a_kill(spark, tmp_path):
+    """A stream that dies after the ledger has a batch, and before its own checkpoint has it, gives what one batch over all rows gives."""
+    from plumbline.streaming.upsert import Ledger
+
+    root, source = f"file://{tmp_path}", f"file://{tmp_path}/in"
+    ledger_rows(spark).repartition(8).write.parquet(source)
+    make = lambda name: Ledger(spark, f"{root}/{name}", added=("n_writes",), buckets=5)
+    streamed, deaths = make("streamed"), [2, 5]
+
+    def run():
+        put_batch = streamed.sink("results")
+
+        def sink(batch, number):
+            put_batch(batch, number)
+            if deaths and number == deaths[0]:
+                deaths.pop(0)
+                raise RuntimeError("killed")
+
+        rows = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+        rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    for _ in range(2):
+        with pytest.raises(Exception, match="killed"):
+            run()
+    run()
+    whole = make("whole")
+    assert whole.read() is None and whole.apply(ledger_rows(spark), "all", 0) and not whole.apply(ledger_rows(spark), "all", 0)
+    show = lambda df: sorted(map(tuple, df.select("config_hash", "seq", "id", "score", "n_writes").collect()))
+    assert show(streamed.read()) == show(whole.read()) and streamed.version()["batches"] == {"results": 7}
+    want = {}
+    for r in sorted(ledger_rows(spark).collect(), key=lambda r: r.seq):
+        first, n = want.get(r.config_hash, (r.id, 0, 0))[0], want.get(r.config_hash, (0, 0))[1]
+        want[r.config_hash] = (first, n + 1, r.seq, r.score)
+    assert show(whole.read()) == sorted((k, s, i, score, n) for k, (i, n, s, score) in want.items())
+    old = streamed.version()["number"] - 1
+    assert streamed.read(old).count() > 0 and streamed.vacuum() > 0 and show(streamed.read()) == show(whole.read()) and len(streamed.versions()) == 1
+
+
+def test_ledger_writers_and_buckets(spark, tmp_path):
+    from plumbline.streaming import upsert
+
+    ledger = upsert.Ledger(spark, f"file://{tmp_path}/l", buckets=8)
+    one = lambda key, seq: spark.createDataFrame([(key, seq, seq)], "config_hash string, seq long, id long")
+    assert ledger.apply(one("a", 1), "s", 0) and ledger.apply(one("b", 1), "s", 1) and ledger.apply(one("a", 3).limit(0), "s", 2)
+    v = ledger.version()
+    assert len(set(v["folders"].values())) == 2 and v["batches"] == {"s": 2}
+    before = v["folders"]
+    assert ledger.apply(one("a", 2), "s", 3)
+    after = ledger.version()["folders"]
+    assert sum(before[b] != after[b] for b in before) == 1  # the other bucket isn't rewritten
+    assert upsert.Ledger(spark, f"file://{tmp_path}/l", buckets=3).buckets == 8
+    assert sorted(map(tuple, ledger.read().collect())) == [("a", 2, 1), ("b", 1, 1)]
+    real = ledger.version
+    ledger.version = lambda number=None: {**real(number), "number": 0, "batches": {}}
+    with pytest.raises(upsert.Conflict):
+        ledger.apply(one("c", 1), "s", 9)
+    ledger.version = real
+    with pytest.raises(Exception, match="without config_hash"):
+        ledger.apply(one(None, 1), "s", 10)
+    assert ledger.read().count() == 2
+
+
+def test_claims_run_out_without_rows(spark, tmp_path):
+    """A claim that isn't renewed is pending after its time, though nothing comes in; one that is renewed isn't."""
+    from plumbline.streaming import claims
+
+    os.makedirs(tmp_path / "events")
+    number = iter(range(99))
+
+    def send(*events):
+        lines = "".join(f'{{"name": "{n}", "owner": "{o}", "kind": "{k}", "outcome": {x}, "at": {at}}}\n' for n, o, k, x, at in events)
+        put(tmp_path / f"events/{next(number):03d}.json", lines.encode())
+
+    seen = []
+    send(("a", "w1", "claim", "null", 1.0), ("b", "w1", "claim", "null", 1.0), ("a", "w2", "claim", "null", 2.0), ("c", "w1", "claim", "null", 1.0), ("c", "w1", "release", '"failed"', 2.0), ("d", "w1", "beat", "null", 1.0))
+    rows = claims.claims(spark.readStream.schema(claims.EVENTS).json(f"file://{tmp_path}/events"), 8.0)
+    with claims.configured(spark):
+        q = rows.writeStream.foreachBatch(lambda df, n: seen.extend((time.time(), *r) for r in df.collect())).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c").trigger(processingTime="1 second").start()
+    try:
+        def wait(event, seconds=60):
+            end = time.time() + seconds
+            while not any(s[4] == event for s in seen) and time.time() < end and q.isActive:
+                time.sleep(0.2)
+
+        wait("claim")
+        first = {(s[1], s[4]) for s in seen}
+        assert first == {("a", "claim"), ("a", "refused"), ("b", "claim"), ("c", "claim"), ("c", "release"), ("d", "refused")}
+        for k in range(3):  # b is renewed
+            send(("b", "w1", "beat", "null", 2.0 + k))
+            time.sleep(3)
+        wait("expired")
+        gone = [s[1:] for s in seen if s[4] == "expired"]
+        assert gone[:1] == [("a", None, "pending", "expired", 0)] and "b" not in {g[0] for g in gone}
+        end = time.time() + 40
+        while sum(s[4] == "expired" for s in seen) < 2 and time.time() < end:
+            time.sleep(0.2)
+        assert [s[1] for s in seen if s[4] == "expired"] == ["a", "b"]
+    finally:
+        q.stop()
+
+
+def test_claims_follow_the_queue():
+    from plumbline.streaming.claims import transition
+
+    state = ("pending", None, 0)
+    for event, want in ((("w", "claim", None), ("running", "w", 0)), (("v", "claim", None), ("running", "w", 0)), (("v", "beat", None), ("running", "w", 0)), (("w", "release", "failed"), ("pending", None, 1)), (("w", "claim", None), ("running", "w", 1)), (("w", "release", "preempted"), ("pending", None, 1)), (("w", "claim", None), ("running", "w", 1)), (("w", "release", "failed"), ("failed", None, 2)), (("w", "claim", None), ("failed", None, 2))):
+        state, _ = transition(state, *event, 1)
+        assert state == want, event
+    assert transition(("running", "w", 0), "w", "release", "lost", 1) == (("running", "w", 0), "refused")
+    assert transition(("running", "w", 0), "w", "release", "completed", 1)[0] == ("done", None, 0)
+
+
+def test_guard_passes_lines_without_a_loss(spark, tmp_path):
+    from plumbline.streaming import guard
+
+    lines = [("r", i, None if i % 3 == 0 else 1.0 / (i + 1)) for i in range(12)] + [("s", 0, None), ("s", 1, 2.0)]
+    log = spark.createDataFrame(lines, guard.LOG)
+    rows = guard.guard_batch(log).collect()
+    whole = guard.guard_batch(log.where("loss IS NOT NULL")).collect()
+    assert sorted(map(tuple, (r for r in rows if r.event))) == sorted(map(tuple, whole)) and sum(r.event is None for r in rows) == 5
+    log.coalesce(1).write.json(f"file://{tmp_path}/log")
+    out = []
+    q = guard.guard_stream(spark.readStream.schema(guard.LOG).json(f"file://{tmp_path}/log")).writeStream.foreachBatch(lambda df, n: out.extend(df.collect())).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(map(str, out)) == sorted(map(str, rows))
