@@ -155,6 +155,18 @@ def j12_lifters(spark, sf):
     return rows.groupBy("detector", "lifter").agg(F.count("*").alias("n"), F.round(B.known_median(F.when(F.col("success"), F.col("z_err_cm"))) + TIE, 6).alias("z"))
 
 
+@query(f"""WITH {PX}, {FOUND} SELECT req_id, lifter, CASE WHEN x_min IS NULL THEN 0.0 ELSE round(CAST((gx1 - gx0 - 3) AS DOUBLE) / (gx1 - gx0 + 3) + 1e-11, 6) END AS iou_2d, x_min IS NOT NULL AS found FROM ext, (VALUES ('naive'), ('full')) l(lifter)""")
+def j12_both(spark, sf):
+    """Every request under both lifters, from boxes that a model gave once: the model is loaded by each worker and asked in batches."""
+    frames, asked = requests(spark, sf)
+    model = ground.served(lambda: lambda prompts: [p.rpartition("#")[2] for p in prompts], 64)
+    wide = F.lit(10_000)  # boxes beyond their image are cut to it, not read as shares of it
+    said = asked.withColumns({"query": F.concat_ws("#", "query", "meta"), "width": wide, "height": wide})
+    answer = ground.answered(lambda d: model(d.withColumn("prompt", F.col("query"))))
+    rows = ground.evaluated(said, frames, answer, K, "both")
+    return rows.select("req_id", "lifter", *s6("iou_2d"), (F.col("iou_2d") > 0).alias("found"))
+
+
 # clouds and meshes
 
 @query(f"""WITH {PTS}, d AS (SELECT a.cloud_id, a.pt_id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) AS d FROM pts a JOIN pts b ON a.cloud_id = b.cloud_id AND a.pt_id <> b.pt_id GROUP BY 1, 2)
@@ -182,10 +194,23 @@ def m6_alpha_candidates(spark, sf):
     return t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.explode(S.alpha_candidates(nn, d)).alias("radius")).select("id", F.round("radius", 9).alias("radius")).distinct()
 
 
-@query(f"""WITH {MESHES}, e AS (SELECT mesh_id, least(i, j) AS a, greatest(i, j) AS b FROM box, face WHERE NOT (mesh_id % 5 = 0 AND fid = 11) UNION ALL SELECT mesh_id, least(j, k), greatest(j, k) FROM box, face WHERE NOT (mesh_id % 5 = 0 AND fid = 11) UNION ALL SELECT mesh_id, least(k, i), greatest(k, i) FROM box, face WHERE NOT (mesh_id % 5 = 0 AND fid = 11)),
-c AS (SELECT mesh_id, a, b, count(*) AS n FROM e GROUP BY 1, 2, 3) SELECT mesh_id, bool_and(n = 2) AS closed FROM c GROUP BY 1""")
+#: Meshes that lack a face, that have one turned round, and that share a vertex with a copy of themselves.
+FACES = """tri AS (SELECT mesh_id, fid, i, CASE WHEN mesh_id % 5 = 1 AND fid = 4 THEN k ELSE j END AS j, CASE WHEN mesh_id % 5 = 1 AND fid = 4 THEN j ELSE k END AS k FROM box, face WHERE NOT (mesh_id % 5 = 0 AND fid = 11)
+  UNION ALL SELECT mesh_id, fid + 12, CASE WHEN i = 0 THEN 0 ELSE i + 8 END, CASE WHEN j = 0 THEN 0 ELSE j + 8 END, CASE WHEN k = 0 THEN 0 ELSE k + 8 END FROM box, face WHERE mesh_id % 5 = 2)"""
+
+
+@query(f"""WITH RECURSIVE {MESHES.rpartition("tri AS")[0].rstrip().rstrip(",")}, {FACES}, e AS (SELECT mesh_id, i AS a, j AS b FROM tri UNION ALL SELECT mesh_id, j, k FROM tri UNION ALL SELECT mesh_id, k, i FROM tri),
+u AS (SELECT mesh_id, least(a, b) AS a, greatest(a, b) AS b, count(*) AS n, sum(sign(b - a)) AS way FROM e GROUP BY 1, 2, 3), c AS (SELECT mesh_id, bool_and(n = 2 AND way = 0) AS closed FROM u GROUP BY 1),
+s AS (SELECT mesh_id, i AS v, j AS a, k AS b FROM tri UNION ALL SELECT mesh_id, j, k, i FROM tri UNION ALL SELECT mesh_id, k, i, j FROM tri), d AS (SELECT mesh_id, v, count(*) AS n, count(DISTINCT a) AS na, min(a) AS first FROM s GROUP BY 1, 2),
+walk AS (SELECT mesh_id, v, first AS at FROM d UNION SELECT w.mesh_id, w.v, s.b FROM walk w JOIN s ON s.mesh_id = w.mesh_id AND s.v = w.v AND s.a = w.at),
+f AS (SELECT mesh_id, bool_and(n = na AND n = met) AS fan FROM d JOIN (SELECT mesh_id, v, count(DISTINCT walk.at) AS met FROM walk JOIN s USING (mesh_id, v) WHERE s.a = walk.at GROUP BY 1, 2) m USING (mesh_id, v) GROUP BY 1)
+SELECT mesh_id, closed AND fan AS closed FROM c JOIN f USING (mesh_id)""")
 def m11_watertight(spark, sf):
-    return S.watertight(meshes(spark, sf)[1].where("NOT (mesh_id % 5 = 0 AND fid = 11)"))
+    f = meshes(spark, sf)[1].where("NOT (mesh_id % 5 = 0 AND fid = 11)")
+    turned = (F.col("mesh_id") % 5 == 1) & (F.col("fid") == 4)
+    f = f.withColumns({"j": F.when(turned, F.col("k")).otherwise(F.col("j")), "k": F.when(turned, F.col("j")).otherwise(F.col("k"))})
+    copy = f.where("mesh_id % 5 = 2").withColumns({"fid": F.col("fid") + 12, **{c: F.when(F.col(c) > 0, F.col(c) + 8).otherwise(0) for c in "ijk"}})
+    return S.watertight(f.unionByName(copy))
 
 
 @query("""WITH d AS (SELECT p_partkey AS mesh_id, p_retailprice / 1000 AS volume, p_retailprice / 100 AS area, CASE WHEN p_size % 4 = 0 THEN 'nan'::DOUBLE ELSE p_size / 60.0::DOUBLE END AS c, 1 + p_size / 20.0::DOUBLE AS ar, p_size * 1000 AS nv, CASE WHEN p_size % 9 = 0 THEN 0 ELSE p_size * 2000 END AS nf FROM part),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,29 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
+def numbered(df: DataFrame, order: list[str | Column], name: str = "number") -> DataFrame:
+    """df with the place of each row in `order`, from 1 on.
+
+    Rows are dealt by ranges of the order and sorted there, and written, so that their places stay what they are;
+    the rows of each range then give the number at which the next one starts. No task has more
+    than a range, and only the ranges' counts meet. Rows equal in the order are in one range.
+    """
+    spark, out = df.sparkSession, Written(df.sparkSession, "numbered")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    rows, _ = out.put(rows.select(*df.columns, F.shiftright("__at", 33).cast("int").alias("__part"), F.col("__at").bitwiseAND((1 << 33) - 1).alias("__at")))
+    counts = sorted(map(tuple, rows.groupBy("__part").agg(F.count("*").alias("n")).collect()))  # one a range
+    starts = spark.createDataFrame([(p, before) for (p, _), before in zip(counts, accumulate((n for _, n in counts), initial=0), strict=False)], "__part int, __start long")
+    return rows.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__at") + 1).select(*df.columns, name)
+
+
+def ranked(df: DataFrame, by: str, order: list[Column], place: str = "place", size: str = "n") -> DataFrame:
+    """df with the place of each row in its group, from 1 on, and the group's size. Groups of any size: the rows of all groups are numbered together, and a group's places start at its smallest number."""
+    rows = numbered(df, [by, *order], "__number")
+    groups = rows.groupBy(F.col(by).alias("__by")).agg(F.min("__number").alias("__least"), F.count("*").alias(size))
+    return rows.join(groups, F.col(by).eqNullSafe(F.col("__by"))).withColumn(place, F.col("__number") - F.col("__least") + 1).select(*df.columns, place, size)
+
+
 class Written:
     """Tables written to the shared folder to cut lineage; drop() removes the given ones, or all."""
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import NAN
 
@@ -38,9 +40,43 @@ def diagonals(points: DataFrame) -> DataFrame:
 
 
 def watertight(triangles: DataFrame) -> DataFrame:
-    """(mesh_id, closed): every edge belongs to two triangles."""
-    edges = triangles.select("mesh_id", F.explode(F.array(*(F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")) for a, b in (("i", "j"), ("j", "k"), ("k", "i"))))).alias("e"))
-    return edges.groupBy("mesh_id", "e").agg(F.count("*").alias("n")).groupBy("mesh_id").agg(F.bool_and(F.col("n") == 2).alias("closed"))
+    """(mesh_id, closed): every edge belongs to two triangles, which run along it in opposite directions, and the triangles around every vertex are one fan."""
+    sides = F.explode(F.array(*(F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("i", "j"), ("j", "k"), ("k", "i")))))
+    edges = triangles.select("mesh_id", sides.alias("e")).select("mesh_id", F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b"), F.signum(F.col("e.b") - F.col("e.a")).alias("way"))
+    edges = edges.groupBy("mesh_id", "a", "b").agg(((F.count("*") == 2) & (F.sum("way") == 0) & (F.max("way") == 1)).alias("good"))
+    good = edges.groupBy("mesh_id").agg(F.bool_and("good").alias("closed"))
+    return good.join(fans(triangles), "mesh_id").select("mesh_id", (F.col("closed") & F.col("fan")).alias("closed"))
+
+
+def fans(triangles: DataFrame) -> DataFrame:
+    """(mesh_id, fan): at each vertex, the sides that face it lead from triangle to triangle through all of them and back. A vertex at a time is held."""
+    corners = F.explode(F.array(*(F.struct(F.col(v).alias("v"), F.col(a).alias("a"), F.col(b).alias("b")) for v, a, b in (("i", "j", "k"), ("j", "k", "i"), ("k", "i", "j")))))
+    rows = triangles.select("mesh_id", corners.alias("c")).select("mesh_id", "c.*").repartition("mesh_id", "v").sortWithinPartitions("mesh_id", "v")
+
+    def one_way_round(sides: list[tuple[int, int]]) -> bool:
+        after, start = dict(sides), sides[0][0]
+        at, n = after[start], 1
+        while at != start and at in after and n < len(sides):
+            at, n = after[at], n + 1
+        return at == start and n == len(sides) == len(after)
+
+    def run(batches):
+        now, sides, out = None, [], []
+        for batch in batches:
+            for mesh, v, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (mesh, v) != now:
+                    if sides:
+                        out.append((now[0], one_way_round(sides)))
+                    now, sides = (mesh, v), []
+                sides.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in out], batch.schema.field(0).type), pa.array([x for _, x in out])], ["mesh_id", "fan"])
+                out = []
+        if sides:
+            yield pa.RecordBatch.from_arrays([pa.array([now[0]], kind), pa.array([one_way_round(sides)])], ["mesh_id", "fan"])
+
+    kind = to_arrow_schema(triangles.select("mesh_id").schema)[0].type
+    return rows.mapInArrow(run, f"mesh_id {triangles.schema['mesh_id'].dataType.simpleString()}, fan boolean").groupBy("mesh_id").agg(F.bool_and("fan").alias("fan"))
 
 
 def shape_descriptors(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
@@ -79,7 +115,11 @@ def shape_label(compactness: Column, aspect: Column) -> Column:
 
 
 def surface_sample(vertices: DataFrame, triangles: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n points per mesh, uniform over its area; a hash of seed and number draws them, so reruns agree."""
+    """n points per mesh, uniform over its area; a hash of seed and number draws them, so reruns agree.
+
+    A mesh's area is cut into as many equal bins as it has triangles. Points meet the triangles
+    of their bin, two on average, and all triangles stand in at most twice as many bins as there are.
+    """
     corner = lambda m: vertices.select("mesh_id", F.col("vid").alias(m), F.array("x", "y", "z").alias(f"p{m}"))
     t = triangles
     for m in "ijk":
@@ -93,7 +133,10 @@ def surface_sample(vertices: DataFrame, triangles: DataFrame, n: int, seed: int
     digits = lambda salt: F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(salt)), "mesh_id", "s").cast("binary"))
     unit = lambda salt: (F.conv(F.substring(digits(salt), 1, 11), 16, 10).cast("double") + 1) / float(16**11)
     draws = vertices.select("mesh_id").distinct().select("mesh_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("s")).select("mesh_id", "s", unit(1).alias("r"), F.sqrt(unit(2)).alias("a"), unit(3).alias("b"))
-    hit = draws.join(t, "mesh_id", "left").where("to IS NULL OR (r > from AND r <= to)")
+    bins = t.groupBy("mesh_id").agg(F.count("*").alias("bins"))
+    t = t.join(bins, "mesh_id").select("*", F.explode(F.sequence(F.floor(F.col("from") * F.col("bins")), F.floor(F.col("to") * F.col("bins")))).alias("bin")).drop("bins")
+    draws = draws.join(bins, "mesh_id", "left").withColumn("bin", F.floor(F.col("r") * F.col("bins")))
+    hit = draws.join(t, ["mesh_id", "bin"], "left").where("bins IS NULL OR (r > from AND r <= to)")
     spot = [F.coalesce(at("i", c) * (1 - F.col("a")) + at("j", c) * F.col("a") * (1 - F.col("b")) + at("k", c) * F.col("a") * F.col("b"), F.lit(0.0)) for c in range(3)]
     return hit.select("mesh_id", "s", *(p.alias(c) for p, c in zip(spot, "xyz", strict=True)))
 

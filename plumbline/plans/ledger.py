@@ -10,8 +10,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ..core import ranked
+
 STATUSES = ("done", "failed", "pruned")
 
 
@@ -38,7 +41,7 @@ def promoted(ledger: DataFrame, rung: str, metric: str, eta: int = 3, largest: b
     if eta < 2:
         raise ValueError("eta must be at least 2")
     order = F.desc(metric) if largest else F.asc(metric)
-    rows = ledger.where(F.col(metric).isNotNull()).withColumn("place", F.row_number().over(W.partitionBy(rung).orderBy(order, *tie))).withColumn("n", F.count("*").over(W.partitionBy(rung)))
+    rows = ranked(ledger.where(F.col(metric).isNotNull()), rung, [order, *map(F.col, tie)]).withColumn("place", F.col("place").cast("int"))
     return rows.where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") / eta))).drop("n")
 
 
@@ -99,11 +102,16 @@ def promotions(ledger: DataFrame, hypothesis: str, rungs: tuple[int, ...], metri
     at = F.array_position(F.array(*(F.lit(float(r)) for r in rungs)), steps)
     rows = ledger.where((F.col("status") == "done") & (F.col("hypothesis") == hypothesis)).withColumn("rung", F.greatest(F.coalesce(at, F.lit(0)) - 1, F.lit(0)).cast("int"))
     value = F.when(~F.isnan(metric), F.col(metric))
-    order = [value.desc_nulls_last() if largest else value.asc_nulls_last(), "created_at", "id"]
-    of_rung = W.partitionBy("rung")
-    rows = rows.where(F.col("rung") < len(rungs) - 1).withColumns({"place": F.row_number().over(of_rung.orderBy(*order)), "n": F.count("*").over(of_rung)})
+    order = [F.col("__value").desc_nulls_last() if largest else F.col("__value").asc_nulls_last(), F.col("created_at"), F.col("id")]
+    rows = rows.where(F.col("rung") < len(rungs) - 1).select("id", "rung", "created_at", "config_json", value.alias("__value"))
+    rows = ranked(rows, "rung", order).withColumn("place", F.col("place").cast("int"))
     best = rows.where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") / eta))).select("id", "rung", "place", "config_json")
-    up = F.udf(lambda config, rung: raised(config, rungs[rung + 1]), "string")  # the canonical text is Python's
+
+    # the canonical text is Python's; batches of configs go to it
+    @F.pandas_udf("string")
+    def up(configs: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([raised(c, rungs[r + 1]) for c, r in zip(configs, places, strict=True)], dtype=object)
+
     best = best.withColumn("config_json", up("config_json", "rung"))
     best = best.withColumn("config_hash", F.sha1("config_json"))
     return best.join(ledger.select("config_hash").distinct(), "config_hash", "left_anti").select("id", "rung", "place", "config_json", "config_hash")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..core import Written
+from ..core import Written, numbered
 
 PENDING, RUNNING, DONE, FAILED = "pending", "running", "done", "failed"
 
@@ -66,7 +66,7 @@ def extended(queue: DataFrame, new: DataFrame) -> DataFrame:
 
     first = new.withColumn("r", F.row_number().over(W.partitionBy("name").orderBy("pos"))).where("r = 1").drop("r").join(queue.select("name"), "name", "left_anti")
     last = queue.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("last"))
-    first = first.withColumn("pos", F.row_number().over(W.orderBy("pos"))).join(F.broadcast(last)).withColumn("pos", (F.col("pos") + F.col("last")).cast(queue.schema["pos"].dataType)).drop("last")
+    first = numbered(first, ["pos", "name"], "__pos").withColumn("pos", F.col("__pos")).drop("__pos").join(F.broadcast(last)).withColumn("pos", (F.col("pos") + F.col("last")).cast(queue.schema["pos"].dataType)).drop("last")
     return queue.unionByName(first.select(queue.columns))
 
 

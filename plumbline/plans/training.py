@@ -9,6 +9,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..core import numbered
+
 #: Labels of tokens that the loss leaves out. A fixed value.
 IGNORED = -100
 
@@ -87,5 +89,5 @@ def epochs(samples: DataFrame, n: int, seed: int = 0, split: str | None = "train
 
 
 def resumed(samples: DataFrame, order: list[str], done: int) -> DataFrame:
-    """The first rows by `order` left out: what a run that took `done` of them before has yet to take."""
-    return samples.withColumn("__r", F.row_number().over(W.orderBy(*order))).where(F.col("__r") > done).drop("__r")
+    """The first rows by `order` left out: what a run that took `done` of them before has yet to take. No task has all rows."""
+    return numbered(samples, order, "__r").where(F.col("__r") > done).drop("__r")

@@ -275,3 +275,74 @@ def test_guard_passes_lines_without_a_loss(spark, tmp_path):
     q = guard.guard_stream(spark.readStream.schema(guard.LOG).json(f"file://{tmp_path}/log")).writeStream.foreachBatch(lambda df, n: out.extend(df.collect())).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(str, out)) == sorted(map(str, rows))
+
+
+def test_model_is_asked_once(spark, tmp_path):
+    """Each request meets the model once, in batches, whatever is done with its answer; a box outside its image is one request's failure."""
+    from plumbline.operators import geometry as G
+    from plumbline.plans import ground
+
+    os.makedirs(tmp_path / "asked")
+
+    def load(folder=str(tmp_path / "asked")):
+        import uuid
+
+        def model(prompts):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write("\n".join(p.split("'")[1] for p in prompts))
+            said = {"far": '{"bbox_2d": [5, 5, 9, 9]}', "none": "nothing"}
+            return [said.get(p.split("'")[1].split(" ")[0], '{"bbox_2d": [1, 1, 4, 3]}') for p in prompts]
+
+        return model
+
+    frames = spark.createDataFrame([(i, 4, 5, [2.0 + 0.01 * j for j in range(20)]) for i in range(3)], "frame_id long, h int, w int, depth array<float>")
+    names = ["box", "none", "far"]
+    asked = spark.createDataFrame([(i, i % 3, f"{names[i % 3]} {i}", 100, 100, "{}", "c", "s", "x", 0.0, [1, 1, 4, 3], [[0.0, 0.0, 2.0], [1.0, 1.0, 2.5]]) for i in range(24)], "req_id long, frame_id long, query string, width int, height int, meta string, category string, split string, source string, severity double, bbox_2d array<int>, aabb_3d array<array<double>>")
+    k, ask = G.Intrinsics(5.0, 5.0, 2.0, 2.0), ground.answered(ground.served(load, 4))
+
+    def calls():
+        out = [f.read_text().split("\n") for f in (tmp_path / "asked").iterdir()]
+        for f in (tmp_path / "asked").iterdir():
+            f.unlink()
+        return out
+
+    rows = {r.req_id: r for r in ground.grounded(asked.repartition(3), frames, ask, k, ground.naive).collect()}
+    made = calls()
+    assert sorted(x for c in made for x in c) == sorted(f"{names[i % 3]} {i}" for i in range(24)) and max(map(len, made)) <= 4
+    assert all(rows[i].success == (i % 3 == 0) and rows[i].error == [None, ground.NO_BOX, ground.NO_LIFT][i % 3] for i in range(24))
+    both = ground.evaluated(asked, frames, ask, k, "both").collect()
+    assert len(both) == 48 and sum(map(len, calls())) == 24
+
+
+def test_places_without_one_task(spark):
+    from plumbline import core
+    from plumbline.plans import ledger as L, training
+
+    r = np.random.default_rng(5)
+    data = [(None if i % 11 == 0 else int(i % 4), float(r.integers(0, 30)), i) for i in range(900)]
+    df = spark.createDataFrame(data, "g int, x double, id long").repartition(7)
+    got = core.numbered(df, [F.desc("x"), F.col("id")]).collect()
+    assert [(n, i) for n, (_, i) in enumerate(sorted((-x, i) for _, x, i in data), 1)] == sorted((y.number, y.id) for y in got)
+    place = {y.id: (y.place, y.n) for y in core.ranked(df, "g", [F.asc("x"), F.col("id")]).collect()}
+    for g in (None, 0, 1, 2, 3):
+        ids = [i for _, i in sorted((x, i) for h, x, i in data if h == g)]
+        assert [place[i] for i in ids] == [(p, len(ids)) for p in range(1, len(ids) + 1)]
+    plan = training.resumed(df, ["id"], 5)._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and training.resumed(df, ["id"], 5).count() == 895 and core.numbered(df.limit(0), ["id"]).count() == 0
+    led = spark.createDataFrame([(i, "h", "done", f'{{"max_steps": {10 ** (i % 2)}, "a": {i}}}', f"x{i}", i, float(i % 5)) for i in range(30)], "id long, hypothesis string, status string, config_json string, config_hash string, created_at long, loss double")
+    up = L.promotions(led, "h", (1, 10, 100), "loss")
+    text = up._jdf.queryExecution().toString()
+    assert "BatchEvalPython" not in text and "ArrowEvalPython" in text and up.count() == 10
+    assert all(L.config_hash({"a": x.id, "max_steps": (10, 100)[x.rung]}) == x.config_hash for x in up.collect())
+
+
+def test_closed_meshes(spark):
+    """Two cubes that share a vertex, and one with a face turned round, are not closed."""
+    from plumbline.operators import shape as S
+
+    cube = [(0, 2, 1), (1, 2, 3), (4, 5, 6), (5, 7, 6), (0, 1, 4), (1, 5, 4), (2, 6, 3), (3, 6, 7), (0, 4, 2), (2, 4, 6), (1, 3, 5), (3, 7, 5)]
+    beside = [tuple(x + 8 for x in f) for f in cube]
+    touching = [tuple(0 if x == 8 else x for x in f) for f in beside]
+    meshes = {0: cube, 1: cube[:-1], 2: [(0, 1, 2), *cube[1:]], 3: cube + beside, 4: cube + touching, 5: cube + cube, 6: [(0, 0, 1)], 7: [tuple(reversed(f)) for f in cube]}
+    df = spark.createDataFrame([(m, n, *f) for m, faces in meshes.items() for n, f in enumerate(faces)], "mesh_id int, fid int, i int, j int, k int").repartition(5)
+    assert {r.mesh_id: r.closed for r in S.watertight(df).collect()} == {0: True, 1: False, 2: False, 3: True, 4: False, 5: False, 6: False, 7: True}
