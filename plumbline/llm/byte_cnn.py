@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from .common import fold, labelled, slices
+from .common import fold, labelled, lean, slices
 
 #: Labelled rows to train on at most, and chunks of one of them to train on at most (drawn by the text's hash; scoring uses all).
 SAMPLE_ROWS, SAMPLE_CHUNKS = 2400, 24
@@ -158,7 +158,7 @@ def fit_network(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chu
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())], names=["doc_id", "label", "digest", "chunks"])
 
     sample = labelled(docs, labels, "quality", rows).select(F.col("doc_id").cast("string").alias("doc_id"), "label", F.col("text").cast("string").alias("text"))
-    sample = sample.mapInArrow(run, "doc_id string, label int, digest binary, chunks binary").groupBy("doc_id", "label").agg(F.min(F.struct("digest", "chunks")).alias("x"))
+    sample = sample.mapInArrow(lean(run), "doc_id string, label int, digest binary, chunks binary").groupBy("doc_id", "label").agg(F.min(F.struct("digest", "chunks")).alias("x"))
     # equal texts teach once, so a large group of copies doesn't outweigh the rest
     found: dict[bytes, tuple[str, int, bytes]] = {}
     for r in sorted(sample.collect(), key=lambda r: r.doc_id):
@@ -178,7 +178,7 @@ def classify(docs: DataFrame, net: Network, keep: float = KEEP, score: str = "sc
                 s = net.score(part.column("text").cast(pa.string()).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= keep).astype(np.int32))], names=[*part.schema.names, score, predicted])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(score, DoubleType()).add(predicted, IntegerType()))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields]).add(score, DoubleType()).add(predicted, IntegerType()))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,6 +32,21 @@ def slices(batch: pa.RecordBatch, column: str, rows: int = 256, size: int = 1 <<
         yield batch.slice(start)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which the worker gives freed memory back to the machine: workers serve one task after another, and would keep what the largest took."""
+
+    def out(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return out
+
+
 def spare(columns: list[str], name: str) -> str:
     """name, or name with underscores before it until no column has it, whatever its case."""
     taken = {c.lower() for c in columns}

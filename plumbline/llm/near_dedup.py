@@ -41,7 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import Written, slices
+from .common import Written, lean, slices
 
 BINS, MISSED = 256, 1e-6
 #: Hubs that a member is checked against at first, neighbours of a row that leave a block of sketches, and the rows of such a block.
@@ -157,7 +157,7 @@ def sketched(docs: DataFrame, words: int, threshold: int) -> DataFrame:
                     pa.array([v.tobytes() if f else None for v, f in zip(low, full, strict=True)], pa.binary()),
                 ], names=["doc_id", "n", "digest", "bands", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, digest binary, bands array<bigint>, sketch binary")
+    return rows.mapInArrow(lean(run), "doc_id bigint, n bigint, digest binary, bands array<bigint>, sketch binary")
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -177,7 +177,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
                 sets = [shingles(t).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
 
-    sets = rows.mapInArrow(run, "digest binary, shingles binary").dropDuplicates(["digest"])
+    sets = rows.mapInArrow(lean(run), "digest binary, shingles binary").dropDuplicates(["digest"])
     known = classes.select("id", "digest")
     return sets.join(F.broadcast(known) if n <= MAX_SENT else known, "digest").select("id", "shingles")
 
@@ -190,7 +190,7 @@ def agreeing(pairs: DataFrame) -> DataFrame:
             sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("member"), pa.array((sa == sb).sum(1), pa.int64())], names=["a", "b", "member", "agree"])
 
-    return pairs.mapInArrow(run, "a bigint, b bigint, member bigint, agree bigint")
+    return pairs.mapInArrow(lean(run), "a bigint, b bigint, member bigint, agree bigint")
 
 
 def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
@@ -208,7 +208,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             linked = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), threshold) for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return both.select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint, linked boolean")
+    return both.select("a", "b", "xa", "xb").mapInArrow(lean(run), "a bigint, b bigint, linked boolean")
 
 
 def components(edges: DataFrame, out: Written) -> DataFrame:
@@ -291,7 +291,7 @@ def neighbours(rows: DataFrame, threshold: int) -> DataFrame:
                 found += [(keys[i], min(ids[i], ids[k]), max(ids[i], ids[k]), len(c) > NEAREST) for k in c[:NEAREST]]
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["key", "a", "b", "more"])
 
-    return rows.repartition(*COLUMNS).sortWithinPartitions(*COLUMNS).mapInArrow(in_blocks(COLUMNS, work), "key bigint, a bigint, b bigint, more boolean")
+    return rows.repartition(*COLUMNS).sortWithinPartitions(*COLUMNS).mapInArrow(lean(in_blocks(COLUMNS, work)), "key bigint, a bigint, b bigint, more boolean")
 
 
 def across(rows: DataFrame, threshold: int) -> DataFrame:
@@ -323,7 +323,7 @@ def across(rows: DataFrame, threshold: int) -> DataFrame:
                         found.append((int(ids[i]), int(ids[k])))
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.repartition(*COLUMNS).sortWithinPartitions(*COLUMNS).mapInArrow(in_blocks(COLUMNS, work), "a bigint, b bigint")
+    return rows.repartition(*COLUMNS).sortWithinPartitions(*COLUMNS).mapInArrow(lean(in_blocks(COLUMNS, work)), "a bigint, b bigint")
 
 
 def mixed_blocks(label: DataFrame, facts: DataFrame, rows: int, size: int | None = None) -> DataFrame:

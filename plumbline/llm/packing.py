@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import slices
+from .common import lean, slices
 
 MAX_LENGTH, END_ID = 2048, 1
 #: Sequence ids leave room for so many pieces of a text: one of 2 GB has an eighth of them at MAX_LENGTH.
@@ -184,7 +184,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, mo
                 owner = pa.array(owner, i64)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(owner), pa.array(starts, i64), pa.array(sizes, i64), pa.array(ids, pa.binary()), pa.array(totals, i64), part.column(2).take(owner), pa.array(numbers, i64)], names=names)
 
-    pieces = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, ids binary, doc_tokens bigint, place bigint, piece bigint")
+    pieces = rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, ids binary, doc_tokens bigint, place bigint, piece bigint")
     bucket = F.round(F.log2("length")).cast("int")
     numbered = F.when(F.col("place") < (1 << 59) // PIECES, F.col("place") * PIECES + F.col("piece")).otherwise(F.raise_error(F.lit("more rows than sequence ids of 63 bits can number")))
     number = F.monotonically_increasing_id() if place is None else numbered
