@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import BOXES, EVAL, K, MESHES, PTS, PX, TIE, boxes, evalrows, images, meshes, points, px, query, r6, s6, t
-from .operators import benchmark as B, compose, geometry as G, mesh, metrics as M, raster as R, shape as S
+from .operators import benchmark as B, cloud, compose, geometry as G, mesh, metrics as M, raster as R, shape as S
 from .plans import ground
 
 # benchmark records
@@ -172,14 +172,16 @@ def j12_both(spark, sf):
 @query(f"""WITH {PTS}, d AS (SELECT a.cloud_id, a.pt_id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) AS d FROM pts a JOIN pts b ON a.cloud_id = b.cloud_id AND a.pt_id <> b.pt_id GROUP BY 1, 2)
 SELECT cloud_id, round(avg(d) + 1e-11, 6) AS mean_nn FROM d GROUP BY 1""")
 def m4_neighbour_distance(spark, sf):
-    return mesh.neighbour_distances(clouds(spark, sf)).select("cloud_id", *s6("mean_nn"))
+    return cloud.neighbour_distances(points(spark, sf)).select("cloud_id", *s6("mean_nn"))
 
 
 @query(f"""WITH {PTS}, d AS (SELECT a.cloud_id, a.pt_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d, row_number() OVER (PARTITION BY a.cloud_id, a.pt_id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS r
   FROM pts a JOIN pts b ON a.cloud_id = b.cloud_id AND a.pt_id <> b.pt_id), m AS (SELECT cloud_id, pt_id, avg(d) AS m FROM d WHERE r <= 20 GROUP BY 1, 2), l AS (SELECT cloud_id, avg(m) + 1.5 * stddev_samp(m) AS lim FROM m GROUP BY 1)
 SELECT m.cloud_id, count(*) AS n, count(*) FILTER (WHERE m <= lim) AS kept FROM m JOIN l USING (cloud_id) GROUP BY 1""")
 def m3_unstrayed(spark, sf):
-    return mesh.unstrayed(clouds(spark, sf), 20, 1.5)
+    p = points(spark, sf)
+    kept = cloud.unstrayed(p, 20, 1.5).groupBy("cloud_id").agg(F.count("*").alias("kept"))
+    return p.groupBy("cloud_id").agg(F.count("*").alias("n")).join(kept, "cloud_id").select("cloud_id", "n", "kept")
 
 
 def clouds(spark, sf):

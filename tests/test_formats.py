@@ -346,3 +346,28 @@ def test_closed_meshes(spark):
     meshes = {0: cube, 1: cube[:-1], 2: [(0, 1, 2), *cube[1:]], 3: cube + beside, 4: cube + touching, 5: cube + cube, 6: [(0, 0, 1)], 7: [tuple(reversed(f)) for f in cube]}
     df = spark.createDataFrame([(m, n, *f) for m, faces in meshes.items() for n, f in enumerate(faces)], "mesh_id int, fid int, i int, j int, k int").repartition(5)
     assert {r.mesh_id: r.closed for r in S.watertight(df).collect()} == {0: True, 1: False, 2: False, 3: True, 4: False, 5: False, 6: False, 7: True}
+
+
+def test_nearest_over_cells(spark, monkeypatch):
+    """A cloud cut over many cells and parts gives the distances that all pairs give: outliers, equal points, lines and single points included."""
+    from plumbline.operators import cloud
+
+    r = np.random.default_rng(8)
+    clouds = {
+        1: np.concatenate([r.normal(size=(300, 3)), [[40.0, 0, 0], [0, 90.0, 1], [0, 90.0, 1]]]), 2: np.repeat(r.normal(size=(3, 3)), 30, axis=0), 3: np.stack([np.arange(50.0), np.zeros(50), np.zeros(50)], 1),
+        4: np.zeros((1, 3)), 5: r.uniform(size=(2, 3)),
+    }
+    rows = [(c, i, *map(float, p)) for c, ps in clouds.items() for i, p in enumerate(ps)] + [(1, 9000, None, 0.0, 0.0), (1, 9001, float("nan"), 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "cloud_id long, pt_id long, x double, y double, z double").repartition(3)
+    monkeypatch.setattr(cloud, "PART", 7)
+    got = {(x.cloud_id, x.pt_id): x.d for x in cloud.nearest_others(df, 4).collect()}
+    assert len(got) == sum(map(len, clouds.values()))
+    for c, ps in clouds.items():
+        for i, p in enumerate(ps):
+            want = np.sort(np.linalg.norm(np.delete(ps, i, 0) - p, axis=1))[:4]
+            assert np.allclose(got[c, i], want, atol=1e-12), (c, i)
+    assert cloud.nearest_others(df.limit(0), 2).count() == 0
+    near = {x.cloud_id: x.mean_nn for x in cloud.neighbour_distances(df).collect()}
+    assert near[4] == 0.05 and near[3] == 1
+    kept = cloud.unstrayed(df, 4).groupBy("cloud_id").count().collect()
+    assert {x.cloud_id: x["count"] for x in kept}[1] == len(clouds[1]) - 3
