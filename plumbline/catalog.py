@@ -295,6 +295,13 @@ def p13_restored_frames(spark, sf):
     return done.select("frame_id", F.posexplode("restored").alias("i", "depth")).select("frame_id", "i", F.round("depth", 5).alias("depth"))
 
 
+@query()
+def p13_restored_pixels(spark, sf):
+    """The same over tiles of pixels, for frames that fit no task."""
+    done = R.restored_pixels(px(spark, sf))
+    return done.select("frame_id", "v", "u", F.round("restored", 5).alias("depth"))
+
+
 # evaluation
 
 def evalrows(spark, sf):

@@ -292,5 +292,5 @@ shut AS (SELECT p.* FROM px p WHERE NOT EXISTS (SELECT 1 FROM lost l WHERE l.fra
 new AS (SELECT a.frame_id, a.v, a.u, avg(b.depth) AS fill FROM shut a JOIN px b ON a.depth <= 0 AND b.depth > 0 AND b.frame_id = a.frame_id AND b.v BETWEEN a.v - 5 AND a.v + 5 AND b.u BETWEEN a.u - 5 AND a.u + 5 GROUP BY 1, 2, 3)
 SELECT p.frame_id, p.v, p.u, round(coalesce(n.fill, p.depth) + 1e-11, 6) AS depth FROM px p LEFT JOIN new n ON n.frame_id = p.frame_id AND n.v = p.v AND n.u = p.u""")
 def p11_closed(spark, sf):
-    closed = R.per_frame(px(spark, sf), "depth", "closed", R.close_kernel)
+    closed = R.closed_pixels(px(spark, sf))
     return closed.select("frame_id", "v", "u", F.round(F.col("closed") + TIE, 6).alias("depth"))

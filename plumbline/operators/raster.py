@@ -1,8 +1,9 @@
 """Depth filtering on pixels (frame_id, v, u, depth) and on dense frames.
 
 The dense form shuffles pixels once, to their frame, and runs numpy kernels a frame at a
-time; production uses it. The long form uses windows partitioned by frame and line, so a
-frame that fits no task is spread over many; the two are tested against each other.
+time; production uses it. The long form uses windows partitioned by frame and line, and kernels
+over tiles with a halo, so a frame that fits no task is spread over many; the two are
+tested against each other.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..core import Written
 from ..functions.columns import NAN, valid_depth
 
 
@@ -101,20 +103,72 @@ def bilateral_kernel(image: np.ndarray, cfg: FilterConfig = DEFAULT) -> np.ndarr
     return top / np.maximum(bottom, 1e-300)
 
 
-def per_frame(px: DataFrame, value: str, name: str, kernel) -> DataFrame:
-    """A numpy kernel over each frame of the long form; a frame must fit a task."""
+#: Lines and columns of a tile; frames of any size are cut into such tiles.
+TILE = 512
+
+
+def per_tile(px: DataFrame, value: str, name: str, kernel: Callable[[np.ndarray], np.ndarray], halo: int, tile: int = TILE) -> DataFrame:
+    """A numpy kernel over each frame of the long form, tile by tile, so that no task needs a whole frame.
+
+    A pixel goes to its tile and to those whose halo it is in; a tile's kernel sees its halo, and only
+    the tile's own pixels come back. Inside a frame the result is that of the whole frame if
+    the kernel looks no further than the halo; at a frame's borders tiles end where the frame does, so the kernel's
+    own rule for borders holds.
+    """
+    if not 0 <= halo <= tile:
+        raise ValueError("a halo is at most as wide as a tile")
     schema = f"{px.drop(name).schema.simpleString()[7:-1]},{name}:double"
+    own = {c: F.floor(F.col(c) / tile).cast("int") for c in "vu"}
+    rows = px
+    for c in "vu":
+        around = F.array_distinct(F.array(*(F.floor((F.col(c) + d) / tile).cast("int") for d in (-halo, 0, halo))))
+        rows = rows.withColumn(f"__t{c}", F.explode(F.filter(around, lambda x: x >= 0)))
+    rows = rows.withColumn("__own", (F.col("__tv") == own["v"]) & (F.col("__tu") == own["u"]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.full((pdf.v.max() + 1, pdf.u.max() + 1), 0.0)
-        image[pdf.v, pdf.u] = pdf[value]
-        return pdf.drop(columns=name, errors="ignore").assign(**{name: kernel(image)[pdf.v, pdf.u]})
+        v0, u0 = (max(0, int(pdf[f"__t{c}"].iloc[0]) * tile - halo) for c in "vu")
+        v, u = pdf.v.to_numpy() - v0, pdf.u.to_numpy() - u0
+        image = np.full((v.max() + 1, u.max() + 1), 0.0)
+        image[v, u] = pdf[value]
+        mine = pdf["__own"].to_numpy()
+        out = pdf[mine].drop(columns=["__tv", "__tu", "__own"])
+        return out.drop(columns=name, errors="ignore").assign(**{name: kernel(image)[v[mine], u[mine]] if mine.any() else np.zeros(0)})
+
+    return rows.groupBy("frame_id", "__tv", "__tu").applyInPandas(run, schema)
+
 
-    return px.groupBy("frame_id").applyInPandas(run, schema)
+def bilateral_smooth(px: DataFrame, value: str = "defused", cfg: FilterConfig = DEFAULT, tile: int = TILE) -> DataFrame:
+    return per_tile(px, value, "smooth", lambda image: bilateral_kernel(image, cfg), cfg.diameter // 2, tile)
 
 
-def bilateral_smooth(px: DataFrame, value: str = "defused", cfg: FilterConfig = DEFAULT) -> DataFrame:
-    return per_frame(px, value, "smooth", lambda image: bilateral_kernel(image, cfg))
+def closed_pixels(px: DataFrame, value: str = "depth", name: str = "closed", cfg: FilterConfig = DEFAULT, tile: int = TILE) -> DataFrame:
+    """close_kernel over pixels: closing looks twice its radius far, and its fill the kernel's size."""
+    k = cfg.morph_kernel
+    return per_tile(px, value, name, lambda image: close_kernel(image, k), max(k, 0), tile)
+
+
+def inpainted_pixels(px: DataFrame, value: str = "depth", name: str = "inpainted", cfg: FilterConfig = DEFAULT, tile: int = TILE) -> DataFrame:
+    """inpaint_kernel over pixels, a ring of all voids at a time: the rounds are as many as the widest void is deep, and each is written."""
+    out, r = Written(px.sparkSession, "inpainted"), cfg.inpaint_radius
+    rows = px.withColumn(name, F.when(valid_depth(F.col(value)) & (F.abs(value) < float("inf")), F.col(value).cast("double")).otherwise(0.0))
+    left, last = None, None
+    while True:
+        rows, path = out.put(rows)
+        if last:
+            out.drop(last)
+        last, before = path, left
+        left = rows.where(F.col(name) == 0).count()
+        if not left or left == before:  # frames without a valid pixel stay void
+            return rows
+        rows = per_tile(rows, name, name, lambda image: ring_kernel(image, r), r, tile)
+
+
+def restored_pixels(px: DataFrame, cfg: FilterConfig = DEFAULT, tile: int = TILE) -> DataFrame:
+    """restore_kernel over pixels of frames of any size: (frame_id, v, u, depth, restored)."""
+    marked = outlier_mask(px.select("frame_id", "v", "u", F.col("depth").cast("double").alias("depth")), lambda p: bilateral_smooth(p, cfg=cfg, tile=tile), cfg)
+    kept = marked.select("frame_id", "v", "u", "depth", F.when(F.col("outlier"), 0.0).otherwise(F.col("depth")).alias("kept"))
+    full = inpainted_pixels(closed_pixels(kept, "kept", "closed", cfg, tile), "closed", "full", cfg, tile)
+    return bilateral_smooth(full, "full", cfg, tile).select("frame_id", "v", "u", "depth", F.col("smooth").alias("restored"))
 
 
 def sigma_map(px: DataFrame, cfg: FilterConfig = DEFAULT) -> DataFrame:
@@ -243,13 +297,18 @@ def inpaint_kernel(depth: np.ndarray, radius: int = DEFAULT.inpaint_radius) -> n
     if ok.all() or not ok.any():
         return out
     while not ok.all():
-        s, n = boxed(np.where(ok, out, 0.0), 2 * radius + 1), boxed(ok.astype(float), 2 * radius + 1)
-        new = ~ok & (n > 0.5)
-        out[new] = s[new] / n[new]
-        ok |= new
+        out = ring_kernel(out, radius)
+        ok = out > 0
     return out
 
 
+def ring_kernel(depth: np.ndarray, radius: int) -> np.ndarray:
+    """The voids that valid pixels (above 0) are near to, filled by the mean of these."""
+    ok = depth > 0
+    s, n = boxed(np.where(ok, depth, 0.0), 2 * radius + 1), boxed(ok.astype(float), 2 * radius + 1)
+    return np.where(~ok & (n > 0.5), s / np.maximum(n, 1), depth)
+
+
 def mean_kernel(image: np.ndarray, cfg: FilterConfig = DEFAULT) -> np.ndarray:
     """The mean around each pixel, as local_mean gives it."""
     return boxed(image, cfg.diameter) / boxed(np.ones(image.shape), cfg.diameter)

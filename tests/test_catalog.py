@@ -44,6 +44,7 @@ SHAPES = {
     "e4_feature_colours": lambda r: all(0 <= c <= 1 for c in (r.r, r.g, r.b)),
     "m7_meshes": lambda r: (r.n_faces == 0) == (r.n_vertices == 0) and r.n_faces <= 200,
     "p13_restored_frames": lambda r: 1.9 < r.depth < 3.2,
+    "p13_restored_pixels": lambda r: 1.9 < r.depth < 3.2,
     "p25_robust_lift": lambda r: r.z_min <= r.z_max and 0 < r.inlier_ratio <= 1 and len(r.vertices) == 24,
     "p36_frames": lambda r: r.category in r.query_text and len(r.bbox_2d) == 4 and 2 <= r.bleed <= 5,
 }
@@ -56,6 +57,27 @@ def test_rows(spark, name):
     assert sorted(map(str, rows)) == sorted(map(str, QUERIES[name](spark, SF).collect()))
 
 
+def test_restored_frames_equal_the_kernel(spark):
+    """Both forms of the restored depth, row by row, against the plain kernel on the same pixels."""
+    import numpy as np
+
+    from plumbline import catalog
+    from plumbline.operators import raster as R
+
+    images = {}
+    for r in catalog.px(spark, SF).collect():
+        images.setdefault(r.frame_id, {})[r.v, r.u] = r.depth
+    dense = {(r.frame_id, r.i): r.depth for r in QUERIES["p13_restored_frames"](spark, SF).collect()}
+    tiled = {(r.frame_id, r.v, r.u): r.depth for r in QUERIES["p13_restored_pixels"](spark, SF).collect()}
+    for f, cells in images.items():
+        image = np.zeros((1 + max(v for v, _ in cells), 1 + max(u for _, u in cells)))
+        for at, d in cells.items():
+            image[at] = d
+        want = R.restore_kernel(image)
+        assert all(abs(dense[f, v * image.shape[1] + u] - want[v, u]) < 2e-5 and abs(tiled[f, v, u] - want[v, u]) < 2e-5 for v, u in cells)
+    assert len(dense) == len(tiled) == sum(map(len, images.values()))
+
+
 def test_entry_without_llm(spark):
     import __spark_entry__ as e
 
