@@ -141,6 +141,16 @@ def propose(ledger: DataFrame, space: list[Param], kind: str, hypothesis: str, r
     return [{"name": f"{hypothesis.lower()}-{kind}-{h[:10]}", "kind": kind, "config": c, "config_hash": h} for h, c in [*found.items()][:budget]]
 
 
+# What is searched, over which steps, where a profile names nothing else.
+SPACE = (Param("rank", values=(4, 8, 16, 32)), Param("learning_rate", low=5e-5, high=5e-4, log=True))
+RUNGS = (250, 1000, 4000)
+
+
+def default_scheduler(seed: int = 0) -> Scheduler:
+    """Successive halving of the default space by the smallest average loss, three entries at a time."""
+    return Scheduler([lambda ledger, budget: propose(ledger, [*SPACE], "lora", "H8", RUNGS, "ema_loss", budget, seed=seed)], 2, 3)
+
+
 class Scheduler:
     """Fills a queue whose pending entries are fewer than `low` with up to `batch` proposals of one planner, the next one in turn that has any."""
 
@@ -217,6 +227,13 @@ def grid(spark: SparkSession, name: str, kind: str, axes: list[Axis], requires:
     return spark.createDataFrame(rows, "pos int, name string, kind string, config string, requires array<string>, status string, retries int, max_retries int, owner string, heartbeat double")
 
 
+def default_grid(spark: SparkSession) -> DataFrame:
+    """The sweep of twelve arms where none is named. Its axes and what it requires."""
+    axes = [Axis("lora.rank", (8, 16, 32)), Axis("curriculum.schedule", ("curriculum", "uniform")), Axis("datagen.vocab_mode", ("wide", "narrow"))]
+    return grid(spark, "lora", "lora", axes, ("datagen-mini",))
+
+
+
 def label(key: str) -> str:
     return LABELS.get(key, key.rsplit(".", 1)[-1])
 

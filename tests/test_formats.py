@@ -405,3 +405,16 @@ def test_tiles_equal_whole_frames(spark):
             assert np.allclose(got, kernel(frames[i]), atol=1e-9), (name, i)
     with pytest.raises(ValueError, match="halo"):
         R.bilateral_smooth(px, "depth", tile=3)
+
+
+def test_default_space_and_grid(spark):
+    from plumbline.plans import ledger as L
+
+    rows = L.default_grid(spark).orderBy("pos").collect()
+    assert len(rows) == 12 and rows[0].name == "lora-r8-cur=curriculum-vocab=wide" and rows[-1].name == "lora-r32-cur=uniform-vocab=narrow" and {tuple(r.requires) for r in rows} == {("datagen-mini",)}
+    schema = "id long, hypothesis string, status string, config_json string, config_hash string, created_at long, ema_loss double"
+    empty = spark.createDataFrame([], schema)
+    queue = L.default_grid(spark).limit(0)
+    made = L.default_scheduler().proposals(queue, empty)
+    assert len(made) == 3 and all(m["name"].startswith("h8-lora-") and m["config"]["max_steps"] == 250 and m["config"]["rank"] in (4, 8, 16, 32) and 5e-5 <= m["config"]["learning_rate"] <= 5e-4 for m in made)
+    assert made == L.default_scheduler().proposals(queue, empty)
