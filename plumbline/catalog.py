@@ -6,6 +6,8 @@ embeddings to points, lineitem to boxes and evaluation rows, orders to ledger an
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .functions import parsing
@@ -289,6 +291,15 @@ def p25_robust_lift(spark, sf):
     return G.lift(frames, b, K).select("box_id", *r6("z_est", "z_min", "z_max", "inlier_ratio"), F.transform(F.flatten("vertices"), lambda x: F.round(x, 6)).alias("vertices"))
 
 
+@query()
+def p12_marched(spark, sf):
+    """Voids filled by a marching front, and by rings beside it."""
+    frames, marching = R.to_frames(px(spark, sf), "double"), replace(R.DEFAULT, inpaint="march")
+    both = R.inpainted_frames(R.inpainted_frames(frames).withColumnRenamed("inpainted", "rings"), marching)
+    cells = F.arrays_zip("depth", F.col("inpainted").alias("marched"), "rings")
+    return both.select("frame_id", F.posexplode(cells).alias("i", "c")).select("frame_id", "i", *(F.round(F.col(f"c.{n}") + TIE, 6).alias(n) for n in ("depth", "marched", "rings")))
+
+
 @query()
 def p13_restored_frames(spark, sf):
     done = R.restore_frames(R.to_frames(px(spark, sf)))

@@ -8,6 +8,7 @@ tested against each other.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -36,6 +37,7 @@ class FilterConfig:
     sigma_space: float = 4.5
     morph_kernel: int = 5
     inpaint_radius: int = 5
+    inpaint: str = "rings"
 
 
 DEFAULT = FilterConfig()
@@ -92,17 +94,32 @@ def bilateral_kernel(image: np.ndarray, cfg: FilterConfig = DEFAULT) -> np.ndarr
     h, w = image.shape
     mode = "reflect" if min(h, w) > r else "symmetric"
     p = np.pad(image.astype(float), r, mode=mode) if min(h, w) else image.astype(float)
-    top, bottom = np.zeros((h, w)), np.zeros((h, w))
-    for dv in range(-r, r + 1):
-        for du in range(-r, r + 1):
-            if dv * dv + du * du <= r * r:
-                x = p[r + dv : r + dv + h, r + du : r + du + w]
-                g = np.exp(-(dv * dv + du * du) / (2 * cfg.sigma_space**2) - (x - image) ** 2 / (2 * cfg.sigma_color**2))
-                top += g * x
-                bottom += g
-    return top / np.maximum(bottom, 1e-300)
+    out = np.empty((h, w))
+    # two pixels weigh the same to each other, so half of the disc is enough; lines go in blocks that stay in a core's cache
+    half = [(dv, du) for dv in range(r + 1) for du in range(-r, r + 1) if (dv > 0 or du > 0) and dv * dv + du * du <= r * r]
+    for at in range(0, h, BLOCK):
+        n = min(BLOCK, h - at)
+        block = p[at : at + n + 2 * r]
+        own = block[r : r + n, r : r + w]
+        top, bottom, part = own.copy(), np.ones((n, w)), np.empty((n, w))
+        for dv, du in half:
+            right, left = max(du, 0), max(-du, 0)
+            lines, cols = slice(r - dv, r + n), slice(r - right, r + w + left)
+            g = block[lines.start + dv : lines.stop + dv, cols.start + du : cols.stop + du] - block[lines, cols]
+            g *= g
+            g *= -0.5 / cfg.sigma_color**2
+            g -= (dv * dv + du * du) / (2 * cfg.sigma_space**2)
+            np.exp(g, out=g)
+            for weight, v, u in ((g[dv : dv + n, right : right + w], dv, du), (g[:n, left : left + w], -dv, -du)):
+                bottom += weight
+                np.multiply(weight, block[r + v : r + v + n, r + u : r + u + w], out=part)
+                top += part
+        np.divide(top, bottom, out=out[at : at + n])
+    return out
 
 
+#: Lines of a frame that bilateral_kernel takes at a time.
+BLOCK = 16
 #: Lines and columns of a tile; frames of any size are cut into such tiles.
 TILE = 512
 
@@ -164,7 +181,9 @@ def inpainted_pixels(px: DataFrame, value: str = "depth", name: str = "inpainted
 
 
 def restored_pixels(px: DataFrame, cfg: FilterConfig = DEFAULT, tile: int = TILE) -> DataFrame:
-    """restore_kernel over pixels of frames of any size: (frame_id, v, u, depth, restored)."""
+    """restore_kernel over pixels of frames of any size: (frame_id, v, u, depth, restored). Voids are filled by rings."""
+    if cfg.inpaint != "rings":
+        raise ValueError("only rings fill voids over tiles")
     marked = outlier_mask(px.select("frame_id", "v", "u", F.col("depth").cast("double").alias("depth")), lambda p: bilateral_smooth(p, cfg=cfg, tile=tile), cfg)
     kept = marked.select("frame_id", "v", "u", "depth", F.when(F.col("outlier"), 0.0).otherwise(F.col("depth")).alias("kept"))
     full = inpainted_pixels(closed_pixels(kept, "kept", "closed", cfg, tile), "closed", "full", cfg, tile)
@@ -302,6 +321,87 @@ def inpaint_kernel(depth: np.ndarray, radius: int = DEFAULT.inpaint_radius) -> n
     return out
 
 
+def arrival_kernel(void: np.ndarray) -> np.ndarray:
+    """When a front of unit speed that starts at the rim reaches each void pixel, by fast marching; 0 outside voids."""
+    h, w = void.shape
+    late = np.full((h + 2, w + 2), np.inf)
+    late[1:-1, 1:-1][~void] = 0.0
+    t, width = late.ravel().tolist(), w + 2  # a border that is never reached, and pixels by one number
+    inner = np.zeros((h + 2, w + 2), bool)
+    inner[1:-1, 1:-1] = void
+    open_, around = inner.ravel().tolist(), (-width, width, -1, 1)
+    rim = np.zeros_like(inner)
+    rim[1:-1, 1:-1] = late[1:-1, 1:-1] == 0
+    near = rim.copy()
+    near[1:] |= rim[:-1]
+    near[:-1] |= rim[1:]
+    near[:, 1:] |= rim[:, :-1]
+    near[:, :-1] |= rim[:, 1:]
+
+    def reached(i: int) -> float:
+        a, b = min(t[i - width], t[i + width]), min(t[i - 1], t[i + 1])
+        a, b = (a, b) if a <= b else (b, a)
+        return a + 1.0 if b - a >= 1.0 else (a + b + (2.0 - (a - b) ** 2) ** 0.5) / 2.0
+
+    front = [(reached(i), i) for i in np.flatnonzero(near.ravel() & inner.ravel()).tolist()]
+    for at, i in front:
+        t[i] = min(t[i], at)
+    front = [(t[i], i) for _, i in front]
+    heapq.heapify(front)
+    while front:
+        at, i = heapq.heappop(front)
+        if not open_[i] or at > t[i]:
+            continue
+        open_[i] = False
+        for j in (i + d for d in around):
+            if open_[j] and (new := reached(j)) < t[j]:
+                t[j] = new
+                heapq.heappush(front, (new, j))
+    return np.array(t).reshape(h + 2, w + 2)[1:-1, 1:-1]
+
+
+def march_kernel(depth: np.ndarray, radius: int = DEFAULT.inpaint_radius) -> np.ndarray:
+    """Fills all voids by a front that marches inwards from their rim; valid pixels stay as they are.
+
+    A pixel gets the mean of the filled ones within the radius. One weighs more the nearer it
+    lies, the closer its arrival is to the pixel's own, and the more it lies along the direction in which the
+    front moves. Pixels that the front reaches within the same unit of time are filled together.
+    """
+    out = np.where(np.isfinite(depth) & (depth > 0), depth, 0.0).astype(float)
+    void = out == 0
+    if not void.any() or void.all():
+        return out
+    r = max(radius, 1)
+    late = arrival_kernel(void)
+    gv, gu = (np.gradient(late, axis=k) if late.shape[k] > 1 else np.zeros(late.shape) for k in (0, 1))
+    size = np.maximum(np.hypot(gv, gu), 1e-12)
+    gv, gu = gv / size, gu / size
+    full, time, have = np.pad(out, r), np.pad(late, r), np.pad(~void, r)
+    steps = [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if 0 < a * a + b * b <= r * r]
+    v, u = np.nonzero(void)
+    band = np.ceil(late[v, u])
+    now = 0.0
+    while len(v):
+        now = max(now + 1.0, band.min())
+        mine = np.flatnonzero(band <= now)
+        a, b, top, bottom = v[mine], u[mine], 0.0, 0.0
+        for dv, du in steps:
+            at = (a + r + dv, b + r + du)
+            along = np.abs(dv * gv[a, b] + du * gu[a, b]) / np.hypot(dv, du)
+            weight = have[at] * np.maximum(along, 1e-6) / (dv * dv + du * du) / (1.0 + np.abs(time[at] - late[a, b]))
+            top, bottom = top + weight * full[at], bottom + weight
+        done = bottom > 0
+        full[a[done] + r, b[done] + r], have[a[done] + r, b[done] + r] = top[done] / bottom[done], True
+        left = np.ones(len(v), bool)
+        left[mine[done]] = False
+        v, u, band = v[left], u[left], band[left]
+    return full[r:-r, r:-r]
+
+
+#: Ways to fill voids: rings also work over tiles, for frames that fit no task.
+INPAINT = {"rings": inpaint_kernel, "march": march_kernel}
+
+
 def ring_kernel(depth: np.ndarray, radius: int) -> np.ndarray:
     """The voids that valid pixels (above 0) are near to, filled by the mean of these."""
     ok = depth > 0
@@ -314,6 +414,19 @@ def mean_kernel(image: np.ndarray, cfg: FilterConfig = DEFAULT) -> np.ndarray:
     return boxed(image, cfg.diameter) / boxed(np.ones(image.shape), cfg.diameter)
 
 
+def median_kernel(image: np.ndarray) -> np.ndarray:
+    """The median of the 3 x 3 pixels around each one, edges repeated: of the sorted columns, the middle one of the largest low, the middle mid and the smallest high value."""
+    p = np.pad(image, 1, mode="edge")
+    three = lambda x, axis: [x[(slice(None),) * axis + (slice(i, x.shape[axis] - 2 + i),)] for i in range(3)]
+
+    def mid(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+
+    a, b, c = three(p, 0)
+    low, high = np.minimum(np.minimum(a, b), c), np.maximum(np.maximum(a, b), c)
+    return mid(np.maximum.reduce(three(low, 1)), mid(*three(mid(a, b, c), 1)), np.minimum.reduce(three(high, 1)))
+
+
 def mask_kernel(depth: np.ndarray, cfg: FilterConfig = DEFAULT, smooth: Callable = bilateral_kernel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The dense form of outlier_mask: (mask, sigma, threshold) of one frame."""
     d = depth.astype(float)
@@ -324,8 +437,7 @@ def mask_kernel(depth: np.ndarray, cfg: FilterConfig = DEFAULT, smooth: Callable
         return ok, np.zeros(d.shape), np.zeros(d.shape)
     s, n = boxed(np.where(ok, d, 0.0), cfg.diameter), boxed(ok.astype(float), cfg.diameter)
     filled = np.where(ok, d, np.where(n > 0.5, s / np.maximum(n, 1), 0.0))
-    p = np.pad(filled, 1, mode="edge")
-    middle = np.partition(np.stack([p[i : i + d.shape[0], j : j + d.shape[1]] for i in range(3) for j in range(3)]), 4, 0)[4]
+    middle = median_kernel(filled)
     extreme = ok & (np.abs(filled - middle) > cfg.extreme)
     residual = np.abs(np.where(ok, d, 0.0) - smooth(np.where(extreme, middle, filled), cfg))
     good = ok & (boxed(ok.astype(float), cfg.density_kernel) / cfg.density_kernel**2 >= cfg.density_min)
@@ -334,7 +446,9 @@ def mask_kernel(depth: np.ndarray, cfg: FilterConfig = DEFAULT, smooth: Callable
     edges = lo + (hi - lo) * np.arange(cfg.bins + 1) / cfg.bins
     z, r = d[good], residual[good]
     own = np.searchsorted(edges, z, "right") - 1
-    sig = np.array([np.median(r[own == i]) / 0.6745 if (own == i).sum() >= 5 else np.nan for i in range(cfg.bins)])
+    order = np.argsort(own.astype(np.int16), kind="stable")  # of 16 bits, which are sorted by counting
+    of_bin = np.split(r[order], np.searchsorted(own[order], np.arange(1, cfg.bins + 1)))[: cfg.bins]  # the largest depth is in none
+    sig = np.array([np.median(x) / 0.6745 if len(x) >= 5 else np.nan for x in of_bin])
     have = np.flatnonzero(~np.isnan(sig))
     sig = np.interp(np.arange(cfg.bins), have, sig[have]) if len(have) else np.zeros(cfg.bins)
     sigma = np.maximum(sig, cfg.sigma_floor)[np.clip(np.searchsorted(edges[1:], np.where(np.isnan(d), np.inf, d)), 0, cfg.bins - 1)]
@@ -364,7 +478,7 @@ def masked(px: DataFrame, cfg: FilterConfig = DEFAULT, smooth: Callable = bilate
 def restore_kernel(depth: np.ndarray, cfg: FilterConfig = DEFAULT) -> np.ndarray:
     """Outliers to voids, closing, inpainting, smoothing."""
     d = np.where(mask_kernel(depth, cfg)[0], 0.0, depth)
-    return bilateral_kernel(inpaint_kernel(close_kernel(d, cfg.morph_kernel), cfg.inpaint_radius), cfg)
+    return bilateral_kernel(INPAINT[cfg.inpaint](close_kernel(d, cfg.morph_kernel), cfg.inpaint_radius), cfg)
 
 
 def to_pixels(frames: DataFrame) -> DataFrame:
@@ -379,6 +493,20 @@ def to_frames(px: DataFrame, kind: str = "float") -> DataFrame:
     return px.groupBy("frame_id").agg((F.max("v") + 1).alias("h"), (F.max("u") + 1).alias("w"), F.transform(cells, lambda c: c["depth"].cast(kind)).alias("depth"))
 
 
+def inpainted_frames(frames: DataFrame, cfg: FilterConfig = DEFAULT) -> DataFrame:
+    """`inpainted` of dense frames (frame_id, h, w, depth array) by the way that cfg names; a frame without a valid pixel is all 0, and a null one stays null."""
+    from pyspark.sql.types import ArrayType, DoubleType, StructType
+
+    fill = INPAINT[cfg.inpaint]
+
+    def run(it):
+        for pdf in it:
+            done = [None if d is None else fill(np.asarray(d, float).reshape(int(h), int(w)), cfg.inpaint_radius).ravel() for d, h, w in zip(pdf.depth, pdf.h, pdf.w, strict=True)]
+            yield pdf.assign(inpainted=done)
+
+    return frames.drop("inpainted").mapInPandas(run, StructType([*frames.drop("inpainted").schema.fields]).add("inpainted", ArrayType(DoubleType())))
+
+
 def restore_frames(frames: DataFrame, cfg: FilterConfig = DEFAULT) -> DataFrame:
     """`restored` of dense frames, batch by batch."""
     from pyspark.sql.types import ArrayType, FloatType, StructType

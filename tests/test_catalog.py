@@ -43,6 +43,7 @@ SHAPES = {
     "e1_point_encoder": lambda r: len(r.embedding) == 256 and any(r.embedding),
     "e4_feature_colours": lambda r: all(0 <= c <= 1 for c in (r.r, r.g, r.b)),
     "m7_meshes": lambda r: (r.n_faces == 0) == (r.n_vertices == 0) and r.n_faces <= 200,
+    "p12_marched": lambda r: 1.9 < r.marched < 3.6 and 1.9 < r.rings < 3.6 and (r.depth == 0 or r.marched == r.rings == r.depth),
     "p13_restored_frames": lambda r: 1.9 < r.depth < 3.2,
     "p13_restored_pixels": lambda r: 1.9 < r.depth < 3.2,
     "p25_robust_lift": lambda r: r.z_min <= r.z_max and 0 < r.inlier_ratio <= 1 and len(r.vertices) == 24,

@@ -60,6 +60,97 @@ def test_inpaint_fills_and_preserves():
     assert (R.close_kernel(d, 0) == d).all()
 
 
+def scene_with_holes(n, m, seed):
+    """A tilted plane with a nearer box, noise, single voids and round holes: (truth, depth, void)."""
+    r = np.random.default_rng(seed)
+    v, u = np.mgrid[:n, :m]
+    truth = 2.0 + 0.3 * u / m + 0.2 * v / n
+    truth[(v > n * 0.3) & (v < n * 0.7) & (u > m * 0.4) & (u < m * 0.8)] -= 0.5
+    void = r.random((n, m)) < 0.05
+    for _ in range(12):
+        a, b, k = r.integers(0, n), r.integers(0, m), r.integers(2, max(n // 12, 3))
+        void |= (v - a) ** 2 + (u - b) ** 2 < k * k
+    return truth, np.where(void, 0, truth + r.normal(0, 0.005, truth.shape)), void
+
+
+def plain_arrival(void):
+    """The same equation for arrivals, solved by repeating it everywhere until nothing changes."""
+    h, w = void.shape
+    t = np.where(void, np.inf, 0.0)
+    at = lambda v, u: t[v, u] if 0 <= v < h and 0 <= u < w else np.inf
+    while True:
+        before = t.copy()
+        for v, u in zip(*np.nonzero(void), strict=True):
+            a, b = sorted((min(at(v - 1, u), at(v + 1, u)), min(at(v, u - 1), at(v, u + 1))))
+            if a < np.inf:
+                t[v, u] = min(t[v, u], a + 1 if b - a >= 1 else (a + b + np.sqrt(2 - (a - b) ** 2)) / 2)
+        if (t == before).all():
+            return t
+
+
+def plain_march(depth, radius):
+    void = ~(np.isfinite(depth) & (depth > 0))
+    out, t, have = np.where(void, 0.0, depth), plain_arrival(void), ~void
+    gv, gu = np.gradient(t)
+    for now in range(1, int(t.max()) + 9):
+        new = {}
+        for v, u in zip(*np.nonzero(~have & (np.ceil(t) <= now)), strict=True):
+            top = bottom = 0.0
+            for a, b in zip(*np.nonzero(have), strict=True):
+                dv, du = a - v, b - u
+                if dv * dv + du * du <= radius * radius:
+                    along = abs(dv * gv[v, u] + du * gu[v, u]) / max(np.hypot(gv[v, u], gu[v, u]), 1e-12) / np.hypot(dv, du)
+                    weight = max(along, 1e-6) / (dv * dv + du * du) / (1 + abs(t[a, b] - t[v, u]))
+                    top, bottom = top + weight * out[a, b], bottom + weight
+            if bottom > 0:
+                new[v, u] = top / bottom
+        for k, x in new.items():
+            out[k], have[k] = x, True
+    return out
+
+
+def test_marching_front():
+    """Against plain loops; fills every void, keeps what is valid, and lies nearer to the truth than rings do."""
+    for seed in range(3):
+        _, d, void = scene_with_holes(18, 23, seed)
+        assert np.allclose(R.arrival_kernel(void), plain_arrival(void), atol=1e-9)
+        for radius in (1, 2, 5):
+            assert np.allclose(R.march_kernel(d, radius), plain_march(d, radius), atol=1e-9)
+    errors = {k: [] for k in R.INPAINT}
+    for seed in range(5):
+        truth, d, void = scene_with_holes(100, 100, seed)
+        for k, fill in R.INPAINT.items():
+            got = fill(d, 5)
+            assert (got > 0).all() and (got[~void] == d[~void]).all()
+            errors[k] += list(np.abs(got - truth)[void])
+    assert np.mean(errors["march"]) < 0.8 * np.mean(errors["rings"])
+    for d in (np.zeros((4, 5)), np.full((3, 3), np.nan), np.ones((1, 1)), np.zeros((0, 0))):
+        assert (R.march_kernel(d) == np.where(d > 0, d, 0)).all()
+    one = np.array([[2.0, 0, 0, 0, 0, 0, 0, 0, 3.0]])
+    assert (R.march_kernel(one, 2) > 0).all() and (R.march_kernel(one.T, 2).T == R.march_kernel(one, 2)).all()
+    assert (R.march_kernel(np.array([[1.0, np.inf], [np.nan, -1.0]])) == 1).all()
+
+
+def test_dense_frames_inpainted(spark):
+    _, d, void = scene_with_holes(20, 24, 7)
+    rows = [(1, 20, 24, d.ravel().tolist(), "x"), (2, 1, 2, [0.0, 0.0], "y"), (3, 0, 0, [], "z"), (4, None, None, None, None), (5, 20, 24, d.ravel().tolist(), "x")]
+    frames = spark.createDataFrame(rows, "frame_id long, h int, w int, depth array<double>, inpainted string")
+    for way, fill in R.INPAINT.items():
+        got = {r.frame_id: r.inpainted for r in R.inpainted_frames(frames, R.FilterConfig(inpaint=way)).collect()}
+        assert np.array_equal(got[1], fill(d, 5).ravel()) and got[5] == got[1] and got[2] == [0, 0] and got[3] == [] and got[4] is None
+        assert R.inpainted_frames(frames.limit(0), R.FilterConfig(inpaint=way)).count() == 0
+    with pytest.raises(ValueError, match="rings"):
+        R.restored_pixels(R.to_pixels(frames), R.FilterConfig(inpaint="march"))
+
+
+def test_median_of_nine():
+    r = np.random.default_rng(1)
+    for n, m in ((1, 1), (1, 6), (7, 1), (13, 17)):
+        d = r.integers(0, 5, (n, m)).astype(float)
+        p = np.pad(d, 1, mode="edge")
+        assert all(R.median_kernel(d)[i, j] == np.median(p[i : i + 3, j : j + 3]) for i in range(n) for j in range(m))
+
+
 def test_long_form_equals_dense_form(spark):
     d = noisy(0.3, 0.02, 4, n=30)
     rows = [(0, v, u, float(d[v, u])) for v in range(30) for u in range(30)]
