@@ -555,7 +555,7 @@ def test_sketch():
         assert abs((s[0] == s[1]).mean() - true) < 0.15
 
 
-def test_url_filter(spark, tmp_path):
+def test_url_filter(spark):
     urls = ["https://m.a.EXAMPLE.net/en/1?x", "http://example.net/de/", "http://b.example.com/de", "http://b.example.com/de/", None, "", "abc", "http://net/", "http://xnet/", "https://c.net", "http://x.org/fr/?://y", "://", "a://b.net/x?y#z", "http://x.org/fr/" + "a" * 50000]
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls + urls[:1])], "page_id long, url string, rule string")
 
@@ -573,30 +573,38 @@ def test_url_filter(spark, tmp_path):
     assert {r.page_id: tuple(r)[1:] for r in url_filter.filter_urls(df).collect()} == want
     assert {r.page_id: tuple(r)[1:] for r in url_filter.filter_urls(df, most=1).collect()} == want
     assert url_filter.filter_urls(df.limit(0)).count() == 0 and url_filter.filter_urls(df, []).where("rule IS NOT NULL").count() == 0
-    names = url_filter.shipped(spark, url_filter.RULES, url_filter.PART)
-    assert url_filter.shipped(spark, url_filter.RULES, url_filter.PART) == names and len(url_filter.shipped(spark, url_filter.RULES, 1)) == len(url_filter.RULES)
+    names, bits = url_filter.shipped(spark, url_filter.RULES, url_filter.PART)
+    assert url_filter.shipped(spark, url_filter.RULES, url_filter.PART) == (names, 0) and len(names) == 2 and bits == 0
+    assert url_filter.shipped(spark, url_filter.RULES, 1)[1] == 2 and len(url_filter.shipped(spark, url_filter.RULES, 1)[0]) > 2
 
 
-def test_url_index(tmp_path):
-    """Any number of files gives the verdicts of a plain search, also for rules that differ in case only, and when all digests collide."""
+def test_url_index(spark):
+    """Any number of files gives the verdicts of a plain search, also for rules that differ in case only, for a table of rules, and when all digests collide."""
     r = np.random.default_rng(5)
     pick = lambda *x: str(r.choice(x))
-    rules = [(pick("net", "NET", "a.net", "B.a.net", "org", "x.ORG") + pick("", "/", "/en/", "/EN/", "/en/x"), pick("allow", "block")) for _ in range(60)]
-    urls = ["http://" + pick("net", "c.NET", "a.net", "d.b.a.net", "x.org", "xorg", "") + pick("", "/", "/en/", "/EN/", "/en/xyz", "/e?/en/") for _ in range(200)]
+    rules = [(pick("net", "NET", "a.net", "B.a.net", "org", "x.ORG", "é.ö") + pick("", "/", "/en/", "/EN/", "/en/x", "/ü/", "/e/n/"), pick("allow", "block")) for _ in range(60)]
+    urls = ["http://" + pick("net", "c.NET", "a.net", "d.b.a.net", "x.org", "xorg", "a.é.ö", ".net", "net.", "a..net", "") + pick("", "/", "/en/", "/EN/", "/en/xyz", "/e?/en/", "/ü/é", "/e/n/") for _ in range(200)]
 
     def plain(u):
         host, path = url_filter.split_url(u)
-        last = {"".join(url_filter.split_rule(x)): v for x, v in rules}
-        fit = [(len(x), len(x.partition("/")[0]), x, v) for x, v in last.items() if (("." + host).endswith("." + x.partition("/")[0]) and path.startswith(x[len(x.partition("/")[0]) :]) and host)]
+        cut = [(x.partition("/")[0].translate(url_filter._fold), "".join(x.partition("/")[1:]), v) for x, v in rules]
+        last = {h + p: (h, p, v) for h, p, v in cut}
+        fit = [(len(x), len(h), x, v) for x, (h, p, v) in last.items() if ("." + host).endswith("." + h) and path.startswith(p) and host]
         return (host, path, *(max(fit)[2:] if fit else (None, "allow")))
 
-    for most in (1, 2, 7, 1000):
-        folder = tmp_path / str(most)
-        folder.mkdir()
-        index = url_filter.Index(url_filter.Index.write(rules, str(folder), most))
-        assert index.judge([*urls, None, ""], "allow") == [*map(plain, urls), ("", "", None, "allow"), ("", "", None, "allow")]
-        assert len(index.parts) == -(-len(url_filter.folded(rules)[0]) // most)
-    part = index.parts[0]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, None, ""])], "page_id long, url string")
+    want = {i: x for i, x in enumerate([*map(plain, urls), ("", "", None, "allow"), ("", "", None, "allow")])}
+    given = spark.createDataFrame([(i, x, v, "extra") for i, (x, v) in enumerate(rules)] + [(99, None, "block", "extra"), (98, "/en/", "block", ""), (97, "", "block", "")], "seq int, rule string, verdict string, host string").repartition(5)
+    for most in (1, 7, 1000):
+        for some in (rules, given):
+            assert {x.page_id: tuple(x)[1:] for x in url_filter.filter_urls(df, some, most=most).collect()} == want
+    equal = spark.createDataFrame([("net/", "allow"), ("NET/", "block")], "rule string, verdict string")
+    assert {x.verdict for x in url_filter.filter_urls(df.where("url LIKE 'http://net/%'"), equal).collect()} == {"block"}
+    with pytest.raises(Exception, match="neither allow nor block"):
+        url_filter.filter_urls(df, [("net/", "maybe")]).count()
+    texts, digests = ["a", "b", "net/"], np.array([3, 1, 2], np.uint64)
+    part = url_filter.DigestTable(np.frombuffer(url_filter.DigestTable.packed(digests, texts, [[1], [], [2, 3]]), np.uint8))
+    assert part.keys.tolist() == [1, 2, 3] and [(part.string(j), part.of(j)) for j in range(3)] == [(b"b", []), (b"net/", [2, 3]), (b"a", [1])]
     part.keys = np.full(part.n, part.keys[0])
     wanted = [part.string(j) for j in range(part.n)]
     assert list(part.find(wanted, part.keys)) == list(range(part.n)) and list(part.find([b"none"], part.keys[:1])) == [-1]
