@@ -113,6 +113,40 @@ def test_token_rollup_reads_what_a_batch_needs(spark, tmp_path, monkeypatch):
     assert total() == {("s", 41, 393), (None, 1, 4)}
     with pytest.raises(ValueError):
         roll.commit("compact", batch())
+    assert roll.buckets == 99
+    plan = roll.in_force(batch(row(7, 0), row(9, 0)).select("doc_id", "tokenizer"))._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(doc_id,7)" in plan and "LessThanOrEqual(doc_id,9)" in plan
+    assert roll.in_force(batch().select("doc_id", "tokenizer")).count() == 0
+
+
+def test_token_rollup_of_two_writers(spark, tmp_path, monkeypatch):
+    """A batch that another writer overtakes is worked out anew behind it, and the same one is counted once; a compaction gives way."""
+    batch = lambda *rows: spark.createDataFrame([(i, "s", "en", "v", n, False, 0) for i, n in rows], token_counts.CHANGE)
+    one, two = (token_counts.TokenRollup(spark, f"file://{tmp_path}/r", k) for k in (2, 3))
+    total = lambda: {(r.n_docs, r.n_tokens) for r in one.totals().collect()}
+    assert one.buckets is None and one.commit("a", batch((1, 10), (2, 10))) and two.buckets == 2
+    real = token_counts.TokenRollup.publish
+
+    def overtaken_by(name, *rows):
+        def publish(self, *args):
+            monkeypatch.setattr(token_counts.TokenRollup, "publish", real)
+            assert two.commit(name, batch(*rows))
+            return real(self, *args)
+
+        monkeypatch.setattr(token_counts.TokenRollup, "publish", publish)
+
+    overtaken_by("b", (1, 3), (3, 5))
+    assert one.commit("c", batch((1, 7), (2, 1))) and total() == {(3, 13)} and one.batches() == ["a", "b", "c"]
+    overtaken_by("d", (4, 1))
+    assert not one.commit("d", batch((4, 1))) and total() == {(4, 14)}
+    overtaken_by("e", (4, 2))
+    with pytest.raises(token_counts.PlaceTaken):
+        one.compact(remove=True)
+    assert total() == {(4, 15)}
+    monkeypatch.setattr(token_counts, "BUCKET_ROWS", 2)
+    one.compact(remove=True)
+    assert one.buckets == 4 and total() == {(4, 15)}  # of eight rows, two a bucket and two.commit("f", batch((4, 1), (5, 1))) and total() == {(5, 15)}
+    assert not two.commit("a", batch((1, 1)))
 
 
 def luhn(s):
