@@ -9,9 +9,12 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..core import spread
+from .shape import cornered
 
 #: Colour where no ray hits, the least light on a surface, and the direction of light.
 BACKGROUND, AMBIENT, LIGHT = 0.85, 0.05, (0.3, 0.8, -0.4)
+#: Pairs of ray and triangle that are worked out at once, and pixels of pictures that a task holds before it hands them on.
+PAIRS, PIXELS = 1 << 16, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -56,17 +59,20 @@ def camera_boxes(vertices: DataFrame, camera: Camera) -> DataFrame:
 def cast(rays: np.ndarray, eye: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nearest hit of each ray (inf if none) and its triangle's number (-1), from n x 3 x 3 corners; a tie goes to the first."""
     d = rays.reshape(-1, 3)
-    best, which = np.full(len(d), np.inf), np.full(len(d), -1)
-    for k, (a, b, c) in enumerate(corners):
+    best, which, ray = np.full(len(d), np.inf), np.full(len(d), -1), np.arange(len(d))
+    step = max(1, PAIRS // max(1, len(d)))
+    for first in range(0, len(corners), step):
+        a, b, c = (corners[first : first + step, k] for k in range(3))
         e, f, s = b - a, c - a, eye - a
-        p = np.cross(d, f)
-        det = p @ e
+        q = np.cross(s, e)
+        det = d @ np.cross(f, e).T
         with np.errstate(divide="ignore", invalid="ignore"):
-            i = (p @ s) / det
-            q = np.cross(s, e)
-            j, t = (d @ q) / det, (f @ q) / det
-            hit = (np.abs(det) > 1e-12) & (i >= 0) & (j >= 0) & (i + j <= 1) & (t > 0) & (t < best)
-        best[hit], which[hit] = t[hit], k
+            i, j, t = d @ np.cross(f, s).T / det, d @ q.T / det, (f * q).sum(1) / det
+            t[~((np.abs(det) > 1e-12) & (i >= 0) & (j >= 0) & (i + j <= 1) & (t > 0))] = np.inf
+        k = t.argmin(1)
+        t = t[ray, k]
+        hit = t < best
+        best[hit], which[hit] = t[hit], first + k[hit]
     return best, which
 
 
@@ -87,24 +93,22 @@ def shade(camera: Camera, corners: np.ndarray, owner: np.ndarray, colours: np.nd
 def render(scenes: DataFrame, camera: Camera) -> DataFrame:
     """(frame_id, h, w, depth, instance, rgb) of scenes (frame_id, corners, owner, colours): nine numbers a triangle,
     its object's number from 0, and three numbers from 0 to 1 an object. Depth and instance are 0 where nothing is hit."""
+    step = max(1, PIXELS // (camera.h * camera.w))
 
     def run(it):
-        for pdf in it:
+        for pdf in (x[k : k + step] for x in it for k in range(0, len(x), step)):
             out = [shade(camera, np.asarray(c, float).reshape(-1, 3, 3), np.asarray(o, np.int32), np.asarray(p, float).reshape(-1, 3)) for c, o, p in zip(pdf.corners, pdf.owner, pdf.colours, strict=True)]
-            depth, instance, rgb = zip(*out, strict=True) if out else ((), (), ())
+            depth, instance, rgb = zip(*out, strict=True)
             yield pdf[["frame_id"]].assign(h=camera.h, w=camera.w, depth=list(depth), instance=list(instance), rgb=list(rgb))
 
-    return spread(scenes.select("frame_id", "corners", "owner", "colours"), "frame_id").mapInPandas(run, "frame_id long, h int, w int, depth array<float>, instance array<int>, rgb binary")
+    # by a hash of the frame: by the frame itself, a shuffle that scenes() ends with would stand for this one, and its few bytes would be joined to few tasks
+    return spread(scenes.select("frame_id", "corners", "owner", "colours"), F.xxhash64("frame_id")).mapInPandas(run, "frame_id long, h int, w int, depth array<float>, instance array<int>, rgb binary")
 
 
 def scenes(objects: DataFrame, vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     """Scenes for render() from objects (frame_id, mesh_id, place from 0, colour array of three); a scene must fit a task."""
-    corner = lambda n: vertices.select("mesh_id", F.col("vid").alias(n), F.array("x", "y", "z").alias(f"p{n}"))
-    t = triangles
-    for n in "ijk":
-        t = t.join(corner(n), ["mesh_id", n])
-    t = objects.join(t, "mesh_id").select("frame_id", F.struct("place", "fid", F.concat("pi", "pj", "pk").alias("c")).alias("t"))
+    t = objects.join(cornered(triangles, vertices).hint("merge"), "mesh_id").select("frame_id", F.struct("place", "fid", F.array(*(f"{n}{c}" for n in "ijk" for c in "xyz")).alias("c")).alias("t"))
     faces = t.groupBy("frame_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
     colours = objects.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("place", "colour"))).alias("o"))
-    out = colours.join(faces, "frame_id", "left").withColumn("t", F.coalesce("t", F.array().cast(faces.schema["t"].dataType)))
+    out = colours.join(faces.hint("merge"), "frame_id", "left").withColumn("t", F.coalesce("t", F.array().cast(faces.schema["t"].dataType)))
     return out.select("frame_id", F.flatten("t.c").alias("corners"), F.col("t.place").alias("owner"), F.flatten("o.colour").alias("colours"))
